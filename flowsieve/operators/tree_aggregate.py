@@ -27,7 +27,7 @@ def exact(value: Column, scale: int) -> Column:
     return F.when(finite, value.cast(f"decimal(28,{scale})"))
 
 
-def tree_aggregate(
+def tree_states(
     rows: DataFrame,
     keys: dict[str, Column],
     member: Column,
@@ -35,7 +35,7 @@ def tree_aggregate(
     fan_in: int = 8,
     n_chunks: int | None = None,
 ) -> DataFrame:
-    """One row per (key_kind, key_value): n_rows, one exact sum for each of `sums`, n_members.
+    """One row per (key_kind, key_value, member): n_rows and one exact sum for each of `sums`.
 
     `n_chunks`: number of chunks (input splits) if known, else that of the plan's first stage.
     """
@@ -47,4 +47,10 @@ def tree_aggregate(
     state = base.groupBy("_node", "key_kind", "key_value", "_member").agg(F.count(F.lit(1)).alias("n_rows"), *merged)
     for _ in range(max(1, math.ceil(math.log(max(2, chunks), fan_in)))):
         state = state.groupBy(F.floor(F.col("_node") / fan_in).alias("_node"), "key_kind", "key_value", "_member").agg(F.sum("n_rows").alias("n_rows"), *merged)
-    return state.groupBy("key_kind", "key_value").agg(F.sum("n_rows").alias("n_rows"), *merged, F.count("_member").alias("n_members"))
+    return state.drop("_node").withColumnRenamed("_member", "member")
+
+
+def key_totals(states: DataFrame, sums: list[str]) -> DataFrame:
+    """One row per (key_kind, key_value): n_rows, the sums, n_members; from the root states of `tree_states`."""
+    merged = [F.sum(n).cast("decimal(38,4)").alias(n) for n in sums]
+    return states.groupBy("key_kind", "key_value").agg(F.sum("n_rows").alias("n_rows"), *merged, F.count("member").alias("n_members"))

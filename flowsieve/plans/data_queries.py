@@ -5,31 +5,47 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowsieve.operators.tree_aggregate import exact, tree_aggregate
+from flowsieve.operators.tree_aggregate import exact, key_totals, tree_states
 from flowsieve.tables import table
 
 SUMMED = {"tot_fwd_pkts": 0, "tot_bwd_pkts": 0, "fwd_bytes": 0, "bwd_bytes": 0, "flow_duration": 4}
 
 
-def p2_key_totals(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows, sums and distinct sensors of each family and each fine label of flows."""
+def _states(spark: SparkSession, folder: str) -> DataFrame:
     blank = lambda c: F.nullif(F.trim(F.col(c)), F.lit(""))
-    out = tree_aggregate(
+    return tree_states(
         table(spark, folder, "flows"),
         {"family": blank("y_stage2_family"), "fine": blank("y_stage2_fine")},
         F.col("sensor_id"),
         {f"sum_{c}": exact(F.col(c), scale) for c, scale in SUMMED.items()},
     )
-    return out.select("key_kind", "key_value", "n_rows", *[F.round(F.col(f"sum_{c}").cast("double"), 3).alias(f"sum_{c}") for c in SUMMED], F.col("n_members").alias("n_sensors"))
+
+
+def _doubles() -> list:
+    return [F.round(f"sum_{c}", 3).cast("double").alias(f"sum_{c}") for c in SUMMED]
+
+
+def p2_key_sensors(spark: SparkSession, folder: str) -> DataFrame:
+    """The distinct sensors of each family and each fine label of flows, with the rows and sums each contributes."""
+    return _states(spark, folder).select("key_kind", "key_value", F.col("member").alias("sensor_id"), "n_rows", *_doubles())
+
+
+def p2_key_totals(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows, sums and number of distinct sensors of each family and each fine label of flows."""
+    out = key_totals(_states(spark, folder), [f"sum_{c}" for c in SUMMED])
+    return out.select("key_kind", "key_value", "n_rows", *_doubles(), F.col("n_members").alias("n_sensors"))
 
 
 _P2_SUMS = ", ".join(
-    f"round(sum(CASE WHEN isfinite({c}::DOUBLE) THEN {c}::DECIMAL(28,{s}) END)::DOUBLE, 3) AS sum_{c}" for c, s in SUMMED.items()
+    f"round(sum(CASE WHEN isfinite({c}::DOUBLE) THEN {c}::DECIMAL(28,{s}) END), 3)::DOUBLE AS sum_{c}" for c, s in SUMMED.items()
+)
+_P2_KEYS = (("family", "y_stage2_family"), ("fine", "y_stage2_fine"))
+P2_SENSORS_SQL = " UNION ALL ".join(
+    f"SELECT '{kind}' AS key_kind, nullif(trim({c}), '') AS key_value, sensor_id, count(*) AS n_rows, {_P2_SUMS} FROM flows GROUP BY nullif(trim({c}), ''), sensor_id" for kind, c in _P2_KEYS
 )
-P2_SQL = " UNION ALL ".join(
-    f"SELECT '{kind}' AS key_kind, nullif(trim({c}), '') AS key_value, count(*) AS n_rows, {_P2_SUMS}, count(DISTINCT sensor_id) AS n_sensors FROM flows GROUP BY nullif(trim({c}), '')"
-    for kind, c in (("family", "y_stage2_family"), ("fine", "y_stage2_fine"))
+P2_TOTALS_SQL = " UNION ALL ".join(
+    f"SELECT '{kind}' AS key_kind, nullif(trim({c}), '') AS key_value, count(*) AS n_rows, {_P2_SUMS}, count(DISTINCT sensor_id) AS n_sensors FROM flows GROUP BY nullif(trim({c}), '')" for kind, c in _P2_KEYS
 )
 
-QUERIES = {"p2_key_totals": p2_key_totals}
-SQL = {"p2_key_totals": P2_SQL}
+QUERIES = {"p2_key_sensors": p2_key_sensors, "p2_key_totals": p2_key_totals}
+SQL = {"p2_key_sensors": P2_SENSORS_SQL, "p2_key_totals": P2_TOTALS_SQL}
