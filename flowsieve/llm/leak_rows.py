@@ -5,9 +5,12 @@ its cell on a logarithmic grid, null / NaN / infinite into one "missing" cell) a
 joined with training hashes. Two records may disagree on `max_disagree` features, so with `max_disagree + 1`
 disjoint groups of features at least one group agrees completely: each record is hashed once per group. Cells are
 wider than the tolerance, and an evaluation record also probes the neighbouring cell of a value that lies within the
-tolerance of a cell's edge, so no pair is lost. Candidates are verified on the exact values inside the join.
+tolerance of a cell's edge, so no pair is lost.
+
+The shuffle of this join carries, besides hash and key, two longs with one byte per feature (a fine cell number modulo
+256): pairs whose bytes are too far apart are dropped inside the join, so what is left is nearly the result. Only these
+pairs fetch the exact values of their rows and are verified.
 
-A pair is written by the first group that agrees completely, hence once, without a `distinct` over the pairs.
 Buckets in which more than `hot_pairs` pairs would have to be compared are divided further by the same argument on
 the other features (at most `max_disagree` of them disagree), so one frequent combination of values cannot make the
 join quadratic.
@@ -18,11 +21,14 @@ repeated records each give their own pairs; an empty table gives no pairs; other
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowsieve import scratch
+
 #: Cell width on the log scale; any width above twice the tolerance is exact, wider means fewer probes, larger buckets.
 CELL = 0.06
 HOT_PAIRS = 2_000_000
@@ -62,8 +68,20 @@ def _numbers(ints: list[int]) -> Column:
     return F.array(*[F.lit(i) for i in ints])
 
 
-def _deal(features: list[str], n: int) -> list[list[str]]:
-    return [features[i::n] for i in range(n)]
+def _signature(names: list[str], step: float) -> Column:
+    """One byte for each of up to seven features: cells of the tolerance's width, modulo 256."""
+    out = F.lit(0).cast("long")
+    for i, n in enumerate(names):
+        v = F.col(n)
+        byte = F.when(~F.coalesce(usable(v), F.lit(False)), 0).when(v == 0, 128).otherwise(F.floor(F.ln(F.abs(v)) / F.lit(step)).bitwiseAND(F.lit(255)))
+        out = out.bitwiseOR(F.shiftleft(byte.cast("long"), 8 * i))
+    return out
+
+
+def _close_bytes(a: Column, b: Column, n: int) -> Column:
+    """How many of the first `n` bytes differ by at most one, modulo 256."""
+    apart = lambda i: F.pmod(F.shiftright(a, 8 * i) - F.shiftright(b, 8 * i) + 1, F.lit(256))
+    return reduce(lambda x, y: x + y, [(apart(i) <= 2).cast("int") for i in range(n)])
 
 
 def near_pairs(
@@ -76,15 +94,14 @@ def near_pairs(
     train: str = "train",
     evaluation: tuple[str, ...] = ("val", "test"),
     hot_pairs: int = HOT_PAIRS,
+    broadcast_rows: int = 1_000_000,
 ) -> DataFrame:
     """Pairs (train_key, eval_key, eval_split) of records that agree on all but `max_disagree` features."""
-    import math
-
     reach = -math.log1p(-tol) + 1e-9
     side = F.lower(F.trim(F.col(split)))
     rows = records.select(F.col(key).alias("_id"), side.alias("_split"), *[F.col(f).cast("double").alias(f"_v{i}") for i, f in enumerate(features)])
     names = [f"_v{i}" for i in range(len(features))]
-    groups = _deal(names, max_disagree + 1)
+    groups = [names[i :: max_disagree + 1] for i in range(max_disagree + 1)]
 
     index = [[names.index(n) for n in fs] for fs in groups]
 
@@ -94,12 +111,14 @@ def near_pairs(
 
     def keyed(df: DataFrame, probes: bool) -> DataFrame:
         bands = F.transform(F.array(*[_numbers(x) for x in index]), lambda which, g: F.struct(g.alias("g"), _hashes(g.cast("long"), which).alias("h")))
-        found = cells(df, probes).select("*", F.explode(bands).alias("_b"))
+        signed = cells(df, probes).withColumns({f"_s{i}": _signature(names[7 * i : 7 * i + 7], reach) for i in range(-(-len(names) // 7))})
+        found = signed.select("_id", "_low", "_high", *[c for c in signed.columns if c.startswith("_s") and c != "_split"], F.explode(bands).alias("_b"))
         return found.select("*", F.col("_b.g").alias("_g"), F.explode("_b.h").alias("_h")).drop("_b")
 
     left = keyed(rows.where(F.col("_split") == train), False)
     right = keyed(rows.where(F.col("_split").isin(*evaluation)), True)
-    hot = (
+    pick = lambda df, n: F.broadcast(df) if n <= broadcast_rows else df
+    hot, _ = scratch.cut(
         left.select("_h", F.lit(1).alias("t"), F.lit(0).alias("e"))
         .unionAll(right.select("_h", F.lit(0).alias("t"), F.lit(1).alias("e")))
         .groupBy("_h")
@@ -107,35 +126,29 @@ def near_pairs(
         .where(F.col("t") * F.col("e") > hot_pairs)
         .select("_h", F.lit(True).alias("_hot"))
     )
-
-    whole = [sum(1 << names.index(n) for n in fs) for fs in groups]
+    hot = pick(hot, hot.count())
     parts = [[[n for n in names if n not in fs][s :: max_disagree + 1] for s in range(max_disagree + 1)] for fs in groups]
+    halves = [names[i : i + 7] for i in range(0, len(names), 7)]
 
-    def placed(df: DataFrame, probes: bool) -> DataFrame:
+    def placed(df: DataFrame, probes: bool, prefix: str) -> DataFrame:
         """One row per hash; rows of hot buckets are hashed again, by thirds of the features outside their group."""
         rest = F.get(F.array(*[F.array(*[_numbers([names.index(n) for n in sub]) for sub in subs]) for subs in parts]), F.col("_g"))
-        finer = F.transform(rest, lambda which, s: F.struct(s.alias("s"), _hashes(F.xxhash64("_h", s), which).alias("h")))
-        same = F.array(F.struct(F.lit(-1).alias("s"), F.array("_h").alias("h")))
-        chosen = df.join(hot, "_h", "left").select("*", F.explode(F.when(F.col("_hot"), finer).otherwise(same)).alias("_c"))
-        return chosen.select("_id", "_split", *names, "_g", F.col("_c.s").alias("_s"), F.explode("_c.h").alias("_k"))
-
-    renamed = lambda df, p: df.select(*[F.col(c).alias(p + c) for c in df.columns])
-    a, b = renamed(placed(left, False), "a"), renamed(placed(right, True), "b")
-    agree = [agrees(F.col("a" + n), F.col("b" + n), tol) for n in names]
-    enough = reduce(lambda x, y: x + y, [f.cast("int") for f in agree]) >= len(names) - max_disagree
-    mask = reduce(lambda x, y: x.bitwiseOR(y), [F.when(f, 1 << i).otherwise(0) for i, f in enumerate(agree)])
-
-    def least(m: Column, sets: list[int]) -> Column:
-        """Number of the first set of features that agrees completely."""
-        return reduce(lambda rest, i: F.when(m.bitwiseAND(F.lit(sets[i])) == sets[i], i).otherwise(rest), reversed(range(len(sets))), F.lit(-2))
-
-    def written_here(m: Column) -> Column:
-        sub = F.lit(-2)
-        for g, subs in enumerate(parts):
-            sub = F.when(F.col("a_g") == g, least(m, [sum(1 << names.index(n) for n in p) for p in subs])).otherwise(sub)
-        return (least(m, whole) == F.col("a_g")) & ((F.col("a_s") == -1) | (sub == F.col("a_s")))
-
-    # the mask is bound to a lambda's variable, else the optimizer would copy its expression to each place of use
-    once = F.exists(F.array(mask), written_here)
-    met = a.join(b, (F.col("a_k") == F.col("b_k")) & (F.col("a_g") == F.col("b_g")) & (F.col("a_s") == F.col("b_s")) & enough & once)
-    return met.select(F.col("a_id").alias("train_key"), F.col("b_id").alias("eval_key"), F.col("b_split").alias("eval_split"))
+        finer = F.flatten(F.transform(rest, lambda which, s: _hashes(F.xxhash64("_h", s), which)))
+        chosen = df.join(hot, "_h", "left").select("*", F.explode(F.when(F.col("_hot"), finer).otherwise(F.array("_h"))).alias("_k"))
+        return chosen.select(F.col("_k").alias(prefix + "k"), F.col("_id").alias(prefix + "id"), *[F.col(f"_s{i}").alias(f"{prefix}s{i}") for i in range(len(halves))])
+
+    a, b = placed(left, False, "a_"), placed(right, True, "b_")
+    close = reduce(lambda x, y: x + y, [_close_bytes(F.col(f"a_s{i}"), F.col(f"b_s{i}"), len(h)) for i, h in enumerate(halves)])
+    met = a.join(b, (F.col("a_k") == F.col("b_k")) & (close >= len(names) - max_disagree)).select("a_id", "b_id").distinct()
+    met, _ = scratch.cut(met)
+    n = met.count()
+    involved = met.select(F.col("a_id").alias("_id")).unionAll(met.select(F.col("b_id").alias("_id"))).distinct()
+    few = rows.join(pick(involved, 2 * n), "_id", "left_semi")
+    side_of = lambda df, p: df.select(F.col("_id").alias(p + "id"), F.col("_split").alias(p + "split"), *[F.col(x).alias(p + x) for x in names])
+    agree = reduce(lambda x, y: x + y, [agrees(F.col("a_" + x), F.col("b_" + x), tol).cast("int") for x in names])
+    return (
+        met.join(side_of(few, "a_"), "a_id")
+        .join(side_of(few, "b_"), "b_id")
+        .where(agree >= len(names) - max_disagree)
+        .select(F.col("a_id").alias("train_key"), F.col("b_id").alias("eval_key"), F.col("b_split").alias("eval_split"))
+    )

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowsieve.llm.leak_rows import near_pairs
+from flowsieve.llm.multi_select import percentiles
 from flowsieve.tables import table
 
 #: The 14 numeric features of flows (fixed by the data's description).
@@ -15,6 +16,27 @@ FEATURES = [
 ]
 
 
+PERCENTS = [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
+DIMS = ["model_name", "holdout_family", "y_stage2_family", "score_day"]
+
+
+def p1_percentiles(spark: SparkSession, folder: str) -> DataFrame:
+    """Percentiles of p_attack and fam_pmax per group of DIMS and per every merger of such groups; exact."""
+    valid = lambda c: F.when(F.col(c).between(0.0, 1.0), F.col(c))
+    scores = table(spark, folder, "score_frame").withColumn("score_day", F.to_date("scored_at").cast("string"))
+    out = percentiles(scores, DIMS, {c: valid(c) for c in ("p_attack", "fam_pmax")}, PERCENTS, home=["holdout_family", "score_day"])
+    return out.select(*DIMS, "grouping_id", "metric", "n", *[F.round(F.get("q", F.lit(i)), 9).alias(f"p{round(p * 100):02d}") for i, p in enumerate(PERCENTS)])
+
+
+_BITS = " + ".join(f"grouping({d}) * {1 << i}" for i, d in enumerate(DIMS))
+P1_SQL = " UNION ALL ".join(
+    f"SELECT {', '.join(DIMS)}, CAST({_BITS} AS INT) AS grouping_id, '{m}' AS metric, count(v) AS n, "
+    + ", ".join(f"round(quantile_cont(v, {p}), 9) AS p{round(p * 100):02d}" for p in PERCENTS)
+    + f" FROM (SELECT model_name, holdout_family, y_stage2_family, CAST(CAST(scored_at AS DATE) AS VARCHAR) AS score_day, CASE WHEN {m} BETWEEN 0 AND 1 THEN {m} END AS v FROM score_frame) GROUP BY CUBE ({', '.join(DIMS)})"
+    for m in ("p_attack", "fam_pmax")
+)
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     pairs = near_pairs(table(spark, folder, "flows"), "row_id", "split", FEATURES)
     return pairs.select(F.least("train_key", "eval_key").alias("row_id_a"), F.greatest("train_key", "eval_key").alias("row_id_b"))
@@ -43,5 +65,5 @@ P4_OVERLAP_SQL = (
     "FROM flows LEFT JOIN leaked ON row_id = e WHERE lower(trim(split)) IN ('val', 'test') GROUP BY ALL"
 )
 
-QUERIES = {"p4_found": p4_found, "p4_overlap": p4_overlap}
-SQL = {"p4_found": P4_FOUND_SQL, "p4_overlap": P4_OVERLAP_SQL}
+QUERIES = {"p1_percentiles": p1_percentiles, "p4_found": p4_found, "p4_overlap": p4_overlap}
+SQL = {"p1_percentiles": P1_SQL, "p4_found": P4_FOUND_SQL, "p4_overlap": P4_OVERLAP_SQL}
