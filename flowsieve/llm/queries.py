@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from flowsieve.llm.leak_rows import near_pairs
 from flowsieve.llm.multi_select import percentiles
+from flowsieve.llm.target_sample import target_report, target_sample
 from flowsieve.tables import table
 
 #: The 14 numeric features of flows (fixed by the data's description).
@@ -32,7 +33,7 @@ _BITS = " + ".join(f"grouping({d}) * {1 << i}" for i, d in enumerate(DIMS))
 P1_SQL = " UNION ALL ".join(
     f"SELECT {', '.join(DIMS)}, CAST({_BITS} AS INT) AS grouping_id, '{m}' AS metric, count(v) AS n, "
     + ", ".join(f"round(quantile_cont(v, {p}), 9) AS p{round(p * 100):02d}" for p in PERCENTS)
-    + f" FROM (SELECT model_name, holdout_family, y_stage2_family, CAST(CAST(scored_at AS DATE) AS VARCHAR) AS score_day, CASE WHEN {m} BETWEEN 0 AND 1 THEN {m} END AS v FROM score_frame) GROUP BY CUBE ({', '.join(DIMS)})"
+    + f" FROM (SELECT model_name, holdout_family, y_stage2_family, CAST(CAST(scored_at AS DATE) AS VARCHAR) AS score_day, CASE WHEN isfinite({m}) AND {m} BETWEEN 0 AND 1 THEN {m} END AS v FROM score_frame) GROUP BY CUBE ({', '.join(DIMS)})"
     for m in ("p_attack", "fam_pmax")
 )
 
@@ -65,5 +66,30 @@ P4_OVERLAP_SQL = (
     "FROM flows LEFT JOIN leaked ON row_id = e WHERE lower(trim(split)) IN ('val', 'test') GROUP BY ALL"
 )
 
-QUERIES = {"p1_percentiles": p1_percentiles, "p4_found": p4_found, "p4_overlap": p4_overlap}
-SQL = {"p1_percentiles": P1_SQL, "p4_found": P4_FOUND_SQL, "p4_overlap": P4_OVERLAP_SQL}
+LEVELS = {"family": "y_stage2_family", "fine": "y_stage2_fine"}
+
+
+def p6_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Each target with its population in flows, what it needs, and what is missing."""
+    return target_report(table(spark, folder, "flows"), table(spark, folder, "sample_targets"), "flow_no", "row_id", "split", LEVELS)
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p6_report(spark, folder).where("shortfall > 0").select("target_no")
+
+
+def p6_sample(spark: SparkSession, folder: str) -> DataFrame:
+    """The sample of every plan; shares and minimums as p6_report's quotas."""
+    drawn = target_sample(table(spark, folder, "flows"), table(spark, folder, "sample_targets"), "flow_no", "row_id", "split", LEVELS)
+    return drawn.select("plan_no", "target_no", F.col("_key").alias("flow_no"), F.col("_record").alias("row_id"), F.round("weight", 12).alias("weight"))
+
+
+P6_FOUND_SQL = """
+WITH pop AS (SELECT flow_no, max(lower(trim(split))) AS split, max(lower(trim(y_stage2_family))) AS family, max(lower(trim(y_stage2_fine))) AS fine FROM flows GROUP BY flow_no),
+c AS (SELECT 'family' AS lvl, split, family AS cat, count(*) AS n FROM pop GROUP BY ALL UNION ALL SELECT 'fine', split, fine, count(*) FROM pop GROUP BY ALL)
+SELECT t.target_no FROM sample_targets t LEFT JOIN c ON c.lvl = t.cat_level AND c.cat = lower(trim(t.category)) AND (t.split IS NULL OR c.split = lower(trim(t.split)))
+GROUP BY t.target_no, t.min_rows, t.target_share, t.sample_size HAVING coalesce(sum(c.n), 0) < greatest(t.min_rows, round(t.target_share * t.sample_size, 6))
+"""
+
+QUERIES = {"p1_percentiles": p1_percentiles, "p4_found": p4_found, "p4_overlap": p4_overlap, "p6_found": p6_found, "p6_report": p6_report, "p6_sample": p6_sample}
+SQL = {"p1_percentiles": P1_SQL, "p4_found": P4_FOUND_SQL, "p4_overlap": P4_OVERLAP_SQL, "p6_found": P6_FOUND_SQL}
