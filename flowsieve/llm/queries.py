@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowsieve.llm.leak_rows import near_pairs
+from flowsieve.llm.linked_splits import components, linked_splits
 from flowsieve.llm.multi_select import percentiles
 from flowsieve.llm.target_sample import target_report, target_sample
 from flowsieve.tables import table
@@ -66,6 +67,62 @@ P4_OVERLAP_SQL = (
     "FROM flows LEFT JOIN leaked ON row_id = e WHERE lower(trim(split)) IN ('val', 'test') GROUP BY ALL"
 )
 
+SHARES = {"train": 0.70, "val": 0.15, "test": 0.15}
+
+
+def unit_keys() -> list:
+    """Source file, session and campaign of a planning unit; null where it has none."""
+    name = F.lower(F.trim("source_file_name"))
+    for ending in (r"\.(gz|bz2|xz|zip|zst|lz4|z)$", r"\.[a-z0-9]+$", r"_plus$"):
+        name = F.regexp_replace(name, ending, "")
+    session = F.lower(F.trim("session_id"))
+    family = F.lower(F.trim("holdout_family"))
+    return [
+        F.nullif(name, F.lit("")),
+        F.when(session.rlike("[0-9]"), session),  # an id has a number; "none", "n/a", "unknown", "-" name no session
+        F.when(F.col("campaign_no").isNotNull() & (family != ""), F.concat_ws(":", F.col("campaign_no").cast("string"), family)),
+    ]
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    units = table(spark, folder, "plan_units")
+    members = units.select(F.col("unit_no").alias("id"), F.explode(F.array(*[F.when(k.isNotNull(), F.concat(F.lit(f"{i}:"), k)) for i, k in enumerate(unit_keys())])).alias("key"))
+    return components(members).select(F.col("first").alias("group_first"), F.col("id").alias("unit_no"))
+
+
+def p3_split(spark: SparkSession, folder: str) -> DataFrame:
+    """Every planning unit with its group and split."""
+    out = linked_splits(table(spark, folder, "plan_units"), F.col("unit_no"), F.col("raw_row_count"), unit_keys(), SHARES)
+    return out.select(F.col("id").alias("unit_no"), F.col("first").alias("group_first"), "bin", "split")
+
+
+def p3_candidate_breaks(spark: SparkSession, folder: str) -> DataFrame:
+    """Per candidate split: groups of related units that it tears apart between splits."""
+    units = table(spark, folder, "plan_units")
+    first = units.select("unit_no", "unit_id").join(p3_found(spark, folder), "unit_no", "left").select(F.col("unit_id"), F.coalesce("group_first", "unit_no").alias("group_first"))
+    parts = F.array(*[F.struct(F.lit(s).alias("split"), F.split(F.coalesce(F.col(f"{s}_units"), F.lit("")), "[|]").alias("ids")) for s in SHARES])
+    listed = table(spark, folder, "candidate_splits").select("candidate_no", F.explode(parts).alias("p")).select("candidate_no", "p.split", F.explode("p.ids").alias("unit_id"))
+    listed = listed.select("candidate_no", "split", F.trim("unit_id").alias("unit_id")).distinct()
+    torn = listed.join(first, "unit_id").groupBy("candidate_no", "group_first").agg(F.count_distinct("split").alias("n"))
+    return torn.groupBy("candidate_no").agg(F.count(F.lit(1)).alias("n_groups"), F.count_if(F.col("n") > 1).alias("n_torn"))
+
+
+_P3_KEYS = """
+unit_keys AS (
+  SELECT unit_no, '0:' || nullif(regexp_replace(regexp_replace(regexp_replace(lower(trim(source_file_name)), '\\.(gz|bz2|xz|zip|zst|lz4|z)$', ''), '\\.[a-z0-9]+$', ''), '_plus$', ''), '') AS k FROM plan_units
+  UNION ALL SELECT unit_no, '1:' || lower(trim(session_id)) FROM plan_units WHERE regexp_matches(session_id, '[0-9]')
+  UNION ALL SELECT unit_no, '2:' || campaign_no || ':' || lower(trim(holdout_family)) FROM plan_units WHERE campaign_no IS NOT NULL AND trim(holdout_family) <> ''),
+star AS (SELECT DISTINCT u.unit_no AS a, m.b FROM unit_keys u JOIN (SELECT k, min(unit_no) AS b FROM unit_keys WHERE k IS NOT NULL GROUP BY k) m USING (k)),
+links AS (SELECT a, b FROM star UNION SELECT b, a FROM star),
+reach(id, other) AS (SELECT a, b FROM links UNION SELECT r.id, l.b FROM reach r JOIN links l ON l.a = r.other)"""
+P3_FOUND_SQL = f"WITH RECURSIVE {_P3_KEYS} SELECT min(other) AS group_first, id AS unit_no FROM reach GROUP BY id HAVING min(other) < id"
+P3_BREAKS_SQL = f"""
+WITH RECURSIVE {_P3_KEYS}, firsts AS (SELECT id, least(id, min(other)) AS g FROM reach GROUP BY id),
+listed AS (SELECT DISTINCT candidate_no, split, trim(x) AS unit_id FROM ({" UNION ALL ".join(f"SELECT candidate_no, '{s}' AS split, unnest(string_split(coalesce({s}_units, ''), '|')) AS x FROM candidate_splits" for s in SHARES)})),
+torn AS (SELECT candidate_no, coalesce(g, unit_no) AS g, count(DISTINCT split) AS n FROM listed JOIN plan_units USING (unit_id) LEFT JOIN firsts ON id = unit_no GROUP BY ALL)
+SELECT candidate_no, count(*) AS n_groups, count_if(n > 1) AS n_torn FROM torn GROUP BY candidate_no
+"""
+
 LEVELS = {"family": "y_stage2_family", "fine": "y_stage2_fine"}
 
 
@@ -91,5 +148,5 @@ SELECT t.target_no FROM sample_targets t LEFT JOIN c ON c.lvl = t.cat_level AND
 GROUP BY t.target_no, t.min_rows, t.target_share, t.sample_size HAVING coalesce(sum(c.n), 0) < greatest(t.min_rows, round(t.target_share * t.sample_size, 6))
 """
 
-QUERIES = {"p1_percentiles": p1_percentiles, "p4_found": p4_found, "p4_overlap": p4_overlap, "p6_found": p6_found, "p6_report": p6_report, "p6_sample": p6_sample}
-SQL = {"p1_percentiles": P1_SQL, "p4_found": P4_FOUND_SQL, "p4_overlap": P4_OVERLAP_SQL, "p6_found": P6_FOUND_SQL}
+QUERIES = {"p1_percentiles": p1_percentiles, "p3_found": p3_found, "p3_split": p3_split, "p3_candidate_breaks": p3_candidate_breaks, "p4_found": p4_found, "p4_overlap": p4_overlap, "p6_found": p6_found, "p6_report": p6_report, "p6_sample": p6_sample}
+SQL = {"p1_percentiles": P1_SQL, "p3_found": P3_FOUND_SQL, "p3_candidate_breaks": P3_BREAKS_SQL, "p4_found": P4_FOUND_SQL, "p4_overlap": P4_OVERLAP_SQL, "p6_found": P6_FOUND_SQL}
