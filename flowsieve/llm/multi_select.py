@@ -74,11 +74,13 @@ class _Part:
             v = pdf[f"v{m}"].to_numpy(np.float64)
             order = np.argsort(v, kind="stable")
             order = order[: np.count_nonzero(~np.isnan(v))]
-            self.metrics.append((v[order], code[order]))
+            v = v[order]
+            new = np.concatenate([[True], v[1:] != v[:-1]]) if len(v) else np.zeros(0, dtype=bool)
+            self.metrics.append((v, code[order], np.cumsum(new) - 1, v[new]))
 
     def runs(self, s: int, m: int, wanted: np.ndarray | None, skip: np.ndarray | None = None):
-        """(group ids, their bounds, values sorted within each group) of one grouping set and metric."""
-        values, code = self.metrics[m]
+        """(group ids, their bounds, values sorted within each group, search keys) of one grouping set and metric."""
+        values, code, ranks, distinct = self.metrics[m]
         gid_of_base = _gids(self.base, s)
         gids, dense = np.unique(gid_of_base, return_inverse=True)
         if wanted is not None or skip is not None:
@@ -88,21 +90,19 @@ class _Part:
         group = dense[code]
         if len(group) and (group < 0).any():
             kept = group >= 0
-            group, values = group[kept], values[kept]
+            group, values, ranks = group[kept], values[kept], ranks[kept]
         if len(gids) < 32000:
             group = group.astype(np.int16)  # a stable sort of small integers is a radix sort
         order = np.argsort(group, kind="stable")
-        bounds = np.searchsorted(group[order], np.arange(len(gids) + 1).astype(group.dtype))
-        return gids, bounds, values[order], group[order]
+        bounds = np.concatenate([[0], np.cumsum(np.bincount(group, minlength=len(gids)))])
+        keys = group[order].astype(np.int64) * (len(distinct) + 1) + ranks[order]
+        return gids, bounds, values[order], (keys, distinct)
 
 
-def _within(values: np.ndarray, group: np.ndarray, which: np.ndarray, x: np.ndarray, side: str) -> np.ndarray:
+def _within(search: tuple[np.ndarray, np.ndarray], which: np.ndarray, x: np.ndarray, side: str) -> np.ndarray:
     """For each (group, x): the position among the grouped sorted values where x belongs."""
-    distinct = np.unique(values)
-    width = len(distinct) + 1
-    keys = group.astype(np.int64) * width + np.searchsorted(distinct, values)
-    at = np.searchsorted(distinct, x, side=side)
-    return np.searchsorted(keys, which.astype(np.int64) * width + at)
+    keys, distinct = search
+    return np.searchsorted(keys, which.astype(np.int64) * (len(distinct) + 1) + np.searchsorted(distinct, x, side=side))
 
 
 def percentiles(
@@ -258,17 +258,17 @@ def _rounds(spark, summary: DataFrame, groups: list, k: int, n_m: int, percents:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             part = _Part(batches, k, n_m)
             for (s, m), ids in cells.items() if part.rows else ():
-                gids, bounds, ordered, group = part.runs(int(s), int(m), np.unique(cols["gid"][ids]))
+                gids, bounds, ordered, search = part.runs(int(s), int(m), np.unique(cols["gid"][ids]))
                 if not len(ordered):
                     continue
                 here = ids[np.isin(cols["gid"][ids], gids)]
                 g = np.searchsorted(gids, cols["gid"][here])
-                a = _within(ordered, group, g, cols["low"][here], "right")
-                z = _within(ordered, group, g, cols["high"][here], "left")
+                a = _within(search, g, cols["low"][here], "right")
+                z = _within(search, g, cols["high"][here], "left")
                 p = cols["pivot"][here]
                 opening = np.isnan(p)  # no pivot yet: propose for the whole range
-                x = np.where(opening, z, _within(ordered, group, g, np.where(opening, 0, p), "left"))
-                y = np.where(opening, z, _within(ordered, group, g, np.where(opening, 0, p), "right"))
+                x = np.where(opening, z, _within(search, g, np.where(opening, 0, p), "left"))
+                y = np.where(opening, z, _within(search, g, np.where(opening, 0, p), "right"))
                 last = len(ordered) - 1
                 yield pd.DataFrame({
                     "rid": here.astype(np.int32), "lt": x - a, "eq": y - x,
@@ -326,12 +326,12 @@ def _rounds(spark, summary: DataFrame, groups: list, k: int, n_m: int, percents:
         def collect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             part = _Part(batches, k, n_m)
             for (s, m), ids in cells.items() if part.rows else ():
-                gids, bounds, ordered, group = part.runs(int(s), int(m), np.unique(cols["gid"][ids]))
+                gids, bounds, ordered, search = part.runs(int(s), int(m), np.unique(cols["gid"][ids]))
                 if len(ordered):
                     here = ids[np.isin(cols["gid"][ids], gids)]
                     g = np.searchsorted(gids, cols["gid"][here])
-                    a = _within(ordered, group, g, cols["low"][here], "right")
-                    z = _within(ordered, group, g, cols["high"][here], "left")
+                    a = _within(search, g, cols["low"][here], "right")
+                    z = _within(search, g, cols["high"][here], "left")
                     some = z > a
                     yield pd.DataFrame({"rid": here[some].astype(np.int32), "run": [ordered[i:j].tobytes() for i, j in zip(a[some], z[some])]})
 
