@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowsieve.operators import schema_drift
+from flowsieve.operators.line_loader import load_lines
 from flowsieve.operators.tree_aggregate import exact, key_totals, tree_states
+from flowsieve import scratch
 from flowsieve.tables import table
 
 SUMMED = {"tot_fwd_pkts": 0, "tot_bwd_pkts": 0, "fwd_bytes": 0, "bwd_bytes": 0, "flow_duration": 4}
@@ -47,5 +50,66 @@ P2_TOTALS_SQL = " UNION ALL ".join(
     f"SELECT '{kind}' AS key_kind, nullif(trim({c}), '') AS key_value, count(*) AS n_rows, {_P2_SUMS}, count(DISTINCT sensor_id) AS n_sensors FROM flows GROUP BY nullif(trim({c}), '')" for kind, c in _P2_KEYS
 )
 
-QUERIES = {"p2_key_sensors": p2_key_sensors, "p2_key_totals": p2_key_totals}
-SQL = {"p2_key_sensors": P2_SENSORS_SQL, "p2_key_totals": P2_TOTALS_SQL}
+
+def _drift(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    once, entries = schema_drift.observe(table(spark, folder, "capture_records"))
+    entries, _ = scratch.cut(entries)
+    columns, _ = scratch.cut(schema_drift.columns_of_files(once, entries))
+    return once, entries, columns, schema_drift.resolve_names(entries, columns, table(spark, folder, "field_catalog"))
+
+
+def p5_changes(spark: SparkSession, folder: str) -> DataFrame:
+    """Every change of a file's columns against the file captured before it in its feed, with what it was before."""
+    _, _, columns, resolved = _drift(spark, folder)
+    return schema_drift.changes(table(spark, folder, "capture_files"), columns, resolved)
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p5_changes(spark, folder).select("file_no", "column_name", "change_kind")
+
+
+def p5_table(spark: SparkSession, folder: str) -> DataFrame:
+    """All capture records as one table with the fields of the catalog; the rest as JSON in _rescued."""
+    once, entries, _, resolved = _drift(spark, folder)
+    return schema_drift.ingest(once, entries, resolved, table(spark, folder, "field_catalog"))
+
+
+
+def _loaded(spark: SparkSession, folder: str) -> DataFrame:
+    labels = [r.fine_label for r in table(spark, folder, "label_map").select("fine_label").collect()]
+    return load_lines(table(spark, folder, "raw_lines"), "line_id", "line_text", table(spark, folder, "raw_schema"), labels)
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _loaded(spark, folder).where(F.col("reason").isNotNull()).select("line_id", "reason")
+
+
+def p7_rejects(spark: SparkSession, folder: str) -> DataFrame:
+    """Rejected lines with the reason and the columns of the failing cells."""
+    return _loaded(spark, folder).where(F.col("reason").isNotNull()).select("line_id", "reason", F.array_join("bad_columns", "|").alias("bad_columns"))
+
+
+def p7_table(spark: SparkSession, folder: str) -> DataFrame:
+    """The lines that load, typed."""
+    return _loaded(spark, folder).where(F.col("reason").isNull()).drop("reason", "bad_columns")
+
+
+_F = r'''(?:"(?:[^"]|"")*"|[^",\r\n]*)'''
+_P7_JUDGED = rf"""
+WITH formed AS (SELECT line_id, coalesce(line_text, '') AS t FROM raw_lines WHERE regexp_full_match(coalesce(line_text, ''), '{_F}(?:,{_F})*')),
+split_ AS (SELECT line_id, regexp_extract_all(',' || t, ',({_F})', 1) AS f FROM formed),
+cells AS (SELECT line_id, unnest(f) AS c, generate_subscripts(f, 1) AS pos FROM split_ WHERE len(f) = 43),
+tidy AS (SELECT line_id, pos, trim(CASE WHEN c[1] = '"' THEN replace(c[2:-2], '""', '"') ELSE c END, chr(32) || chr(9) || chr(10) || chr(13)) AS v FROM cells),
+bad AS (SELECT line_id, list(column_name ORDER BY pos) AS names FROM tidy JOIN raw_schema ON pos = col_pos WHERE CASE
+  WHEN v = '' THEN NOT may_be_empty
+  WHEN value_kind IN ('integer', 'flag') THEN NOT regexp_full_match(v, '[+-]?[0-9]+') OR NOT coalesce(try_cast(v AS DOUBLE) BETWEEN min_value AND max_value, false)
+  WHEN value_kind = 'real' THEN NOT regexp_full_match(v, '[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?') OR NOT coalesce(try_cast(v AS DOUBLE) BETWEEN min_value AND max_value, false)
+  WHEN value_kind = 'label' THEN lower(replace(v, '.', '')) NOT IN (SELECT lower(replace(fine_label, '.', '')) FROM label_map)
+  ELSE false END GROUP BY line_id),
+judged AS (SELECT r.line_id, CASE WHEN s.line_id IS NULL THEN 'quoting' WHEN len(s.f) <> 43 THEN 'column_count' WHEN b.line_id IS NOT NULL THEN 'bad_value' END AS reason, coalesce(array_to_string(b.names, '|'), '') AS names
+  FROM raw_lines r LEFT JOIN split_ s USING (line_id) LEFT JOIN bad b ON b.line_id = r.line_id)"""
+P7_FOUND_SQL = f"{_P7_JUDGED} SELECT line_id, reason FROM judged WHERE reason IS NOT NULL"
+P7_REJECTS_SQL = f"{_P7_JUDGED} SELECT line_id, reason, CASE WHEN reason = 'bad_value' THEN names END AS bad_columns FROM judged WHERE reason IS NOT NULL"
+
+QUERIES = {"p7_found": p7_found, "p7_rejects": p7_rejects, "p7_table": p7_table, "p5_found": p5_found, "p5_changes": p5_changes, "p5_table": p5_table, "p2_key_sensors": p2_key_sensors, "p2_key_totals": p2_key_totals}
+SQL = {"p7_found": P7_FOUND_SQL, "p7_rejects": P7_REJECTS_SQL, "p2_key_sensors": P2_SENSORS_SQL, "p2_key_totals": P2_TOTALS_SQL}
