@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowsieve.llm.leak_rows import near_pairs
+from flowsieve.llm.leak_text import leaks
 from flowsieve.llm.linked_splits import components, linked_splits
 from flowsieve.llm.multi_select import percentiles
+from flowsieve.llm.packing import pack, pieces
+from flowsieve.llm.residue import detect
 from flowsieve.llm.target_sample import target_report, target_sample
 from flowsieve.tables import table
 
@@ -148,5 +151,50 @@ SELECT t.target_no FROM sample_targets t LEFT JOIN c ON c.lvl = t.cat_level AND
 GROUP BY t.target_no, t.min_rows, t.target_share, t.sample_size HAVING coalesce(sum(c.n), 0) < greatest(t.min_rows, round(t.target_share * t.sample_size, 6))
 """
 
-QUERIES = {"p1_percentiles": p1_percentiles, "p3_found": p3_found, "p3_split": p3_split, "p3_candidate_breaks": p3_candidate_breaks, "p4_found": p4_found, "p4_overlap": p4_overlap, "p6_found": p6_found, "p6_report": p6_report, "p6_sample": p6_sample}
-SQL = {"p1_percentiles": P1_SQL, "p3_found": P3_FOUND_SQL, "p3_candidate_breaks": P3_BREAKS_SQL, "p4_found": P4_FOUND_SQL, "p4_overlap": P4_OVERLAP_SQL, "p6_found": P6_FOUND_SQL}
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    cut = pieces(table(spark, folder, "documents"), table(spark, folder, "capacities"), "doc_id", "text")
+    return cut.where("n_pieces > 1 AND piece = 0").select("capacity_no", F.col("item").alias("doc_id"))
+
+
+def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
+    """Where each document, or piece of a document above the capacity, lies."""
+    out = pack(table(spark, folder, "documents"), table(spark, folder, "capacities"), "doc_id", "text")
+    return out.withColumnRenamed("item", "doc_id")
+
+
+P8_FOUND_SQL = r"""
+SELECT capacity_no, doc_id FROM documents, capacities
+WHERE len(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\x0B\x{85}\p{Z}]+')) > capacity_tokens
+"""
+
+
+def p10_verdicts(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with what each detector says of it; rows with `residue` are to be left out."""
+    return detect(table(spark, folder, "documents"), "doc_id", "text", "source").withColumnRenamed("id", "doc_id")
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p10_verdicts(spark, folder).where("residue").select("doc_id")
+
+
+
+def p9_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold passages of test items, verbatim or paraphrased."""
+    out = leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+    return out.select("doc_id", "item_id", "kind", "longest_run", F.round("subsequence", 6).alias("subsequence"), F.round("answers", 6).alias("answers"))
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"), verbatim_only=True).select("doc_id", "item_id")
+
+
+P9_FOUND_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents), e AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items),
+dg AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k + 11], ' '))) AS g FROM d WHERE len(w) >= 12),
+eg AS (SELECT item_id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k + 11], ' '))) AS g FROM e WHERE len(w) >= 12)
+SELECT DISTINCT doc_id, item_id FROM dg JOIN eg USING (g)
+"""
+
+QUERIES = {"p1_percentiles": p1_percentiles, "p3_found": p3_found, "p3_split": p3_split, "p3_candidate_breaks": p3_candidate_breaks, "p4_found": p4_found, "p4_overlap": p4_overlap, "p8_found": p8_found, "p8_containers": p8_containers, "p10_found": p10_found, "p10_verdicts": p10_verdicts, "p9_found": p9_found, "p9_leaks": p9_leaks, "p6_found": p6_found, "p6_report": p6_report, "p6_sample": p6_sample}
+SQL = {"p1_percentiles": P1_SQL, "p3_found": P3_FOUND_SQL, "p3_candidate_breaks": P3_BREAKS_SQL, "p4_found": P4_FOUND_SQL, "p4_overlap": P4_OVERLAP_SQL, "p8_found": P8_FOUND_SQL, "p9_found": P9_FOUND_SQL, "p6_found": P6_FOUND_SQL}
