@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowsieve.plans import data_queries
+from flowsieve.plans import clean_queries, data_queries, metric_queries
 
-MODULES = [data_queries]
+MODULES = [data_queries, clean_queries, metric_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,6 +20,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    from flowsieve.plans import data_queries as module
-
-    return next(iter(module.QUERIES.values()))(spark, folder)
+    return metric_queries.QUERIES["agg12_system_metrics"](spark, folder)
