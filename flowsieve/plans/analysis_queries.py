@@ -442,7 +442,7 @@ def ana33(spark, d):
 def agg01_incremental(spark, d):
     """AGG-01 fed by a file stream: the same counts as in batch."""
     schema = table(spark, d, "flows").schema
-    counted = incremental.count_files(spark, f"{d}/flows.parquet", schema, {"dataset": F.col("dataset"), "split": F.lower(F.trim("split"))})
+    counted = incremental.count_files(spark, f"{d}/flows.parque[t]", schema, {"dataset": F.col("dataset"), "split": F.lower(F.trim("split"))})
     return counted.select("dataset", "split", "n")
 
 
