@@ -191,8 +191,8 @@ def leaks(
             keep = np.flatnonzero(share >= least_known)
             t, doc, pos = t[keep], doc[keep], pos[keep]
             found: dict[tuple[int, int], list[tuple[int, int]]] = {}
-            for lo in range(0, len(t), 2048):  # blocks of passages against all windows
-                near = unit(t[lo : lo + 2048]) @ wall >= cosine
+            for lo in range(0, len(t), 1024):  # blocks of passages against all windows
+                near = unit(t[lo : lo + 1024]) @ wall >= cosine
                 for a, b in zip(*np.nonzero(near)):
                     found.setdefault((int(doc[lo + a]), int(owner[b])), []).append((int(pos[lo + a]), int(at[b])))
             for (d, i), hits in found.items():
@@ -214,12 +214,10 @@ def leaks(
                 sub = ans = None
                 if not verbatim_only:
                     own_words, n = pdf["w"].iloc[d], len(theirs)
-                    first, last = min(p for p, _ in hits), max(p for p, _ in hits)
                     # the stretch of an item's length that holds most of the hits
-                    starts = sorted({p for p, _ in hits})
-                    best = max(starts, key=lambda s: sum(s <= p < s + n for p in starts))
+                    starts = np.unique([p for p, _ in hits])
+                    best = int(starts[np.argmax(np.searchsorted(starts, starts + n) - np.arange(len(starts)))])
                     stretch = list(own_words[max(0, best - n // 2) : best + n + n // 2])
-                    del first, last
                     sub = _subsequence(list(item_words[i]), stretch) / n
                     ans = len(numbered[i] & set(stretch)) / max(1, len(numbered[i]))
                 if longest >= shared:

@@ -181,7 +181,7 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p9_leaks(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that hold passages of test items, verbatim or paraphrased."""
-    out = leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+    out = leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"), cosine=0.8)
     return out.select("doc_id", "item_id", "kind", "longest_run", F.round("subsequence", 6).alias("subsequence"), F.round("answers", 6).alias("answers"))
 
 

@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowsieve import scratch
+
 #: Marks of template languages that are left unfilled.
 MARKS = [
     r"\{\{\s*[A-Za-z_][\w .|-]*\}\}", r"\$\{\s*[A-Za-z_][\w.]*\s*\}", r"#\{\s*[A-Za-z_][\w.]*\s*\}", r"(?<![{$#\w])\{[A-Za-z_][A-Za-z_ ]*\}(?!\})",
@@ -83,36 +85,48 @@ def words(text: Column) -> Column:
 
 def detect(documents: DataFrame, id: str, text: str, host: str, rare_share: float = 0.01, foreign: float = 0.5, most_words: int = 40, few_words: int = 8, answers: int = 3) -> DataFrame:
     """id and the detectors' verdicts: placeholder, filler, notice, response; `residue`: any of them."""
-    docs = documents.select(F.col(id).alias("id"), F.col(host).alias("host"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("body", plain(F.col("text")))
-    docs = docs.withColumn("s", sentences(F.col("body")))
-    chrome = lambda s: F.lower(s).rlike(rf"^(?:{_ANY(CHROME)})[.!]?$")
-    notice = lambda s: F.lower(s).rlike(rf"^(?:{_ANY(NOTICES)})")
-    # a heading: a short line without a closing mark, before the first sentence
-    heading = lambda s, i: (i == 0) & ~s.rlike(r"[.!?]$") & (F.size(F.split(s, r"\s+")) <= 8)
+    docs = documents.select(F.col(id).alias("id"), F.col(host).alias("host"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    bodies = docs.withColumn("body", plain(F.col("text")))
+    # cheap conditions first: most texts hold neither brackets nor null words, most sentences are no short line
+    marked = F.col("body").rlike(r"[{}\[\]<%@_]") & F.col("body").rlike(_ANY(MARKS))
+    nulls = F.col("body").rlike(r"undefined|UNDEFINED|None|NaN|nan|null|NULL") & F.col("body").rlike(_ANY(NULL_WORDS))
     stop = r"(?i)(?<!\p{L})(?:" + "|".join(sorted(set(FUNCTION_WORDS))) + r")(?!\p{L})"
-    hollow = lambda s: s.rlike(r"^(?:\p{L}{3,}[ ,]+){4,}\p{L}{3,}[.!?]?$") & ~s.rlike(stop)
-    unit = F.filter("s", lambda s: ~chrome(s))
-    judged = docs.withColumn("u", unit).select(
-        "id", "host", "text", "body",
-        F.coalesce(F.col("body").rlike(_ANY(MARKS + NULL_WORDS)), F.lit(False)).alias("placeholder"),
-        (F.exists("u", lambda s: s.rlike(_ANY(FILLER))) | (F.size(F.filter("u", hollow)) >= 2) | ((F.size(F.filter("u", hollow)) >= 1) & (F.size("u") == 1))).alias("filler"),
-        (F.exists("u", notice) & (F.size(F.flatten(F.transform(F.filter(F.filter("u", lambda s, i: ~heading(s, i)), lambda s: ~notice(s)), words))) <= few_words)).alias("notice"),
-        F.array_join(F.filter("u", lambda s, i: ~heading(s, i)), " ").alias("core"),
+
+    def judge(s: Column, i: Column) -> Column:
+        low = F.lower(s)
+        return F.struct(
+            s.alias("s"),
+            ((F.length(s) <= 80) & low.rlike(rf"^(?:{_ANY(CHROME)})[.!]?$")).alias("chrome"),
+            # a heading: a short line without a closing mark, before the first sentence
+            ((i == 0) & ~s.rlike(r"[.!?]$") & (F.size(F.split(s, r"\s+")) <= 8)).alias("heading"),
+            low.rlike(rf"^(?:{_ANY(NOTICES)})").alias("notice"),
+            s.rlike(_ANY(FILLER)).alias("filler"),
+            (s.rlike(r"^(?:\p{L}{3,}[ ,]+){4,}\p{L}{3,}[.!?]?$") & ~s.rlike(stop)).alias("hollow"),
+        )
+
+    units = bodies.select("id", "host", "body", (marked | nulls).alias("placeholder"), F.filter(F.transform(sentences(F.col("body")), judge), lambda u: ~u["chrome"]).alias("u"))
+    content = lambda u: ~u["notice"] & ~u["heading"]
+    hollow = F.size(F.filter("u", lambda u: u["hollow"]))
+    judged = units.select(
+        "id", "host", F.coalesce("placeholder", F.lit(False)).alias("placeholder"),
+        (F.exists("u", lambda u: u["filler"]) | (hollow >= 2) | ((hollow >= 1) & (F.size("u") == 1))).alias("filler"),
+        (F.exists("u", lambda u: u["notice"]) & (F.size(words(F.array_join(F.transform(F.filter("u", content), lambda u: u["s"]), " "))) <= few_words)).alias("notice"),
+        F.array_join(F.transform(F.filter("u", lambda u: ~u["heading"]), lambda u: u["s"]), " ").alias("core"),
     )
+    short = ~F.col("placeholder") & ~F.col("filler") & ~F.col("notice") & F.size(words(F.col("core"))).between(1, most_words)
+    judged, _ = scratch.cut(judged.withColumn("core", F.when(short, F.col("core"))))  # each text is judged once
     common = common_words(docs, rare_share)
-    low = judged.where(~F.col("placeholder") & ~F.col("filler") & ~F.col("notice") & F.size(words(F.col("core"))).between(1, most_words))
     shape = F.md5(F.regexp_replace(F.lower("core"), r"[\d\W]+", " "))
-    terms = low.select("id", "host", shape.alias("shape"), F.explode(words(F.col("core"))).alias("word")).join(common, "word", "left")
-    share = terms.groupBy("id", "host", "shape").agg(F.avg(F.coalesce("usual", F.lit(0.0))).alias("usual"))
-    odd = share.where(F.col("usual") <= 1 - foreign)
+    terms = judged.where(F.col("core").isNotNull()).select("id", "host", shape.alias("shape"), F.explode(words(F.col("core"))).alias("word")).join(common, "word", "left")
+    odd, _ = scratch.cut(terms.groupBy("id", "host", "shape").agg(F.avg(F.coalesce("usual", F.lit(0.0))).alias("usual")).where(F.col("usual") <= 1 - foreign))
     often = odd.groupBy("shape").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("host").alias("hosts")).where((F.col("n") >= answers) & (F.col("hosts") > 1))
     response = odd.join(often, "shape").select("id").distinct().withColumn("response", F.lit(True))
-    out = judged.join(response, "id", "left").withColumn("response", F.coalesce("response", F.lit(False)))
+    out = judged.drop("core").join(response, "id", "left").withColumn("response", F.coalesce("response", F.lit(False)))
     return out.select("id", "placeholder", "filler", "notice", "response", (F.col("placeholder") | F.col("filler") | F.col("notice") | F.col("response")).alias("residue"))
 
 
 def common_words(docs: DataFrame, rare_share: float) -> DataFrame:
     """Words of at least `rare_share` of all documents: at most (mean distinct words of a document) / rare_share rows."""
     n = docs.count()
-    counts = docs.select(F.explode(F.array_distinct(words(F.col("body")))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    counts = docs.select(F.explode(F.array_distinct(words(F.col("text")))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     return counts.where(F.col("df") >= max(1.0, rare_share * n)).select("word", F.lit(1.0).alias("usual"))
