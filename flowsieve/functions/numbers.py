@@ -43,9 +43,10 @@ def platt(p: Column, a: float, b: float) -> Column:
 def wilson(k: Column, n: Column, z: float = 1.959963984540054) -> tuple[Column, Column]:
     """Bounds of the Wilson interval; null where n = 0."""
     rate = F.try_divide(k, n)
-    mid = (rate + z * z / (2 * n)) / (1 + z * z / n)
-    half = z * F.sqrt(rate * (1 - rate) / n + z * z / (4 * n * n)) / (1 + z * z / n)
-    return F.greatest(F.lit(0.0), mid - half), F.least(F.lit(1.0), mid + half)
+    n_ = F.nullif(n, F.lit(0.0))  # ANSI mode: division by 0 would fail
+    mid = (rate + z * z / (2 * n_)) / (1 + z * z / n_)
+    half = z * F.sqrt(rate * (1 - rate) / n_ + z * z / (4 * n_ * n_)) / (1 + z * z / n_)
+    return F.when(n > 0, F.greatest(F.lit(0.0), mid - half)), F.when(n > 0, F.least(F.lit(1.0), mid + half))
 
 
 def worst_half_width(n: Column, z: float = 1.959963984540054) -> Column:

@@ -24,8 +24,9 @@ def benjamini_hochberg(df: DataFrame, keys: list[str], p: str, tie: str) -> Data
     marked = df.withColumn("_p", valid).withColumn("_v", F.col("_p").isNotNull())
     marked = marked.withColumns({"_m": F.count(F.lit(1)).over(group), "_rn": F.row_number().over(group.orderBy("_p", tie))})
     back = group.orderBy(F.col("_rn").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    adjusted = F.least(F.lit(1.0), F.min(F.col("_p") * F.col("_m") / F.col("_rn")).over(back))
-    return marked.withColumns({"p_bh": adjusted, "p_bonferroni": F.least(F.lit(1.0), F.col("_p") * F.col("_m"))}).drop("_p", "_v", "_m", "_rn")
+    capped = lambda x: F.when(F.col("_v"), F.least(F.lit(1.0), x))
+    adjusted = capped(F.min(F.col("_p") * F.col("_m") / F.col("_rn")).over(back))
+    return marked.withColumns({"p_bh": adjusted, "p_bonferroni": capped(F.col("_p") * F.col("_m"))}).drop("_p", "_v", "_m", "_rn")
 
 
 def seed_summary(df: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:

@@ -480,13 +480,13 @@ def prj18(spark, d):
 
 _METHODS = {"control_tau": 0.6, "margin_reject": 0.3, "entropy_reject": 0.5, "conformal_reject": 0.4}
 _RULE = {"control_tau": ("pmax < 0.6", "1 - pmax"), "margin_reject": ("margin < 0.3", "1 - margin"), "entropy_reject": ("entropy > 0.5", "entropy"), "conformal_reject": ("pmax < coalesce(t, 0)", "coalesce(t, 0) - pmax")}
-_CONF = "q AS (SELECT run_id, fam AS family, quantile_cont(tprob, 0.1) AS t FROM s WHERE split = 'val' AND y1 = 1 AND tprob IS NOT NULL GROUP BY ALL), j AS (SELECT s.*, t FROM s LEFT JOIN q ON q.run_id = s.run_id AND q.family = s.pred_fam)"
+_CONF = "q AS (SELECT run_id, fam AS family, round(quantile_cont(tprob, 0.1), 9) AS t FROM s WHERE split = 'val' AND y1 = 1 AND tprob IS NOT NULL GROUP BY ALL), j AS (SELECT s.*, t FROM s LEFT JOIN q ON q.run_id = s.run_id AND q.family = s.pred_fam)"
 
 
 def rejected_by_methods(spark, d):
     """Scores decided by each of the four rejectors: method, pred, rejected, doubt."""
     s = scores(spark, d)
-    q = s.where("split = 'val' AND y1 = 1 AND tprob IS NOT NULL").groupBy("run_id", F.col("fam").alias("pred_fam")).agg(F.percentile("tprob", F.lit(0.1)).alias("t"))
+    q = s.where("split = 'val' AND y1 = 1 AND tprob IS NOT NULL").groupBy("run_id", F.col("fam").alias("pred_fam")).agg(R(F.percentile("tprob", F.lit(0.1)), 9).alias("t"))
     j = s.join(q, ["run_id", "pred_fam"], "left")
     col = F.col
     each = []

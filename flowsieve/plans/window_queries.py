@@ -288,7 +288,7 @@ def set07(spark, d):
     return table(spark, d, "score_frame").select(F.col("run_seed").alias("seed")).union(asked).distinct()
 
 
-@book("set08_partition_overwrite", f"WITH {FLOWS} SELECT dataset, CASE WHEN dataset = 'MillNet' THEN 0 ELSE count(*) END AS n FROM f GROUP BY dataset")
+@book("set08_partition_overwrite", f"WITH {FLOWS} SELECT dataset, CASE WHEN dataset = (SELECT min(dataset) FROM f) THEN 0 ELSE count(*) END AS n FROM f GROUP BY dataset")
 def set08(spark, d):
     """Rewriting one partition of a summary leaves the others untouched."""
     import uuid
@@ -298,7 +298,7 @@ def set08(spark, d):
     at = f"{scratch.shared_folder(spark)}/sink-{uuid.uuid4().hex}"
     summary = flows(spark, d).groupBy("dataset").agg(F.count(F.lit(1)).alias("n"))
     summary.write.partitionBy("dataset").parquet(at)
-    changed = spark.createDataFrame([("MillNet", 0)], "dataset string, n long")
+    changed = summary.agg(F.min("dataset").alias("dataset")).select("dataset", F.lit(0).cast("long").alias("n"))
     changed.write.partitionBy("dataset").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(at)
     return spark.read.parquet(at).select("dataset", "n")
 
