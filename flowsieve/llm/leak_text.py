@@ -153,7 +153,8 @@ def leaks(
             if t:
                 t = np.concatenate(t)
                 t = t[squared[t].sum(axis=1) - np.where(t == len(code), squared[-1], 0).sum(axis=1) >= least_known * squared[t].sum(axis=1)]
-                yield pd.DataFrame({"codes": list(t)})
+                if len(t):
+                    yield pd.DataFrame({"codes": list(t)})
 
     fraction = min(1.0, fit_passages / 20 / max(1, n_docs))  # about 20 passages a document; the limit below is the bound
     picked = docs.where(F.pmod(F.xxhash64(F.lit(3), "d"), F.lit(1_000_000)) < int(1_000_000 * fraction)).mapInPandas(sample, "codes array<int>").limit(fit_passages)

@@ -111,7 +111,7 @@ def detect(documents: DataFrame, id: str, text: str, host: str, rare_share: floa
         "id", "host", F.coalesce("placeholder", F.lit(False)).alias("placeholder"),
         (F.exists("u", lambda u: u["filler"]) | (hollow >= 2) | ((hollow >= 1) & (F.size("u") == 1))).alias("filler"),
         (F.exists("u", lambda u: u["notice"]) & (F.size(words(F.array_join(F.transform(F.filter("u", content), lambda u: u["s"]), " "))) <= few_words)).alias("notice"),
-        F.array_join(F.transform(F.filter("u", lambda u: ~u["heading"]), lambda u: u["s"]), " ").alias("core"),
+        F.array_join(F.transform(F.filter("u", lambda u: ~u["heading"] | (F.size("u") == 1)), lambda u: u["s"]), " ").alias("core"),
     )
     short = ~F.col("placeholder") & ~F.col("filler") & ~F.col("notice") & F.size(words(F.col("core"))).between(1, most_words)
     judged, _ = scratch.cut(judged.withColumn("core", F.when(short, F.col("core"))))  # each text is judged once
