@@ -584,4 +584,31 @@ def cnd01(spark, d):
     return r.select("run_id", L.holdout_case(F.col("u"), F.col("f")).alias("case_label"), L.delta_band(F.col("u") - F.col("f")).alias("band"))
 
 
+@book("prj10_drop_columns", "SELECT row_id, protocol, fwd_bytes, y_stage2_family FROM flows")
+def prj10(spark, d):
+    """Label spelling, identifiers and times go; absent names in the list are ignored."""
+    gone = ["label", "sensor_id", "captured_at", "ingested_at", "no_such_column"]
+    return table(spark, d, "flows").drop(*gone).select("row_id", "protocol", "fwd_bytes", "y_stage2_family")
+
+
+@book("prj12_expected_features", "SELECT row_id, fwd_bytes::DOUBLE AS fwd_bytes, NULL::DOUBLE AS ttl_min FROM flows")
+def prj12(spark, d):
+    df = table(spark, d, "flows")
+    return df.select("row_id", *[F.col(c).cast("double").alias(c) if c in df.columns else F.lit(None).cast("double").alias(c) for c in ("fwd_bytes", "ttl_min")])
+
+
+@book("str01_canonical_names", f"WITH {_PATHS} SELECT file_no, {_CANON.format('name')} AS canonical FROM p")
+def str01(spark, d):
+    return table(spark, d, "capture_files").select("file_no", T.canonical(I.base_name(F.col("file_path"))).alias("canonical"))
+
+
+@book("udf01_sql_functions", f"WITH {SCORES} SELECT score_id, CASE WHEN p < 0.5 THEN 'Benign' WHEN pmax < 0.6 THEN 'Unknown' ELSE pred_fam END AS pred, CASE WHEN y1 = 0 THEN 'Benign' ELSE fam END AS truth FROM s")
+def udf01(spark, d):
+    """The rules as temporary SQL functions, expanded in line."""
+    from flowsieve.functions import sql
+
+    sql.register(spark)
+    return scores(spark, d).selectExpr("score_id", "decide(p, pmax, pred_fam, 0.5D, 0.6D) AS pred", "closed_truth(y1, fam) AS truth")
+
+
 QUERIES, SQL = book.queries, book.sql
