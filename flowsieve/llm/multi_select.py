@@ -99,6 +99,20 @@ class _Part:
         return gids, bounds, values[order], (keys, distinct)
 
 
+def _chunks(batches: Iterator[pd.DataFrame], n_dims: int, n_metrics: int, rows: int = 1 << 20) -> Iterator[_Part]:
+    """A partition in chunks of bounded memory; counts, medians and runs of chunks are combined like those of partitions."""
+    held: list[pd.DataFrame] = []
+    size = 0
+    for pdf in batches:
+        held.append(pdf)
+        size += len(pdf)
+        if size >= rows:
+            yield _Part(iter(held), n_dims, n_metrics)
+            held, size = [], 0
+    if size:
+        yield _Part(iter(held), n_dims, n_metrics)
+
+
 def _within(search: tuple[np.ndarray, np.ndarray], which: np.ndarray, x: np.ndarray, side: str) -> np.ndarray:
     """For each (group, x): the position among the grouped sorted values where x belongs."""
     keys, distinct = search
@@ -163,7 +177,12 @@ def percentiles(
                     gids, bounds, ordered, _ = part.runs(s, m, np.unique(_gids(part.base, s)[cold]))
                     yield pd.DataFrame(solved(gids, bounds, ordered, m), columns=["gid", "metric", "n", "q"])
 
-    results = [summary.repartition(*[F.col(d) for i, d in enumerate(d_cols) if home_mask >> i & 1]).mapInPandas(local, shape)]
+    # rows of home groups that are too large for one task stay where they are
+    cold_rows = summary
+    if len(hot_home):
+        hot_ids = cube.where((F.col("s") == home_mask) & (most > home_rows)).select(F.col("gid").alias("_hot"))
+        cold_rows = summary.withColumn("_g", gid(home_mask)).join(hot_ids, F.col("_g") == F.col("_hot"), "left_anti").drop("_g")
+    results = [cold_rows.repartition(*[F.col(d) for i, d in enumerate(d_cols) if home_mask >> i & 1]).mapInPandas(local, shape)]
 
     home_sets = F.col("s").isin([s for s in sets if s & home_mask == home_mask])
     elsewhere = ~home_sets
@@ -194,15 +213,13 @@ def percentiles(
     skip = np.sort(large_ids)
 
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part = _Part(batches, k, n_m)
-        for m in range(n_m if part.rows else 0):
-            for s in sets:
-                only = in_general(part, s)
-                if only is not None and not len(only):
-                    continue
-                gids, bounds, ordered, _ = part.runs(s, m, np.setdiff1d(only, skip) if only is not None else None, skip)
-                if len(gids):
-                    yield pd.DataFrame({"gid": gids, "metric": m, "run": [ordered[x:y].tobytes() for x, y in zip(bounds, bounds[1:])]})
+        for part, m, s in ((part, m, s) for part in _chunks(batches, k, n_m) for m in range(n_m) for s in sets):
+            only = in_general(part, s)
+            if only is not None and not len(only):
+                continue
+            gids, bounds, ordered, _ = part.runs(s, m, np.setdiff1d(only, skip) if only is not None else None, skip)
+            if len(gids):
+                yield pd.DataFrame({"gid": gids, "metric": m, "run": [ordered[x:y].tobytes() for x, y in zip(bounds, bounds[1:])]})
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         frames = [f for f in batches if len(f)]
@@ -256,8 +273,7 @@ def _rounds(spark, summary: DataFrame, groups: list, k: int, n_m: int, percents:
         cells = {key: np.array(ids) for key, ids in table.groupby(["s", "m"]).indices.items()}
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            part = _Part(batches, k, n_m)
-            for (s, m), ids in cells.items() if part.rows else ():
+            for part, (s, m), ids in ((part, *cell) for part in _chunks(batches, k, n_m) for cell in cells.items()):
                 gids, bounds, ordered, search = part.runs(int(s), int(m), np.unique(cols["gid"][ids]))
                 if not len(ordered):
                     continue
@@ -324,8 +340,7 @@ def _rounds(spark, summary: DataFrame, groups: list, k: int, n_m: int, percents:
         wanted_of = pd.Series(rank[rest] - below[rest]).groupby(code).agg(lambda x: sorted(set(x))).to_dict()
 
         def collect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            part = _Part(batches, k, n_m)
-            for (s, m), ids in cells.items() if part.rows else ():
+            for part, (s, m), ids in ((part, *cell) for part in _chunks(batches, k, n_m) for cell in cells.items()):
                 gids, bounds, ordered, search = part.runs(int(s), int(m), np.unique(cols["gid"][ids]))
                 if len(ordered):
                     here = ids[np.isin(cols["gid"][ids], gids)]
