@@ -9,7 +9,7 @@ cut into sentences. Detectors, all expressions inside the JVM:
 
 A fourth detector needs no phrases and combines evidence of the hosts: a short text most of whose words are foreign to
 the corpus (fewer than one percent of all documents hold them) and whose shape (digits masked) is answered by several
-hosts or documents alike is a response page, not content. The slug and title of a record are its source and heading;
+hosts or documents alike is a response page, not content. Short means at most `most_words` words and 60 characters for each. The slug and title of a record are its source and heading;
 headings and navigation lines are no content.
 
 Defined results: null or empty texts are no cases; repeated texts are judged alike; very long texts are judged whole;
@@ -18,6 +18,8 @@ an empty table gives no rows.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,11 +39,14 @@ NULL_WORDS = [
     r"(?<=[A-Za-z] )(?:NaN|nan|null|NULL)(?= (?:seconds|rows|flows|hours|percent|missing|of recall|resamples|heures|lignes|flux|Stunden|Zeilen|horas|filas|flujos)\b)",
     r"(?<=\b(?:seed|than|from|to|by|of|on|was|under|stayed|auf|um|bei|Startwert|de|à|en|sur) )(?:NaN|nan|null|NULL)(?=[.,;]|$)",
 ]
-FILLER = [
-    r"(?i)\blorem ipsum\b", r"(?i)\bsample text sample text\b", r"(?i)^sample heading\b", r"(?i)\badd your own words\b", r"(?i)^click to edit\b",
-    r"(?i)^this is a placeholder\b", r"(?i)^todo: ?\w+", r"(?i)^(?:insert|your) text here\b", r"(?i)^(?:content )?coming soon\b", r"(?i)^replace this text\b",
-    r"(?i)^type something\b", r"(?i)\btext goes here\b", r"(?i)(?<!\p{L})(\p{L}{2,})(?:\s+\1){3,}(?!\p{L})", r"(?i)^replace this (?:paragraph|section|sentence)\b", r"(?i)^description goes here\b", r"(?i)^(?:hier steht ein )?(?:blind|beispiel)text\b", r"(?i)^texte? (?:d'exemple|de remplissage|de ejemplo|de relleno)\b",
+#: Phrases of filler, wherever they stand, and how filler begins; in lower case.
+FILLER_HOLDS = ["lorem ipsum", "sample text sample text", "add your own words", "text goes here"]
+FILLER_STARTS = [
+    r"sample heading\b", r"click to edit\b", r"this is a placeholder\b", r"todo: ?\w+", r"(?:insert|your) text here\b", r"(?:content )?coming soon\b", r"replace this (?:text|paragraph|section|sentence)\b",
+    r"type something\b", r"description goes here\b", r"(?:hier steht ein )?(?:blind|beispiel)text\b", r"texte? (?:d'exemple|de remplissage|de ejemplo|de relleno)\b",
 ]
+#: One word four times in a row.
+REPEATED = r"(?<!\p{L})(\p{L}{2,})(?:\s+\1){3,}(?!\p{L})"
 #: How error messages and script notices begin.
 NOTICES = [
     r"[45]\d\d\b", r"http (?:status|error)\b", r"error\b(?: code)?:? ?#?\d", r"error[:!]?$", r"(?:internal )?server error\b", r"bad gateway\b", r"gateway time-?out\b", r"service (?:temporarily )?unavailable\b",
@@ -76,7 +81,7 @@ def plain(text: Column) -> Column:
 
 
 def sentences(body: Column) -> Column:
-    return F.filter(F.transform(F.split(body, r"(?<=[.!?:]|\))\s+(?=[^a-z])|\n+"), lambda s: F.trim(F.regexp_replace(s, r"[\s*_>#-]+$|^[\s*_>#-]+", ""))), lambda s: s != "")
+    return F.filter(F.transform(F.split(body, r"(?<=[.!?:)])\s+(?=[^a-z])|\n+"), lambda s: F.trim(F.regexp_replace(s, r"[\s*_>#-]+$|^[\s*_>#-]+", ""))), lambda s: s != "")
 
 
 def words(text: Column) -> Column:
@@ -100,7 +105,7 @@ def detect(documents: DataFrame, id: str, text: str, host: str, rare_share: floa
             # a heading: a short line without a closing mark, before the first sentence
             ((i == 0) & ~s.rlike(r"[.!?]$") & (F.size(F.split(s, r"\s+")) <= 8)).alias("heading"),
             low.rlike(rf"^(?:{_ANY(NOTICES)})").alias("notice"),
-            s.rlike(_ANY(FILLER)).alias("filler"),
+            (reduce(lambda a, b: a | b, [low.contains(x) for x in FILLER_HOLDS]) | low.rlike(rf"^(?:{_ANY(FILLER_STARTS)})") | low.rlike(REPEATED)).alias("filler"),
             (s.rlike(r"^(?:\p{L}{3,}[ ,]+){4,}\p{L}{3,}[.!?]?$") & ~s.rlike(stop)).alias("hollow"),
         )
 
@@ -113,7 +118,7 @@ def detect(documents: DataFrame, id: str, text: str, host: str, rare_share: floa
         (F.exists("u", lambda u: u["notice"]) & (F.size(words(F.array_join(F.transform(F.filter("u", content), lambda u: u["s"]), " "))) <= few_words)).alias("notice"),
         F.array_join(F.transform(F.filter("u", lambda u: ~u["heading"] | (F.size("u") == 1)), lambda u: u["s"]), " ").alias("core"),
     )
-    short = ~F.col("placeholder") & ~F.col("filler") & ~F.col("notice") & F.size(words(F.col("core"))).between(1, most_words)
+    short = ~F.col("placeholder") & ~F.col("filler") & ~F.col("notice") & (F.length("core") <= 60 * most_words) & F.size(words(F.col("core"))).between(1, most_words)
     judged, _ = scratch.cut(judged.withColumn("core", F.when(short, F.col("core"))))  # each text is judged once
     common = common_words(docs, rare_share)
     shape = F.md5(F.regexp_replace(F.lower("core"), r"[\d\W]+", " "))
