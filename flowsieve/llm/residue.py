@@ -5,7 +5,8 @@ cut into sentences. Detectors, all expressions inside the JVM:
 
 * placeholder: an unfilled mark of a template language, or a null word where a value should be;
 * filler: known filler phrases, or at least two sentences of five or more words without any function word;
-* notice: sentences that begin as error messages or script notices do, while all other sentences together have at most `few_words` words.
+* notice: one of the first three lines or sentences begins as an error message or script notice does, and all sentences that do not
+  have at most `few_words` words together.
 
 A fourth detector needs no phrases and combines evidence of the hosts: a short text most of whose words are foreign to
 the corpus (fewer than one percent of all documents hold them) and whose shape (digits masked) is answered by several
@@ -93,7 +94,7 @@ def detect(documents: DataFrame, id: str, text: str, host: str, rare_share: floa
     docs = documents.select(F.col(id).alias("id"), F.col(host).alias("host"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     bodies = docs.withColumn("body", plain(F.col("text")))
     # cheap conditions first: most texts hold neither brackets nor null words, most sentences are no short line
-    marked = F.col("body").rlike(r"[{}\[\]<%@_]") & F.col("body").rlike(_ANY(MARKS))
+    marked = F.col("body").rlike(r"[{}\[\]<%@]|__") & F.col("body").rlike(_ANY(MARKS))
     nulls = F.col("body").rlike(r"undefined|UNDEFINED|None|NaN|nan|null|NULL") & F.col("body").rlike(_ANY(NULL_WORDS))
     stop = r"(?i)(?<!\p{L})(?:" + "|".join(sorted(set(FUNCTION_WORDS))) + r")(?!\p{L})"
 
@@ -104,18 +105,20 @@ def detect(documents: DataFrame, id: str, text: str, host: str, rare_share: floa
             ((F.length(s) <= 80) & low.rlike(rf"^(?:{_ANY(CHROME)})[.!]?$")).alias("chrome"),
             # a heading: a short line without a closing mark, before the first sentence
             ((i == 0) & ~s.rlike(r"[.!?]$") & (F.size(F.split(s, r"\s+")) <= 8)).alias("heading"),
-            low.rlike(rf"^(?:{_ANY(NOTICES)})").alias("notice"),
             (reduce(lambda a, b: a | b, [low.contains(x) for x in FILLER_HOLDS]) | low.rlike(rf"^(?:{_ANY(FILLER_STARTS)})") | low.rlike(REPEATED)).alias("filler"),
             (s.rlike(r"^(?:\p{L}{3,}[ ,]+){4,}\p{L}{3,}[.!?]?$") & ~s.rlike(stop)).alias("hollow"),
         )
 
     units = bodies.select("id", "host", "body", (marked | nulls).alias("placeholder"), F.filter(F.transform(sentences(F.col("body")), judge), lambda u: ~u["chrome"]).alias("u"))
-    content = lambda u: ~u["notice"] & ~u["heading"]
+    is_notice = lambda u: F.lower(u["s"]).rlike(rf"^(?:{_ANY(NOTICES)})")
+    lines = F.filter("u", lambda u: ~u["heading"])
+    opening = F.exists(F.slice("u", 1, 3), is_notice)
+    rest = F.size(words(F.array_join(F.transform(F.filter(lines, lambda u: ~is_notice(u)), lambda u: u["s"]), " ")))
     hollow = F.size(F.filter("u", lambda u: u["hollow"]))
     judged = units.select(
         "id", "host", F.coalesce("placeholder", F.lit(False)).alias("placeholder"),
         (F.exists("u", lambda u: u["filler"]) | (hollow >= 2) | ((hollow >= 1) & (F.size("u") == 1))).alias("filler"),
-        (F.exists("u", lambda u: u["notice"]) & (F.size(words(F.array_join(F.transform(F.filter("u", content), lambda u: u["s"]), " "))) <= few_words)).alias("notice"),
+        F.when(opening, rest <= few_words).otherwise(False).alias("notice"),
         F.array_join(F.transform(F.filter("u", lambda u: ~u["heading"] | (F.size("u") == 1)), lambda u: u["s"]), " ").alias("core"),
     )
     short = ~F.col("placeholder") & ~F.col("filler") & ~F.col("notice") & (F.length("core") <= 60 * most_words) & F.size(words(F.col("core"))).between(1, most_words)
