@@ -134,14 +134,14 @@ def agg16(spark, d):
 @book(
     "agg17_conformal_thresholds",
     f"WITH {SCORES}, fams(family) AS (VALUES {', '.join(f"('{x}')" for x in FAMILIES)}), q AS (SELECT run_id, fam, quantile_cont(tprob, 0.1) AS t FROM s WHERE split = 'val' AND y1 = 1 AND tprob IS NOT NULL GROUP BY ALL) "
-    "SELECT r.run_id, family, round(coalesce(t, 0), 6) AS threshold FROM (SELECT DISTINCT run_id FROM s) r CROSS JOIN fams LEFT JOIN q ON q.run_id = r.run_id AND q.fam = family",
+    "SELECT r.run_id, family, round(coalesce(t, 0), 9) AS threshold FROM (SELECT DISTINCT run_id FROM s) r CROSS JOIN fams LEFT JOIN q ON q.run_id = r.run_id AND q.fam = family",
 )
 def agg17(spark, d):
     """Per run and family the 10 % quantile of the true family's probability on val; 0 without rows."""
     s = scores(spark, d)
     q = s.where("split = 'val' AND y1 = 1 AND tprob IS NOT NULL").groupBy("run_id", F.col("fam").alias("family")).agg(F.percentile("tprob", F.lit(0.1)).alias("t"))
     frame = s.select("run_id").distinct().select("run_id", F.explode(F.array(*[F.lit(x) for x in FAMILIES])).alias("family"))
-    return frame.join(q, ["run_id", "family"], "left").select("run_id", "family", R(F.coalesce("t", F.lit(0.0))).alias("threshold"))
+    return frame.join(q, ["run_id", "family"], "left").select("run_id", "family", R(F.coalesce("t", F.lit(0.0)), 9).alias("threshold"))
 
 
 @book(
@@ -501,9 +501,9 @@ REJECTED = f"{SCORES}, {_CONF}, r AS (" + " UNION ALL ".join(
 ) + ")"
 
 
-@book("prj19_rejectors", f"WITH {REJECTED} SELECT score_id, method, pred, rejected, round(doubt, 6) AS doubt FROM r")
+@book("prj19_rejectors", f"WITH {REJECTED} SELECT score_id, method, pred, rejected, round(doubt, 8) AS doubt FROM r")
 def prj19(spark, d):
-    return rejected_by_methods(spark, d).select("score_id", "method", "pred", "rejected", R("doubt").alias("doubt"))
+    return rejected_by_methods(spark, d).select("score_id", "method", "pred", "rejected", R("doubt", 8).alias("doubt"))
 
 
 @book("prj20_sink_aware", f"WITH {SCORES} SELECT score_id, CASE WHEN p < 0.5 THEN 'Benign' WHEN pmax < 0.4 OR (pred_fam = 'DDoS' AND (pmax < 0.7 OR margin < 0.2)) THEN 'Unknown' ELSE pred_fam END AS pred FROM s")
