@@ -50,7 +50,7 @@ FILLER_STARTS = [
 REPEATED = r"(?<!\p{L})(\p{L}{2,})(?:\s+\1){3,}(?!\p{L})"
 #: How error messages and script notices begin.
 NOTICES = [
-    r"[45]\d\d\b", r"http (?:status|error)\b", r"error\b(?: code)?:? ?#?\d", r"error[:!]?$", r"(?:internal )?server error\b", r"bad gateway\b", r"gateway time-?out\b", r"service (?:temporarily )?unavailable\b",
+    r"[45]\d\d[ :-]+(?:bad|internal|gateway|service|forbidden|not found|unauthori[sz]ed|too many|gone|request|server|error)\b", r"http (?:status|error)\b", r"error\b(?: code)?:? ?#?\d", r"error[:!]?$", r"(?:internal )?server error\b", r"bad gateway\b", r"gateway time-?out\b", r"service (?:temporarily )?unavailable\b",
     r"(?:page|report|file|document|notebook|dashboard|run|audit|chart) (?:was )?not found\b", r"the (?:\w+ ){1,3}you requested\b", r"access (?:is )?denied[.!:]?$", r"permission denied\b", r"you do not have permission\b", r"forbidden[.!:]?$",
     r"(?:your )?session (?:has |is )?(?:expired|timed out)\b", r"(?:please )?(?:log|sign) in (?:again|to)\b", r"an? (?:unexpected |unknown |internal )?error (?:has )?occurred\b", r"traceback \(", r"[a-z]+(?:error|exception): ", r"rendering failed\b",
     r"unable to (?:load|open|render|connect|fetch)\b", r"(?:could not|cannot|can't) (?:load|open|render|connect|be (?:loaded|displayed))\b", r"failed to (?:load|open|render|fetch)\b", r"something went wrong\b", r"the connection to\b.*\b(?:timed out|lost|refused|reset)\b", r"connection (?:timed out|refused|reset|lost)\b",
