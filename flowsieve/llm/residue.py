@@ -4,7 +4,8 @@ Markup is taken off, code quoted in backticks is blanked (texts that quote such
 cut into sentences. Detectors, all expressions inside the JVM:
 
 * placeholder: an unfilled mark of a template language, or a null word where a value should be;
-* filler: known filler phrases, or at least two sentences of five or more words without any function word;
+* filler: known filler phrases, or at least two sentences of five or more words without any function word, or one that is a
+  paragraph of its own (and no heading or list), or a line or sentence without function words that says the same words again;
 * notice: one of the first three lines or sentences begins as an error message or script notice does, and all sentences that do not
   have at most `few_words` words together.
 
@@ -48,6 +49,12 @@ FILLER_STARTS = [
 ]
 #: One word four times in a row.
 REPEATED = r"(?<!\p{L})(\p{L}{2,})(?:\s+\1){3,}(?!\p{L})"
+#: A line or sentence of words alone; one that says a word three times in a row; five or more words without numbers.
+WORDS_ALONE = r"^\p{L}{2,}(?:\s+\p{L}{2,}){2,}[.!?]?$"
+THREE_TIMES = r"(?<!\p{L})(\p{L}{2,})(?:\s+\1){2}(?!\p{L})"
+HOLLOW = r"^(?:\p{L}{3,}[ ,]+){4,}\p{L}{3,}[.!?]?$"
+#: Headings (at most eight words that begin with a capital) and lists have no closing mark either.
+HEADING_OR_LIST = r"^(?:\p{Lu}\S*(?:\s+\S+){0,7}|[^,]*,.*)(?<![.!?])$"
 #: How error messages and script notices begin.
 NOTICES = [
     r"[45]\d\d[ :-]+(?:bad|internal|gateway|service|forbidden|not found|unauthori[sz]ed|too many|gone|request|server|error)\b", r"http (?:status|error)\b", r"error\b(?: code)?:? ?#?\d", r"error[:!]?$", r"(?:internal )?server error\b", r"bad gateway\b", r"gateway time-?out\b", r"service (?:temporarily )?unavailable\b",
@@ -81,8 +88,18 @@ def plain(text: Column) -> Column:
     return F.regexp_replace(blanked, r"</?(?:[a-zA-Z][a-zA-Z0-9]*)(?:\s+[a-zA-Z-]+=(?:\"[^\"]*\"|'[^']*'))*\s*/?>", "\n")
 
 
+def pieces(body: Column, border: str) -> Column:
+    return F.filter(F.transform(F.split(body, border), lambda s: F.trim(F.regexp_replace(s, r"[\s*_>#-]+$|^[\s*_>#-]+", ""))), lambda s: s != "")
+
+
 def sentences(body: Column) -> Column:
-    return F.filter(F.transform(F.split(body, r"(?<=[.!?:)])\s+(?=[^a-z])|\n+"), lambda s: F.trim(F.regexp_replace(s, r"[\s*_>#-]+$|^[\s*_>#-]+", ""))), lambda s: s != "")
+    return pieces(body, r"(?<=[.!?:)])\s+(?=[^a-z])|\n+")
+
+
+def repeats(s: Column) -> Column:
+    """Whether at least half of the words of a line or sentence were said before in it, or one stands three times in a row."""
+    w = words(s)
+    return (2 * F.size(F.array_distinct(w)) <= F.size(w)) | F.lower(s).rlike(THREE_TIMES)
 
 
 def words(text: Column) -> Column:
@@ -106,7 +123,8 @@ def detect(documents: DataFrame, id: str, text: str, host: str, rare_share: floa
             # a heading: a short line without a closing mark, before the first sentence
             ((i == 0) & ~s.rlike(r"[.!?]$") & (F.size(F.split(s, r"\s+")) <= 8)).alias("heading"),
             (reduce(lambda a, b: a | b, [low.contains(x) for x in FILLER_HOLDS]) | low.rlike(rf"^(?:{_ANY(FILLER_STARTS)})") | low.rlike(REPEATED)).alias("filler"),
-            (s.rlike(r"^(?:\p{L}{3,}[ ,]+){4,}\p{L}{3,}[.!?]?$") & ~s.rlike(stop)).alias("hollow"),
+            (s.rlike(HOLLOW) & ~s.rlike(stop)).alias("hollow"),
+            (s.rlike(WORDS_ALONE) & ~s.rlike(stop) & repeats(s)).alias("repeated"),
         )
 
     units = bodies.select("id", "host", "body", (marked | nulls).alias("placeholder"), F.filter(F.transform(sentences(F.col("body")), judge), lambda u: ~u["chrome"]).alias("u"))
@@ -115,9 +133,11 @@ def detect(documents: DataFrame, id: str, text: str, host: str, rare_share: floa
     opening = F.exists(F.slice("u", 1, 3), is_notice)
     rest = F.size(words(F.array_join(F.transform(F.filter(lines, lambda u: ~is_notice(u)), lambda u: u["s"]), " ")))
     hollow = F.size(F.filter("u", lambda u: u["hollow"]))
+    # looked for only in texts with one hollow sentence
+    apart = F.exists(pieces(F.col("body"), r"\n\s*\n"), lambda p: p.rlike(HOLLOW) & ~p.rlike(stop) & ~p.rlike(HEADING_OR_LIST))
     judged = units.select(
         "id", "host", F.coalesce("placeholder", F.lit(False)).alias("placeholder"),
-        (F.exists("u", lambda u: u["filler"]) | (hollow >= 2) | ((hollow >= 1) & (F.size("u") == 1))).alias("filler"),
+        (F.exists("u", lambda u: u["filler"] | u["repeated"]) | (hollow >= 2) | ((hollow >= 1) & (F.size("u") == 1)) | F.when(hollow == 1, apart).otherwise(False)).alias("filler"),
         F.when(opening, rest <= few_words).otherwise(False).alias("notice"),
         F.array_join(F.transform(F.filter("u", lambda u: ~u["heading"] | (F.size("u") == 1)), lambda u: u["s"]), " ").alias("core"),
     )

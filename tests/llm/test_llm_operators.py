@@ -281,6 +281,17 @@ def test_residue_detectors(spark):
     assert [i for i in range(len(RESIDUE)) if not got[i]] == [] and [i for i in range(len(RESIDUE), len(texts)) if got[i]] == []
 
 
+def test_filler_in_part_of_a_text(spark):
+    before, after = "The rows of unit 1729 came late and were labelled again.", "Please check the sensor of MillNet before the next sweep."
+    filler = ["asdf asdf asdf qwer qwer test test test", "test test test", "Corpis porro imbrel ullam elun.", "hjkl asdf qwer zxcv uiop"]
+    other = ["Flow Features Excluded During Training", "botnet, scan, recon, bruteforce, other", "xgb beats rf on DDoS by 0.43, but loses on DDoS. xgb beats xgb on Other by 0.009, but loses on DDoS.", 'The form held "asdf asdf asdf qwer qwer" as its note.']
+    place = lambda x: ["\n\n".join(p) for p in ([x, before, after], [before, x, after], [before, after, x])]
+    texts = [t for x in filler + other for t in place(x)]
+    docs = spark.createDataFrame([(i, t, f"h{i % 3}") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    got = {r.id for r in residue.detect(docs, "doc_id", "text", "source").where("filler").collect()}
+    assert got == set(range(3 * len(filler)))
+
+
 def test_residue_by_host_evidence(spark):
     body = "The night capture of this set has many rows and the audit counts them by unit and by label. "
     rows = [(i, body * 3, f"h{i % 5}") for i in range(300)] + [(1000 + i, f"Zorgel blip {i} quantum fnord gate", f"h{i % 5}") for i in range(5)] + [(2000, "Single oddity without company whatsoever", "h1")]
