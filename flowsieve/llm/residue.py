@@ -6,8 +6,8 @@ cut into sentences. Detectors, all expressions inside the JVM:
 * placeholder: an unfilled mark of a template language, or a null word where a value should be;
 * filler: known filler phrases, or at least two sentences of five or more words without any function word, or one that is a
   paragraph of its own (and no heading or list), or a line or sentence without function words that says the same words again;
-* notice: one of the first three lines or sentences begins as an error message or script notice does, and all sentences that do not
-  have at most `few_words` words together.
+* notice: a line or sentence begins as an error message or script notice does, and all sentences that do not have at most
+  `few_words` words together.
 
 A fourth detector needs no phrases and combines evidence of the hosts: a short text most of whose words are foreign to
 the corpus (fewer than one percent of all documents hold them) and whose shape (digits masked) is answered by several
@@ -129,18 +129,24 @@ def detect(documents: DataFrame, id: str, text: str, host: str, rare_share: floa
 
     units = bodies.select("id", "host", "body", (marked | nulls).alias("placeholder"), F.filter(F.transform(sentences(F.col("body")), judge), lambda u: ~u["chrome"]).alias("u"))
     is_notice = lambda u: F.lower(u["s"]).rlike(rf"^(?:{_ANY(NOTICES)})")
-    lines = F.filter("u", lambda u: ~u["heading"])
-    opening = F.exists(F.slice("u", 1, 3), is_notice)
-    rest = F.size(words(F.array_join(F.transform(F.filter(lines, lambda u: ~is_notice(u)), lambda u: u["s"]), " ")))
+    # whether there is a notice, and the words of the rest; nothing more is looked at once the rest has too many
+    told = lambda any, rest: F.struct(any.alias("any"), rest.alias("rest"))
+
+    def add(a: Column, u: Column) -> Column:
+        more = F.when(u["heading"], 0).otherwise(F.size(words(u["s"])))
+        return F.when(a["rest"] > few_words, a).otherwise(F.when(is_notice(u), told(F.lit(True), a["rest"])).otherwise(told(a["any"], a["rest"] + more)))
+
+    told_by = F.aggregate("u", told(F.lit(False), F.lit(0)), add)
     hollow = F.size(F.filter("u", lambda u: u["hollow"]))
     # looked for only in texts with one hollow sentence
     apart = F.exists(pieces(F.col("body"), r"\n\s*\n"), lambda p: p.rlike(HOLLOW) & ~p.rlike(stop) & ~p.rlike(HEADING_OR_LIST))
     judged = units.select(
         "id", "host", F.coalesce("placeholder", F.lit(False)).alias("placeholder"),
         (F.exists("u", lambda u: u["filler"] | u["repeated"]) | (hollow >= 2) | ((hollow >= 1) & (F.size("u") == 1)) | F.when(hollow == 1, apart).otherwise(False)).alias("filler"),
-        F.when(opening, rest <= few_words).otherwise(False).alias("notice"),
+        told_by.alias("told"),
         F.array_join(F.transform(F.filter("u", lambda u: ~u["heading"] | (F.size("u") == 1)), lambda u: u["s"]), " ").alias("core"),
     )
+    judged = judged.withColumn("notice", F.col("told.any") & (F.col("told.rest") <= few_words)).drop("told")
     short = ~F.col("placeholder") & ~F.col("filler") & ~F.col("notice") & (F.length("core") <= 60 * most_words) & F.size(words(F.col("core"))).between(1, most_words)
     judged, _ = scratch.cut(judged.withColumn("core", F.when(short, F.col("core"))))  # each text is judged once
     common = common_words(docs, rare_share)

@@ -292,6 +292,13 @@ def test_filler_in_part_of_a_text(spark):
     assert got == set(range(3 * len(filler)))
 
 
+def test_notice_after_short_lines(spark):
+    texts = ["Capture overview\nStatus\nGateway\n503 Service Unavailable", "Overview\nStatus\nUnit\nMillNet\nGateway\nAccess denied.\nYou do not have permission to open this chart."]
+    other = ["Overview\nStatus\nGateway\n503 Service Unavailable\nThe gateway of MillNet answered so after nine seconds of waiting.", "Overview\nStatus\nUnit\nGateway\nThe rows came late."]
+    docs = spark.createDataFrame([(i, t, "h") for i, t in enumerate(texts + other)], "doc_id long, text string, source string")
+    assert {r.id for r in residue.detect(docs, "doc_id", "text", "source").where("notice").collect()} == set(range(len(texts)))
+
+
 def test_residue_by_host_evidence(spark):
     body = "The night capture of this set has many rows and the audit counts them by unit and by label. "
     rows = [(i, body * 3, f"h{i % 5}") for i in range(300)] + [(1000 + i, f"Zorgel blip {i} quantum fnord gate", f"h{i % 5}") for i in range(5)] + [(2000, "Single oddity without company whatsoever", "h1")]
