@@ -6,11 +6,11 @@
 2. TF-IDF over the words of the test items (their number is fixed by the held-out set); document frequencies are counted
    over the whole corpus. Words outside this vocabulary count towards a passage's length only.
 3. A distributed randomised SVD (range finder with power iterations; each partition adds up its part of A'AW, partial
-   sums meet in a shuffle by word) of the items' windows and a sample of corpus passages, bounded by `fit_passages`.
-   Every passage is searched, whatever was in the sample.
-4. Candidates: passages whose words lie mostly in the vocabulary and whose cosine with a window, in the space of the
-   leading singular vectors, is at least `cosine`. Equal passages have equal vectors, hence cosine 1: no exact copy is
-   lost. The windows' vectors are the only thing sent to all executors; their number is fixed by the held-out set.
+   sums meet in a shuffle by word) of the items' windows and all corpus passages that are searched.
+4. Candidates: the passages searched are those whose words lie mostly in the vocabulary; one is a candidate if its
+   cosine with a window, in the space of the leading singular vectors, is at least `cosine`. Equal passages have equal
+   vectors, hence cosine 1: no exact copy is lost. The windows' vectors are the only thing sent to all executors; their
+   number is fixed by the held-out set.
 5. Checks, in the same task: the longest run of common words through a candidate (exact), and for candidates with
    several passages the longest common subsequence with the item and the share of its answers (numbers and names)
    that the matching stretch repeats: `kind` is verbatim or paraphrase.
@@ -118,7 +118,6 @@ def leaks(
     rank: int = 64,
     cosine: float = 0.95,
     least_known: float = 0.6,
-    fit_passages: int = 100_000,
     paraphrase_passages: int = 3,
     least_subsequence: float = 0.6,
     least_answers: float = 0.5,
@@ -147,7 +146,7 @@ def leaks(
     owner = np.repeat(np.arange(len(held)), [len(x) for x in windows])
     at = np.concatenate([np.arange(len(x)) for x in windows])
 
-    def sample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def searched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             t = [x for x in (_tiles(c, tile) for c in _coded(pdf["w"], code)) if len(x)]
             if t:
@@ -156,9 +155,8 @@ def leaks(
                 if len(t):
                     yield pd.DataFrame({"codes": list(t)})
 
-    fraction = min(1.0, fit_passages / 20 / max(1, n_docs))  # about 20 passages a document; the limit below is the bound
-    picked = docs.where(F.pmod(F.xxhash64(F.lit(3), "d"), F.lit(1_000_000)) < int(1_000_000 * fraction)).mapInPandas(sample, "codes array<int>").limit(fit_passages)
-    training, _ = scratch.cut(picked.unionAll(spark.createDataFrame(pd.DataFrame({"codes": own.tolist()}), "codes array<int>")))
+    passages = docs.where(F.size("w") >= tile).mapInPandas(searched, "codes array<int>")
+    training, _ = scratch.cut(passages.unionAll(spark.createDataFrame(pd.DataFrame({"codes": own.tolist()}), "codes array<int>")))
     inner = weights.copy()
     inner[-1] = 0.0
     basis = fit_svd(training, inner, rank).astype(np.float32)

@@ -253,6 +253,26 @@ def test_paraphrase_and_long_text(spark):
     assert got[1, 0].kind == "paraphrase" and got[1, 0].subsequence > 0.8 and (2, 0) not in got
 
 
+def test_svd_is_fitted_on_all_passages(spark, monkeypatch):
+    fit, rows = leak_text.fit_svd, []
+    monkeypatch.setattr(leak_text, "fit_svd", lambda passages, *a, **k: rows.append(passages.count()) or fit(passages, *a, **k))
+    words = ITEM.split()
+    leaked(spark, [" ".join(words[i % 20 : i % 20 + 6]) for i in range(7000)], [ITEM], verbatim_only=True)
+    assert rows == [7000 + len(words) - 5]
+
+
+def test_paraphrases_against_brute_force(spark, monkeypatch):
+    """Production parameters; brute force is the cosine in the whole space of words."""
+    rng = random.Random(9)
+    items = [" ".join(f"t{rng.randint(1, 400)}" for _ in range(40)) for _ in range(20)]
+    swapped = lambda s, step: " ".join("maybe" if k % step == step - 1 else w for k, w in enumerate(s.split()))
+    texts = [swapped(s, step) for s in items for step in (4, 7, 11)]
+    got = {k for k, r in leaked(spark, texts, items, cosine=0.8).items() if r.kind == "paraphrase"}
+    monkeypatch.setattr(leak_text, "fit_svd", lambda passages, weights, rank, **k: np.eye(len(weights))[:, :-1])
+    want = {k for k, r in leaked(spark, texts, items, cosine=0.8).items() if r.kind == "paraphrase"}
+    assert len(want) >= len(items) and len(got & want) >= 0.95 * len(want)
+
+
 def test_leaks_empty(spark):
     assert leaked(spark, [], [ITEM]) == {} and leaked(spark, [ITEM], []) == {}
 
