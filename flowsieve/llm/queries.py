@@ -9,7 +9,7 @@ from flowsieve.llm.leak_rows import near_pairs
 from flowsieve.llm.leak_text import leaks
 from flowsieve.llm.linked_splits import components, linked_splits
 from flowsieve.llm.multi_select import percentiles
-from flowsieve.llm.packing import pack, pieces
+from flowsieve.llm.packing import pack
 from flowsieve.llm.residue import detect
 from flowsieve.llm.target_sample import target_report, target_sample
 from flowsieve.tables import table
@@ -153,8 +153,8 @@ GROUP BY t.target_no, t.min_rows, t.target_share, t.sample_size HAVING coalesce(
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
-    cut = pieces(table(spark, folder, "documents"), table(spark, folder, "capacities"), "doc_id", "text")
-    return cut.where("n_pieces > 1 AND piece = 0").select("capacity_no", F.col("item").alias("doc_id"))
+    """Documents that the containers' table holds in several pieces, hence with a second one."""
+    return p8_containers(spark, folder).where("piece = 1").select("capacity_no", "doc_id")
 
 
 def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
