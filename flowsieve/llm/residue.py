@@ -11,7 +11,7 @@ cut into sentences. Detectors, all expressions inside the JVM:
 
 A fourth detector needs no phrases and combines evidence of the hosts: a short text most of whose words are foreign to
 the corpus (fewer than one percent of all documents hold them) and whose shape (digits masked) is answered by several
-hosts or documents alike is a response page, not content. Short means at most `most_words` words and 60 characters for each. The slug and title of a record are its source and heading;
+hosts or documents alike is a response page, not content. Short means at most `most_words` words, however long. The slug and title of a record are its source and heading;
 headings and navigation lines are no content.
 
 Defined results: null or empty texts are no cases; repeated texts are judged alike; very long texts are judged whole;
@@ -49,6 +49,8 @@ FILLER_STARTS = [
 ]
 #: One word four times in a row.
 REPEATED = r"(?<!\p{L})(\p{L}{2,})(?:\s+\1){3,}(?!\p{L})"
+#: All up to the end of the next word of two letters or more; possessive, so a text is read once and no further than needed.
+NEXT_WORD = r"(?:\P{L}|\p{L}(?!\p{L}))*+\p{L}{2,}+"
 #: A line or sentence of words alone; one that says a word three times in a row; five or more words without numbers.
 WORDS_ALONE = r"^\p{L}{2,}(?:\s+\p{L}{2,}){2,}[.!?]?$"
 THREE_TIMES = r"(?<!\p{L})(\p{L}{2,})(?:\s+\1){2}(?!\p{L})"
@@ -147,7 +149,7 @@ def detect(documents: DataFrame, id: str, text: str, host: str, rare_share: floa
         F.array_join(F.transform(F.filter("u", lambda u: ~u["heading"] | (F.size("u") == 1)), lambda u: u["s"]), " ").alias("core"),
     )
     judged = judged.withColumn("notice", F.col("told.any") & (F.col("told.rest") <= few_words)).drop("told")
-    short = ~F.col("placeholder") & ~F.col("filler") & ~F.col("notice") & (F.length("core") <= 60 * most_words) & F.size(words(F.col("core"))).between(1, most_words)
+    short = ~F.col("placeholder") & ~F.col("filler") & ~F.col("notice") & ~F.lower("core").rlike(rf"^(?:{NEXT_WORD}){{{most_words + 1}}}+") & (F.size(words(F.col("core"))) > 0)
     judged, _ = scratch.cut(judged.withColumn("core", F.when(short, F.col("core"))))  # each text is judged once
     common = common_words(docs, rare_share)
     shape = F.md5(F.regexp_replace(F.lower("core"), r"[\d\W]+", " "))

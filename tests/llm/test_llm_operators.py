@@ -326,6 +326,14 @@ def test_residue_by_host_evidence(spark):
     assert got == {1000 + i for i in range(5)}
 
 
+def test_long_responses_of_few_words(spark):
+    body = "The night capture of this set has many rows and the audit counts them by unit and by label. "
+    dump = lambda i, n: f"Zorgel blip {i} quantum fnord gate " + "4f 10 7 x " * 20_000 + "".join(f" zo{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(n))
+    rows = [(i, body * 3, f"h{i % 5}") for i in range(300)] + [(1000 + 10 * n + i, dump(i, n), f"h{i % 5}") for n in (0, 35, 36) for i in range(5)]
+    got = {r.id for r in residue.detect(spark.createDataFrame(rows, "doc_id long, text string, source string"), "doc_id", "text", "source", rare_share=0.1).where("response").collect()}
+    assert got == {1000 + 10 * n + i for n in (0, 35) for i in range(5)}
+
+
 def test_residue_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, source string")
     assert residue.detect(docs, "doc_id", "text", "source").count() == 0
