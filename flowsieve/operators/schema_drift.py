@@ -6,8 +6,8 @@
   files together: words of the name, the distribution or the vocabulary of its values, and that two names of one
   quantity do not occur in the same file. A name without enough evidence stays a quantity of its own.
 * `changes` compares each file with the one captured before it in its feed.
-* `ingest` enforces the catalog's schema: what has no place or cannot be cast is kept as JSON in a rescue column;
-  names that `resolve_names` approved are promoted and their rescued values replayed into the typed columns.
+* `ingest` enforces the catalog's schema: what has no place, cannot be cast or differs from the value kept for its field
+  (the largest) is kept as JSON in a rescue column, as a list where a name has several such values; names that `resolve_names` approved are promoted and their rescued values replayed into the typed columns.
 
 Defined results: a record delivered twice counts once; a payload that is no JSON object is a record without keys and is
 rescued whole; null payloads give null columns; an empty file has no columns, so its successor adds all of its own; a
@@ -172,9 +172,11 @@ def changes(files: DataFrame, columns: DataFrame, resolved: DataFrame) -> DataFr
     return every.select("*", F.explode(kinds).alias("change_kind")).select("file_no", F.coalesce("name", "old_name").alias("column_name"), "change_kind", before.alias("before"))
 
 
-def _unique(pairs: str) -> Column:
-    """Entries of sorted (name, value) pairs without a second value of one name: names must be unique in a map."""
-    return F.filter(pairs, lambda x, i: (i == 0) | (F.get(F.col(pairs)["name"], i - 1) != x["name"]))
+def _by_name(pairs: Column) -> Column:
+    """Sorted (name, value) pairs as JSON: a name's value, or the list of its values where there are several."""
+    values = lambda n: F.transform(F.filter(pairs, lambda x: x["name"] == n), lambda x: x["value"])
+    told = lambda n: F.when(F.size(values(n)) > 1, values(n).cast("variant")).otherwise(F.get(values(n), F.lit(0)).cast("variant"))
+    return F.to_json(F.map_from_entries(F.transform(F.array_distinct(F.transform(pairs, lambda x: x["name"])), lambda n: F.struct(n, told(n)))))
 
 
 def ingest(once: DataFrame, entries: DataFrame, resolved: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -199,11 +201,19 @@ def ingest(once: DataFrame, entries: DataFrame, resolved: DataFrame, catalog: Da
             return F.coalesce(strict, whole, truth, moment)
         return F.coalesce(strict, F.expr(f"try_cast({tidy} as {to})")) if to == "double" else strict
 
-    typed = {f: F.max(F.when(F.col("field") == f, cast(k))).alias(f) for f, k in fields}
-    fits = reduce(lambda rest, fk: F.when(F.col("field") == fk[0], cast(fk[1]).isNotNull()).otherwise(rest), fields, F.lit(False))
-    left_over = F.when(F.col("value").isNotNull() & ~fits, F.struct("name", "value"))
-    rows = placed.groupBy("file_no", "rec_no").agg(*typed.values(), F.sort_array(F.collect_set(left_over)).alias("_left"))
+    of = {f: types.get(k, "string") for f, k in fields}
+    for kind, to in [*types.items(), ("text", "string")]:
+        placed = placed.withColumn(f"_{to}", F.when(F.col("field").isin([f for f in of if of[f] == to]), cast(kind)))
+    typed = [F.max(F.when(F.col("field") == f, F.col(f"_{to}"))).alias(f) for f, to in of.items()]
+    told = F.when(F.col("value").isNotNull(), F.struct("name", "value", "field", *[f"_{to}" for to in (*types.values(), "string")]))
+    rows = placed.groupBy("file_no", "rec_no").agg(*typed, F.collect_set(told).alias("_told"))
+
+    def kept(x: Column) -> Column:
+        return reduce(lambda rest, f: F.when(x["field"] == f, F.coalesce(x[f"_{of[f]}"] == F.col(f), F.lit(False))).otherwise(rest), of, F.lit(False))
+
+    left = F.transform(F.filter("_told", lambda x: ~kept(x)), lambda x: F.struct(x["name"].alias("name"), x["value"].alias("value")))
+    rows = rows.withColumn("_left", F.sort_array(left)).drop("_told")
     joined = once.join(rows, ["file_no", "rec_no"], "left")
-    as_json = F.when(F.size("_left") > 0, F.to_json(F.map_from_entries(_unique("_left"))))
+    as_json = F.when(F.size("_left") > 0, _by_name(F.col("_left")))
     unread = F.when(F.col("_left").isNull() & F.col("payload").isNotNull(), F.to_json(F.struct(F.col("payload").alias("_payload"))))
-    return joined.select("file_no", "rec_no", *[f for f, _ in fields], F.coalesce(as_json, unread).alias("_rescued"))
+    return joined.select("file_no", "rec_no", *of, F.coalesce(as_json, unread).alias("_rescued"))

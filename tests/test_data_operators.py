@@ -72,6 +72,19 @@ def test_drift_kinds(spark):
     assert "not json" in rows[2, 9]._rescued and rows[2, 10]._rescued is None and "stray" in rows[3, 9]._rescued
 
 
+def test_second_values_of_a_field_are_rescued(spark):
+    records = [
+        (1, 1, '{"dst_port": 80, "dport": 443, "protocol": "tcp"}'), (1, 2, '{"dst_port": 80, "Dst-Port": 22, "DST PORT": 21, "protocol": "tcp"}'), (1, 3, '{"syn_flag": "soon", "Syn Flag": "late", "protocol": "udp"}'),
+        (1, 4, '{"dst_port": 80, "dport": "80", "protocol": "tcp"}'), (1, 5, '{"dst_port": 7, "protocol": "tcp", "Protocol": "a \\"b\\"", "stray": 1}'), (1, 6, '{"dst_port": null, "dport": 5}'),
+    ]
+    _, out = drift(spark, records, [(1, "f", "2031-01-01")])
+    rows = {r.rec_no: (r.dst_port, r.protocol, r.syn_flag, r._rescued and json.loads(r._rescued)) for r in out.collect()}
+    assert rows == {
+        1: (443, "tcp", None, {"dst_port": "80"}), 2: (80, "tcp", None, {"dst_port": ["21", "22"]}), 3: (None, "udp", None, {"syn_flag": ["late", "soon"]}),
+        4: (80, "tcp", None, None), 5: (7, "tcp", None, {"protocol": 'a "b"', "stray": "1"}), 6: (5, None, None, None),
+    }
+
+
 def test_drift_empty(spark):
     found, out = drift(spark, [], [])
     assert found == set() and out.count() == 0
