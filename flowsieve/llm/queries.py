@@ -171,7 +171,7 @@ WHERE len(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s
 
 def p10_verdicts(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with what each detector says of it; rows with `residue` are to be left out."""
-    return detect(table(spark, folder, "documents"), "doc_id", "text", "source").withColumnRenamed("id", "doc_id")
+    return detect(table(spark, folder, "documents"), "doc_id", "text", "source", "doc_kind").withColumnRenamed("id", "doc_id")
 
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,27 +1,30 @@
 """Template residue, filler, error pages and script notices in place of content.
 
-Markup is taken off, code quoted in backticks is blanked (texts that quote such things are no cases), and the text is
-cut into sentences. Detectors, all expressions inside the JVM:
-
-* placeholder: an unfilled mark of a template language, or a null word where a value should be;
-* filler: known filler phrases, or at least two sentences of five or more words without any function word, or one that is a
-  paragraph of its own (and no heading or list), or a line or sentence without function words that says the same words again;
-* notice: a line or sentence begins as an error message or script notice does, and all sentences that do not have at most
-  `few_words` words together.
-
-A fourth detector needs no phrases and combines evidence of the hosts: a short text most of whose words are foreign to
-the corpus (fewer than one percent of all documents hold them) and whose shape (digits masked) is answered by several
-hosts or documents alike is a response page, not content. Short means at most `most_words` words, however long. The slug and title of a record are its source and heading;
-headings and navigation lines are no content.
+Markup is taken off, and what stands in backticks or double quotes is blanked (texts that quote such things are no
+cases). A text is tokenised once; three detectors judge it:
+
+* placeholder: an unfilled mark of a template language (pairs of delimiters around a name, format directives), or a word
+  that programs print for a missing value where a value should stand. Marks that the sentence talks about ("{name}
+  style fields") are none.
+* filler: sentences of five or more words without any function word (two of them, or one that is a paragraph of its own
+  and no heading or list), a line that says the same words again, a to-do mark at the start, or a sentence that asks
+  the author to write (edit verb and slot: "type ... here", "replace this paragraph") or names itself sample text.
+* response: slug, title and body terms are compared. Only low-information texts (at most `most_words` distinct words)
+  are looked at; body words that are usual in the corpus (at least `rare_share` of all documents hold them) or repeat
+  the slug or the title speak for content, the others are a mismatch. A mismatching word is a response word if it is a
+  term of error messages and script notices, or by evidence of the hosts: at least `answers` low-information texts of
+  several hosts hold it, and these are at least half of all texts that do. A text is a response if response words make
+  at least `mismatch` of the words of its title and body that are no function words.
+
+The host evidence needs no phrases and finds responses in any language once they are repeated; the terms find single
+ones. Only texts with a term of filler, a doubled word or a run of words without function words are cut into sentences.
 
 Defined results: null or empty texts are no cases; repeated texts are judged alike; very long texts are judged whole;
-an empty table gives no rows.
+a null host or slug adds no evidence; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,65 +32,71 @@ from flowsieve import scratch
 
 #: Marks of template languages that are left unfilled.
 MARKS = [
-    r"\{\{\s*[A-Za-z_][\w .|-]*\}\}", r"\$\{\s*[A-Za-z_][\w.]*\s*\}", r"#\{\s*[A-Za-z_][\w.]*\s*\}", r"(?<![{$#\w])\{[A-Za-z_][A-Za-z_ ]*\}(?!\})",
-    r"\[\[\s*[A-Za-z_][\w ]*\]\]", r"<%=?\s*[A-Za-z_][\w. ]*%>", r"@@[A-Za-z_]+@@", r"(?<!\w)__[A-Za-z][A-Za-z_]*?__(?!\w)",
-    r"(?<![{$#\w])\{\d{1,2}\}(?!\})", r"%\([A-Za-z_]+\)[sdfSDF]", r"(?<![\w%])%(?:\.\d+)?[sdfSDF](?!\w)", r"(?<![\w%])%[A-Z_]{3,}%", r"(?<!\[)\[[A-Z]{2,}(?:[ _][A-Z]+)*\](?!\])",
-    r"(?i:<(?:insert|enter|your|add|fill in)\b[^<>]*>)", r"(?i:\[(?:insert|enter|your|add|fill in)\b[^\[\]]*\])",
+    r"\{\{\s*[A-Za-z_][\w .|-]*\}\}", r"[$#@]\{\s*[A-Za-z_][\w.]*\s*\}", r"(?<![{$#@\w])\{(?:[A-Za-z_][A-Za-z_ ]*|\d{1,2})\}(?!\})", r"\[\[\s*[A-Za-z_][\w ]*\]\]",
+    r"(?:<%|\[%|\{%)[=-]?\s*[A-Za-z_][\w. ]*-?(?:%>|%\]|%\})", r"<<\s*[A-Za-z_][\w ]*>>", r"@@[A-Za-z_]+@@", r"%%[A-Za-z_]+%%", r"(?<!\w)__[A-Za-z][A-Za-z_]*?__(?!\w)",
+    r"%\([A-Za-z_]+\)[sdfSDF]", r"(?<![\w%])%(?:\.\d+)?[sdfSDF](?!\w)", r"(?<![\w%])%[A-Z_]{3,}%", r"(?<!\[)\[[A-Z]{2,}(?:[ _][A-Z]+)*\](?!\])",
+    r"(?i:<(?:insert|enter|your|add|fill in|put)\b[^<>]*>)", r"(?i:\[(?:insert|enter|your|add|fill in|put)\b[^\[\]]*\])",
 ]
-#: Words that a program prints for a missing value, where they stand as a value.
+#: A word after a mark or a null word that shows that the sentence talks about it.
+TALKED_OF = r"(?!['\"`]?[ -](?:styles?|syntax|placeholders?|templates?|tags?|marks?|markers?|notation|expressions?|payloads?|strings?|values?|behaviou?r|symbols?|variables?|functions?|results?|hypothes[ie]s|models?|pointers?|checks?|keyword|literals?)\b)"
+#: Words that a program prints for a missing value, where they stand as a value.
 NULL_WORDS = [
-    r"(?<![\w\"'`-])undefined(?! (?:behaviou?r|values?|symbols?|variables?|functions?|results?)|[\w\"'`-])", r"(?<![\w\"'`-])UNDEFINED(?![\w\"'`-])",
-    r"(?<=[a-z,] )None(?! of)(?![\w\"'`-])", r"(?:^|[.!?]\s+)None(?= (?:beats|is|was|has|loses|gains)\b)",
-    r"(?<=[A-Za-z] )(?:NaN|nan|null|NULL)(?= (?:seconds|rows|flows|hours|percent|missing|of recall|resamples|heures|lignes|flux|Stunden|Zeilen|horas|filas|flujos)\b)",
-    r"(?<=\b(?:seed|than|from|to|by|of|on|was|under|stayed|auf|um|bei|Startwert|de|à|en|sur) )(?:NaN|nan|null|NULL)(?=[.,;]|$)",
+    r"(?<![\w\"'`/-])(?:undefined|UNDEFINED)(?![\w\"'`/-])", r"(?<=[a-z,] )None(?! of\b)(?![\w\"'`/-])", r"(?:^|[.!?]\s+)None(?= (?!was|his|its|this)\w*[a-z]s\b)",
+    r"(?<=\b(?:seed|than|from|to|by|of|on|at|was|only|about|stayed|auf|um|bei|von|de|à|en|sur|por) )(?:NaN|nan|NAN|null|NULL)(?=[.,;:]|$| (?:percent|missing|of)\b| \p{L}{3,}s\b)", r"(?<![\w\"'-])(?:TBD|TBA|TBC)(?![\w\"'-])",
 ]
-#: Phrases of filler, wherever they stand, and how filler begins; in lower case.
-FILLER_HOLDS = ["lorem ipsum", "sample text sample text", "add your own words", "text goes here"]
-FILLER_STARTS = [
-    r"sample heading\b", r"click to edit\b", r"this is a placeholder\b", r"todo: ?\w+", r"(?:insert|your) text here\b", r"(?:content )?coming soon\b", r"replace this (?:text|paragraph|section|sentence)\b",
-    r"type something\b", r"description goes here\b", r"(?:hier steht ein )?(?:blind|beispiel)text\b", r"texte? (?:d'exemple|de remplissage|de ejemplo|de relleno)\b",
+#: Words without which no sentence is looked at as filler: to-do marks, edit verbs, names of sample text.
+FILLER_TERMS = (
+    "lorem ipsum todo tbd tba fixme placeholder placeholders sample dummy filler example soon your here insert type enter add replace write edit click paste fill "
+    "platzhalter platzhaltertext blindtext mustertext beispieltext hier einfügen ersetzen exemple remplissage ici insérez remplacez saisissez cliquez ejemplo relleno aquí inserte reemplace escriba"
+).split()
+_SLOT = r"(?:texts?|headings?|titles?|paragraphs?|sections?|sentences?|content|descriptions?|summary|captions?|words|name)"
+#: How a sentence in lower case speaks as filler.
+FILLER_SPEAKS = [
+    r"\blorem ipsum\b", r"^(?:todo|tbd|tba|fixme)\b *(?:[:.-]|$)",
+    rf"^(?:please )?(?:insert|type|enter|add|replace|write|edit|click|paste|fill|put)\b.{{0,60}}\b(?:here|this {_SLOT}|your (?:own )?{_SLOT})\b",
+    rf"^(?:this is )?(?:an? )?(?:your|sample|placeholder|dummy|example|filler) {_SLOT}(?: (?:goes|comes|stands|here|will|to be|and will|for)\b.*|(?: (?:sample|dummy|example|filler) {_SLOT})*)[.!]?$",
+    rf"^{_SLOT} goes here\b", r"^(?:\w+ )?coming soon[.!]?$",
+    r"^(?:(?:dies|hier) (?:ist|steht) ein )?(?:platzhalter(?:text)?|blindtext|mustertext|beispieltext)\b", r"^(?:ceci est un |este es un )?text[eo] (?:d'exemple|de remplissage|de ejemplo|de relleno)\b",
+    r"^(?:bitte )?(?:hier|diesen text)\b.{0,40}\b(?:einfügen|ersetzen)\b", r"^(?:insérez|remplacez|saisissez|cliquez|inserte|reemplace|escriba)\b.{0,60}\b(?:ici|texte|aquí|texto)\b",
 ]
-#: One word four times in a row.
-REPEATED = r"(?<!\p{L})(\p{L}{2,})(?:\s+\1){3,}(?!\p{L})"
-#: All up to the end of the next word of two letters or more; possessive, so a text is read once and no further than needed.
-NEXT_WORD = r"(?:\P{L}|\p{L}(?!\p{L}))*+\p{L}{2,}+"
+#: Terms of error messages and script notices (fixed values): carriers, states and what the reader shall do.
+RESPONSE_TERMS = (
+    "http https nginx apache proxy gateway server upstream backend session browser javascript js script scripts scripting noscript cookie cookies captcha page webpage website site url link address request requests requested connection database permission login password firewall host token traceback exception stacktrace keyerror valueerror typeerror timeout "
+    "error errors denied forbidden unauthorized unauthorised unavailable expired failed failure invalid disabled enabled required requires missing moved deleted removed exist exists found find looking wrong unexpected unable sorry oops whoops maintenance offline locked refused rejected timed blocked broken temporarily currently busy overloaded exceeded limit internal fatal crashed private "
+    "access open enable activate allow reload refresh retry return click log sign signed logged again turn turned later contact administrator loading load loaded verify checking redirected view display displayed shown service minutes "
+    "fehler serverfehler seite sitzung zugriff verweigert gefunden abgelaufen wartung erreichbar zeitüberschreitung skripte aktivieren erneut versuchen später anmelden angeforderte existiert geladen dienst minuten anzeigen "
+    "erreur serveur interne introuvable refusé accès expiré indisponible réessayer veuillez activer navigateur délai dépassé nécessite exécution demandée supprimé déplacé connexion afficher service minutes "
+    "servidor interno página encontrada encontrado acceso denegado caducado sesión mantenimiento inténtelo navegador requiere habilitados activar activa espera agotado existe disponible servicio minutos ver "
+    "errore pagina trovata accesso negato scaduta manutenzione riprova"
+).split()
+#: Frequent function words of the corpus's languages.
+FUNCTION_WORDS = (
+    "a an and are as at be been but by can cannot could do does for from had has have he her his i if in into is it its more my no not of on one only or our out over she so than that the their them then there they this to under up us was we were what when where which who why will with would you your "
+    "about after all also any because before between both during each how just may might most must nor off once other some such through until very while re ve ll don isn doesn aren can't "
+    "aber alle als am an auch auf aus bei bin bis bitte das dass dem den der des die diese dieser diesen du durch ein eine einem einen einer er es für hat ich ihr ihre im in ist ja kann keine mit müssen nach nicht noch nur oder ohne sein sich sie sind so über um und uns unter vom von vor war wenn werden wie wir wird wurde zu zum zur "
+    "au aux avec ce cette ces comme dans de des du elle en est et il ils je la le les leur mais ne nous on ont ou par pas plus pour qu que qui sa sans se ses son sont sous sur un une vos votre vous y à été "
+    "al con como cuando de del el ella en entre es esta este estos está están esto fue ha hay la las lo los más me muy no nos o para pero por que se sin sobre son su sus también un una unas uno unos y ya"
+).split()
+
 #: A line or sentence of words alone; one that says a word three times in a row; five or more words without numbers.
 WORDS_ALONE = r"^\p{L}{2,}(?:\s+\p{L}{2,}){2,}[.!?]?$"
+DOUBLED = r"(?i)(?<!\p{L})(\p{L}{2,})\s+\1(?!\p{L})"
 THREE_TIMES = r"(?<!\p{L})(\p{L}{2,})(?:\s+\1){2}(?!\p{L})"
+FOUR_TIMES = r"(?<!\p{L})(\p{L}{2,})(?:\s+\1){3,}(?!\p{L})"
 HOLLOW = r"^(?:\p{L}{3,}[ ,]+){4,}\p{L}{3,}[.!?]?$"
 #: Headings (at most eight words that begin with a capital) and lists have no closing mark either.
 HEADING_OR_LIST = r"^(?:\p{Lu}\S*(?:\s+\S+){0,7}|[^,]*,.*)(?<![.!?])$"
-#: How error messages and script notices begin.
-NOTICES = [
-    r"[45]\d\d[ :-]+(?:bad|internal|gateway|service|forbidden|not found|unauthori[sz]ed|too many|gone|request|server|error)\b", r"http (?:status|error)\b", r"error\b(?: code)?:? ?#?\d", r"error[:!]?$", r"(?:internal )?server error\b", r"bad gateway\b", r"gateway time-?out\b", r"service (?:temporarily )?unavailable\b",
-    r"(?:page|report|file|document|notebook|dashboard|run|audit|chart) (?:was )?not found\b", r"the (?:\w+ ){1,3}you requested\b", r"access (?:is )?denied[.!:]?$", r"permission denied\b", r"you do not have permission\b", r"forbidden[.!:]?$",
-    r"(?:your )?session (?:has |is )?(?:expired|timed out)\b", r"(?:please )?(?:log|sign) in (?:again|to)\b", r"an? (?:unexpected |unknown |internal )?error (?:has )?occurred\b", r"traceback \(", r"[a-z]+(?:error|exception): ", r"rendering failed\b",
-    r"unable to (?:load|open|render|connect|fetch)\b", r"(?:could not|cannot|can't) (?:load|open|render|connect|be (?:loaded|displayed))\b", r"failed to (?:load|open|render|fetch)\b", r"something went wrong\b", r"the connection to\b.*\b(?:timed out|lost|refused|reset)\b", r"connection (?:timed out|refused|reset|lost)\b",
-    r"sorry, ", r"you have been (?:signed|logged) out\b", r"check the (?:address|url|link)\b", r"slow down\b", r"the upstream server\b", r"rate limit (?:reached|exceeded)\b", r"too many requests\b", r"we are (?:down|offline)\b", r"(?:down|closed) for maintenance\b", r"this (?:\w+ ){1,2}is (?:private|no longer available|unavailable|currently unavailable)\b", r"(?:page|report|file|document|notebook|dashboard|run|audit|chart|service|site) (?:is )?(?:currently |temporarily )?unavailable\b", r"(?:the )?request could not\b", r"(?:please )?(?:try again|retry|reload|come back) (?:later|in|when|soon|the page|after)\b", r"(?:incident|reference|trace|request) (?:number|id|no)?:? ?\d", r"reference:",
-    r"interner (?:server)?fehler\b", r"zugriff verweigert\b", r"ihre sitzung\b", r"(?:wegen|wartung)\b.*\b(?:nicht erreichbar|wartung)\b", r"(?:die )?(?:seite|datei|anzeige|auswertung) (?:wurde |konnte )?nicht\b", r"zeitüberschreitung\b", r"bitte versuchen sie\b", r"dienst nicht\b", r"ein (?:unerwarteter )?fehler\b",
-    r"erreur\b(?: interne| inattendue| du serveur)?(?: \d|\b)", r"page introuvable\b", r"le (?:rapport|fichier|document)\b.*\b(?:déplacé|supprimé|introuvable)\b", r"accès (?:refusé|interdit)\b", r"votre session\b", r"délai d'attente\b", r"service (?:indisponible|en maintenance)\b", r"site en maintenance\b", r"veuillez (?:réessayer|recharger)\b",
-    r"error (?:interno|inesperado|del servidor)\b", r"acceso (?:denegado|prohibido)\b", r"su sesión\b", r"(?:página|informe) no (?:encontrad|disponible)", r"no se (?:encontró|pudo|ha podido)\b", r"servicio (?:en mantenimiento|no disponible)\b", r"tiempo de espera\b", r"int[eé]ntelo\b",
-    r"(?:please )?(?:enable|activate|turn on|allow) (?:javascript|scripts?|cookies)\b", r"javascript (?:is |must be |has been )?(?:disabled|required|needed|enabled|off)\b", r"(?:this|the) (?:\w+ ){1,2}(?:requires?|needs?) (?:javascript|scripts?)\b", r"you need to (?:allow|enable|activate)\b.*\b(?:scripts?|javascript|cookies)\b", r"(?:\w+ ){1,2}cannot be displayed until\b", r"your (?:browser|script blocker)\b", r"if nothing happens\b", r"noscript\b", r"we are checking your browser\b", r"switch it off\b", r"loading [\w ]+\.\.\.", r"checking your browser\b", r"(?:this|the) (?:\w+ ){1,2}works (?:best|only) with (?:js|javascript|scripts)\b",
-    r"(?:bitte )?(?:aktivieren|erlauben) sie\b.*\b(?:javascript|skripte)\b", r"ohne (?:skripte|javascript)\b", r"für diese (?:seite|anzeige)\b.*\b(?:skripte|javascript)\b", r"(?:javascript|skripte) (?:ist|sind|muss|müssen)\b",
-    r"(?:veuillez )?activer (?:javascript|les scripts)\b", r"cette page (?:nécessite|requiert)\b", r"javascript est\b", r"(?:por favor, )?(?:active|habilite|activar) (?:javascript|los scripts)\b", r"esta página (?:requiere|necesita)\b", r"javascript está\b", r"sin (?:scripts|javascript)\b",
-]
-#: Navigation and buttons around a response.
-CHROME = [r"home \|.*", r"\(c\) .*", r"reload", r"retry", r"back(?: to start)?", r"help", r"contact the administrator", r"ok", r"close", r"menu", r"log ?in"]
-#: Frequent function words of the corpus's languages.
-FUNCTION_WORDS = (
-    "a an and are as at be been but by can for from had has have he her his i if in into is it its more my no not of on one or our she so than that the their them then there they this to us was we were what when which who will with would you your "
-    "aber alle als am an auch auf aus bei bin bis bitte das dass dem den der des die diese dieser du durch ein eine einem einen einer er es für hat ich ihr im in ist ja kann mit nach nicht noch nur oder ohne sein sich sie sind so über um und uns von vor war wenn werden wie wir wird zu zum zur "
-    "au aux avec ce cette ces comme dans de des du elle en est et il ils je la le les leur mais ne nous on ou par pas plus pour qu que qui sa se ses son sont sur un une vous y à "
-    "al con como de del el ella en entre es esta este esto ha han hay la las lo los más me no o para pero por que se sin son su sus también un una unas uno unos ya"
-).split()
 
 _ANY = lambda patterns: "|".join(f"(?:{p})" for p in patterns)
+_ONE_OF = lambda w, terms: w.isin(*sorted(set(terms)))
 
 
 def plain(text: Column) -> Column:
-    """Text without tags and with quoted code blanked."""
-    blanked = F.regexp_replace(text, r"`[^`\n]*`", " codespan ")
-    return F.regexp_replace(blanked, r"</?(?:[a-zA-Z][a-zA-Z0-9]*)(?:\s+[a-zA-Z-]+=(?:\"[^\"]*\"|'[^']*'))*\s*/?>", "\n")
+    """Text without tags and with quotations blanked."""
+    quoted = F.regexp_replace(text, r"`[^`\n]*`|\"[^\"\n]{1,120}\"", " codespan ")
+    blanked = F.when(text.contains("`") | text.contains('"'), quoted).otherwise(text)
+    untagged = F.regexp_replace(blanked, r"</?(?:[a-zA-Z][a-zA-Z0-9]*)(?:\s+[a-zA-Z-]+=(?:\"[^\"]*\"|'[^']*'|codespan))*\s*/?>", "\n")
+    return F.when(text.contains("<"), untagged).otherwise(blanked)
 
 
 def pieces(body: Column, border: str) -> Column:
@@ -98,71 +107,84 @@ def sentences(body: Column) -> Column:
     return pieces(body, r"(?<=[.!?:)])\s+(?=[^a-z])|\n+")
 
 
-def repeats(s: Column) -> Column:
-    """Whether at least half of the words of a line or sentence were said before in it, or one stands three times in a row."""
-    w = words(s)
-    return (2 * F.size(F.array_distinct(w)) <= F.size(w)) | F.lower(s).rlike(THREE_TIMES)
-
-
 def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}{2,}"), F.lit(0))
 
 
-def detect(documents: DataFrame, id: str, text: str, host: str, rare_share: float = 0.01, foreign: float = 0.5, most_words: int = 40, few_words: int = 8, answers: int = 3) -> DataFrame:
+def title(body: Column) -> Column:
+    """The first line, or what stands before its colon, if it is short, has no closing mark and something follows."""
+    first = F.regexp_extract(body, r"^\s*([^\n]{1,80}?)(?:[ \t]*\n|:[ \t])\s*\S", 1)
+    return F.when((first != "") & ~first.rlike(r"[.!?]$") & (F.size(F.split(first, r"\s+")) <= 8), first).otherwise("")
+
+
+def _speaks_as_filler(body: Column, w: Column) -> Column:
+    """The detector of filler; sentences are made only where the words give a reason."""
+    function_free = lambda s: ~F.exists(words(s), lambda x: _ONE_OF(x, FUNCTION_WORDS))
+
+    def again(s: Column) -> Column:
+        said = words(s)
+        return s.rlike(WORDS_ALONE) & ((2 * F.size(F.array_distinct(said)) <= F.size(said)) | F.lower(s).rlike(THREE_TIMES)) & function_free(s)
+
+    hollow = lambda s: s.rlike(HOLLOW) & function_free(s)
+    units = sentences(body)
+    spoken = F.exists(units, lambda s: F.lower(s).rlike(_ANY(FILLER_SPEAKS)) & (F.size(words(s)) <= 16))
+    said_again = F.exists(units, lambda s: F.lower(s).rlike(FOUR_TIMES) | again(s))
+    n_hollow = F.size(F.filter(units, hollow))
+    apart = F.exists(pieces(body, r"\n\s*\n"), lambda p: hollow(p) & ~p.rlike(HEADING_OR_LIST))
+    marks = F.array_join(F.transform(w, lambda x: F.when(_ONE_OF(x, FUNCTION_WORDS), "1").otherwise("0")), "")
+    return (
+        F.when(F.exists(w, lambda x: _ONE_OF(x, FILLER_TERMS)), spoken).otherwise(False)
+        | F.when(body.rlike(DOUBLED), said_again).otherwise(False)
+        | F.when(marks.contains("00000"), F.when(n_hollow >= 2, True).otherwise((n_hollow == 1) & ((F.size(units) == 1) | apart))).otherwise(False)
+    )
+
+
+def detect(
+    documents: DataFrame, id: str, text: str, host: str, slug: str | None = None, rare_share: float = 0.01, mismatch: float = 0.5, most_words: int = 40, answers: int = 3
+) -> DataFrame:
     """id and the detectors' verdicts: placeholder, filler, notice, response; `residue`: any of them."""
-    docs = documents.select(F.col(id).alias("id"), F.col(host).alias("host"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    bodies = docs.withColumn("body", plain(F.col("text")))
-    # cheap conditions first: most texts hold neither brackets nor null words, most sentences are no short line
-    marked = F.col("body").rlike(r"[{}\[\]<%@]|__") & F.col("body").rlike(_ANY(MARKS))
-    nulls = F.col("body").rlike(r"undefined|UNDEFINED|None|NaN|nan|null|NULL") & F.col("body").rlike(_ANY(NULL_WORDS))
-    stop = r"(?i)(?<!\p{L})(?:" + "|".join(sorted(set(FUNCTION_WORDS))) + r")(?!\p{L})"
-
-    def judge(s: Column, i: Column) -> Column:
-        low = F.lower(s)
-        return F.struct(
-            s.alias("s"),
-            ((F.length(s) <= 80) & low.rlike(rf"^(?:{_ANY(CHROME)})[.!]?$")).alias("chrome"),
-            # a heading: a short line without a closing mark, before the first sentence
-            ((i == 0) & ~s.rlike(r"[.!?]$") & (F.size(F.split(s, r"\s+")) <= 8)).alias("heading"),
-            (reduce(lambda a, b: a | b, [low.contains(x) for x in FILLER_HOLDS]) | low.rlike(rf"^(?:{_ANY(FILLER_STARTS)})") | low.rlike(REPEATED)).alias("filler"),
-            (s.rlike(HOLLOW) & ~s.rlike(stop)).alias("hollow"),
-            (s.rlike(WORDS_ALONE) & ~s.rlike(stop) & repeats(s)).alias("repeated"),
-        )
-
-    units = bodies.select("id", "host", "body", (marked | nulls).alias("placeholder"), F.filter(F.transform(sentences(F.col("body")), judge), lambda u: ~u["chrome"]).alias("u"))
-    is_notice = lambda u: F.lower(u["s"]).rlike(rf"^(?:{_ANY(NOTICES)})")
-    # whether there is a notice, and the words of the rest; nothing more is looked at once the rest has too many
-    told = lambda any, rest: F.struct(any.alias("any"), rest.alias("rest"))
-
-    def add(a: Column, u: Column) -> Column:
-        more = F.when(u["heading"], 0).otherwise(F.size(words(u["s"])))
-        return F.when(a["rest"] > few_words, a).otherwise(F.when(is_notice(u), told(F.lit(True), a["rest"])).otherwise(told(a["any"], a["rest"] + more)))
-
-    told_by = F.aggregate("u", told(F.lit(False), F.lit(0)), add)
-    hollow = F.size(F.filter("u", lambda u: u["hollow"]))
-    # looked for only in texts with one hollow sentence
-    apart = F.exists(pieces(F.col("body"), r"\n\s*\n"), lambda p: p.rlike(HOLLOW) & ~p.rlike(stop) & ~p.rlike(HEADING_OR_LIST))
-    judged = units.select(
-        "id", "host", F.coalesce("placeholder", F.lit(False)).alias("placeholder"),
-        (F.exists("u", lambda u: u["filler"] | u["repeated"]) | (hollow >= 2) | ((hollow >= 1) & (F.size("u") == 1)) | F.when(hollow == 1, apart).otherwise(False)).alias("filler"),
-        told_by.alias("told"),
-        F.array_join(F.transform(F.filter("u", lambda u: ~u["heading"] | (F.size("u") == 1)), lambda u: u["s"]), " ").alias("core"),
+    slugs = F.col(slug) if slug else F.lit(None).cast("string")
+    docs = documents.select(F.col(id).alias("id"), F.col(host).cast("string").alias("host"), slugs.alias("slug"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    bodies = docs.select("id", "host", "slug", plain(F.col("text")).alias("body")).withColumn("w", words(F.col("body")))
+    # cheap conditions first: most texts hold neither brackets nor null words
+    marked = F.when(F.col("body").rlike(r"[{}\[\]<%@]|__"), F.col("body").rlike(rf"(?:{_ANY(MARKS)}){TALKED_OF}")).otherwise(False)
+    nulls = F.when(F.col("body").rlike(r"undefined|UNDEFINED|None|N[aA]N|nan|null|NULL|TB[ACD]"), F.col("body").rlike(rf"(?:{_ANY(NULL_WORDS)}){TALKED_OF}")).otherwise(False)
+    low = F.size(F.array_distinct("w")) <= most_words
+    told = F.array_distinct(words(F.concat_ws(" ", F.regexp_replace(F.coalesce("slug", F.lit("")), "_", " "))))
+    judged = bodies.select(
+        "id", "host", (marked | nulls).alias("placeholder"), _speaks_as_filler(F.col("body"), F.col("w")).alias("filler"),
+        F.array_distinct("w").alias("w"), (low & (F.size("w") > 0)).alias("low"),
+        F.when(low, F.array_distinct(words(title(F.col("body"))))).alias("t"), F.when(low, told).alias("slug"),
     )
-    judged = judged.withColumn("notice", F.col("told.any") & (F.col("told.rest") <= few_words)).drop("told")
-    short = ~F.col("placeholder") & ~F.col("filler") & ~F.col("notice") & ~F.lower("core").rlike(rf"^(?:{NEXT_WORD}){{{most_words + 1}}}+") & (F.size(words(F.col("core"))) > 0)
-    judged, _ = scratch.cut(judged.withColumn("core", F.when(short, F.col("core"))))  # each text is judged once
-    common = common_words(docs, rare_share)
-    shape = F.md5(F.regexp_replace(F.lower("core"), r"[\d\W]+", " "))
-    terms = judged.where(F.col("core").isNotNull()).select("id", "host", shape.alias("shape"), F.explode(words(F.col("core"))).alias("word")).join(common, "word", "left")
-    odd, _ = scratch.cut(terms.groupBy("id", "host", "shape").agg(F.avg(F.coalesce("usual", F.lit(0.0))).alias("usual")).where(F.col("usual") <= 1 - foreign))
-    often = odd.groupBy("shape").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("host").alias("hosts")).where((F.col("n") >= answers) & (F.col("hosts") > 1))
-    response = odd.join(often, "shape").select("id").distinct().withColumn("response", F.lit(True))
-    out = judged.drop("core").join(response, "id", "left").withColumn("response", F.coalesce("response", F.lit(False)))
-    return out.select("id", "placeholder", "filler", "notice", "response", (F.col("placeholder") | F.col("filler") | F.col("notice") | F.col("response")).alias("residue"))
-
-
-def common_words(docs: DataFrame, rare_share: float) -> DataFrame:
-    """Words of at least `rare_share` of all documents: at most (mean distinct words of a document) / rare_share rows."""
-    n = docs.count()
-    counts = docs.select(F.explode(F.array_distinct(words(F.col("text")))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    return counts.where(F.col("df") >= max(1.0, rare_share * n)).select("word", F.lit(1.0).alias("usual"))
+    judged, _ = scratch.cut(judged)  # each text is read and tokenised once
+    response = _responses(judged, docs.count(), rare_share, mismatch, answers)
+    verdicts = [F.coalesce(c, F.lit(False)).alias(c) for c in ("placeholder", "filler", "notice", "response")]
+    out = judged.select("id", "placeholder", "filler").join(response, "id", "left").select("id", *verdicts)
+    return out.withColumn("residue", F.col("placeholder") | F.col("filler") | F.col("notice") | F.col("response"))
+
+
+def _responses(judged: DataFrame, n_docs: int, rare_share: float, mismatch: float, answers: int) -> DataFrame:
+    """id, notice (by terms alone), response (terms and hosts) of the low-information texts that answer instead of telling."""
+    own_host = F.when(F.col("low"), F.col("host"))
+    stats = (
+        judged.select(F.explode("w").alias("word"), "low", own_host.alias("host"))
+        .groupBy("word")
+        .agg(F.count(F.lit(1)).alias("df"), F.count_if("low").alias("e"), F.min("host").alias("h0"), F.max("host").alias("h1"))
+        .where(F.col("e") > 0)
+    )
+    usual = F.col("df") >= F.greatest(F.lit(2.0), F.lit(rare_share * n_docs))
+    by_hosts = ~usual & (F.col("e") >= answers) & (F.col("h0") != F.col("h1")) & (2 * F.col("e") >= F.col("df"))
+    stats = stats.select("word", by_hosts.alias("by_hosts"), usual.alias("usual"))
+    # a word of the title alone counts only if it is a response word; what the body shares with the slug agrees
+    terms = judged.where("low").select("id", F.explode(F.filter("w", lambda x: ~_ONE_OF(x, FUNCTION_WORDS))).alias("word"), "t", "slug")
+    terms = terms.select("id", "word", F.array_contains("t", F.col("word")).alias("in_title"), F.array_contains("slug", F.col("word")).alias("in_slug"))
+    by_term = ~F.col("in_slug") & _ONE_OF(F.col("word"), RESPONSE_TERMS)
+    met = terms.join(stats, "word").select("id", "in_title", "usual", by_term.alias("term"), (by_term | (~F.col("in_slug") & F.col("by_hosts"))).alias("answer"))
+    told = lambda c: [F.count_if(c).alias(f"n_{c}"), F.count_if(~F.col(c) & ~F.col("in_title")).alias(f"rest_{c}"), F.count_if(~F.col(c) & F.col("usual") & ~F.col("in_title")).alias(f"content_{c}")]
+
+    def found(c: str) -> Column:
+        n, rest = F.col(f"n_{c}"), F.col(f"rest_{c}")
+        return (n > 0) & ((n >= 2) | (rest == 0)) & (n >= mismatch * (n + rest)) & (n > F.col(f"content_{c}"))
+
+    per = met.groupBy("id").agg(*told("term"), *told("answer"))
+    return per.select("id", found("term").alias("notice"), found("answer").alias("response")).where("notice or response")

@@ -334,6 +334,44 @@ def test_long_responses_of_few_words(spark):
     assert got == {1000 + 10 * n + i for n in (0, 35) for i in range(5)}
 
 
+#: Written for the test after the detectors; single texts, where the hosts are no help.
+UNSEEN_RESIDUE = [
+    "The unit [% unit_name %] was replayed twice.", "<<analyst>> closed the ticket before noon.", "The owner of this set is TBD.", "HTTP 502 nginx", "We can't find the page you're looking for.", "Pagina non trovata", "404 - Page Not Found",
+    "Oops! An internal error has occurred. Please try again later.", "Your session timed out. Please log in again.", "503 Service Temporarily Unavailable\nnginx/1.18.0", "This site requires JavaScript to be enabled.", "JavaScript must be enabled in your browser to display this content.",
+    "Please turn on cookies and reload.", "You are not authorized to access this page. Contact the administrator.", "Request blocked by the firewall. Request id 7781.", "Die Seite existiert nicht.", "Zugriff verweigert. Bitte anmelden.", "La page demandée est introuvable.", "Connexion refusée par le serveur.", "Página no encontrada (404)", "Su sesión ha expirado. Acceso denegado.",
+    "The site is offline for maintenance.", "Fatal error: unable to connect to the database.", "Hello {{ user.name }}, the sweep of unit 12 ended.", "The split was {% split %} in both runs.", "Rows of $" + "{unit} came late.", "The seed was %d in run 7.", "Label [YOUR LABEL HERE] was removed.", "The reject rate rose to NaN.", "Sensor undefined sent 120 flows.", "%%OWNER%% will check the unit.",
+    "Lorem ipsum dolor sit amet, consectetur adipiscing elit.", "Enter your description here.", "Write this section later.", "TBD", "Dummy text for the summary", "Content coming soon.", "foo foo foo foo foo", "Dolorem quentum varian sollis pretum. Anquis belor tamen crescun fuit.", "FIXME: describe the capture",
+]
+UNSEEN_CONTENT = [
+    "Error 12 was traced to a bad cable, and the capture was repeated on Monday.", "The text uses {name} style fields in format strings.", "Sample heading sizes were counted by the audit.", "Scripts on the small node requested a retrain every night, which explains the load.", "The server room lost power, so two captures of MillNet are short.", "Access to the label store is logged for every analyst.",
+    "HTTP floods make up a third of the DoS rows in this capture.", "A page on the wiki lists all seeds of the five runs.", "The session table joins flows with the unit that sent them.", "We found that the error rate of rf falls with more seeds.", "The timeout of idle flows is 120 seconds in both captures.", "Login attempts by the brute force tool come in bursts of forty.", "Requests that fail are counted as benign by the old mapper.",
+    "Undefined behaviour of the parser was fixed before the second run.", "None of the units were relabelled after the audit.", "The null hypothesis was rejected for four families.", "Rows with NaN values were dropped before scaling.", "None was found.", "The placeholder label Other stands for all rare families.", "Your reading of the table is right, the threshold is too low.", "Type errors in the label column were mended by hand.", "Add the two counts and the support is met.", "Replace the seed and the interval moves by a tenth.",
+    "The audit said `Access denied` was the most frequent reply.", "The form said \"Please enable JavaScript\" in every replay, so the bench skipped it.", "Matrix entries [1, 2] and [2, 1] are swapped.", "The share is 12% sure to fall below 40% of rows.", "El servidor de la unidad 7 envió 300 flujos con la etiqueta DoS.", "Der Server der Einheit 7 hat 300 Flüsse mit dem Etikett DoS geliefert.", "Le serveur de l'unité 7 a envoyé 300 flux avec l'étiquette DoS.", "This surprised us.", "No further action is planned.", "botnet, scan, recon, bruteforce, other", "Many, many more seeds are needed.", "xgb beats rf, rf beats knn, knn beats none.",
+    "The proxy logs show 400 refused connections from the scan host.", "Browser traffic is labelled benign in all four data sets.", "The limit of 200 rows per family removed Web/App from the list.", "Maintenance of the sensors took two days and cost 900 rows.", "The soon to come capture of CoastIDS has more units.",
+]
+
+
+def test_unseen_residue_and_content(spark):
+    texts = UNSEEN_RESIDUE + UNSEEN_CONTENT
+    docs = spark.createDataFrame([(i, t, f"h{i}", "run_note") for i, t in enumerate(texts)], "doc_id long, text string, source string, doc_kind string")
+    got = {r.id for r in residue.detect(docs, "doc_id", "text", "source", "doc_kind").where("residue").collect()}
+    true = set(range(len(UNSEEN_RESIDUE)))
+    assert len(got & true) >= 0.9 * len(true), [texts[i] for i in sorted(true - got)]
+    assert len(got & true) >= 0.9 * len(got), [texts[i] for i in sorted(got - true)]
+
+
+def test_notices_by_hosts_alone(spark, monkeypatch):
+    """Without any term, repeated responses of several hosts are found; content of the same length is not."""
+    monkeypatch.setattr(residue, "RESPONSE_TERMS", ["nosuchterm"])
+    notices = ["Access denied. You do not have permission to open this chart.", "Interner Serverfehler. Bitte versuchen Sie es später erneut. Vorgang {}", "Too many requests. Slow down and retry after {} seconds."]
+    content = ["The rows of unit {} came late.", "No further action is planned for unit {}.", "The threshold of seed {} is too low."]
+    rows = [(i, content[i % 3].format(i) + (" Nothing else is known about this unit and its rows." if i % 2 else ""), f"h{i % 7}") for i in range(900)]
+    rows += [(1000 + i, notices[i % 3].format(i), f"h{i % 5}") for i in range(15)] + [(2000, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.id for r in residue.detect(docs, "doc_id", "text", "source").where("residue").collect()}
+    assert got == set(range(1000, 1015))
+
+
 def test_residue_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, source string")
     assert residue.detect(docs, "doc_id", "text", "source").count() == 0
