@@ -4,8 +4,11 @@ Items are dealt to groups of bounded size. Within a group each container takes t
 subset-sum over the multiset of remaining lengths (reachable sums as the bits of one integer, multiplicities split into
 powers of two) finds the lengths that fill the rest closest to the capacity; the counts are traced back, and the same
 multiset is used again as long as the remaining counts allow. Containers that stay below `good` of the capacity are
-opened again and their items packed together with those of other groups, round after round, until one group is left,
-so that unused space does not add up over the groups.
+opened again and their items packed together with those of other groups, round after round, so that unused space does
+not add up over the groups. For one capacity this ends when one group is left, when the opened containers are proven
+optimal (their number is the larger of total size / capacity, rounded up, and the number of pieces above half the
+capacity, no two of which fit together), or when a round saves less than `least_gain` of the containers it opened:
+items that cannot be packed tighter are not moved again, so the number of rounds does not depend on their number.
 
 An item above the capacity is cut into full containers and one remainder, which is packed like any item.
 
@@ -79,24 +82,29 @@ def fill(sizes: list[int], capacity: int) -> list[int]:
 def pieces(documents: DataFrame, capacities: DataFrame, id: str, text: str) -> DataFrame:
     """capacity_no, capacity, item, tokens, n_pieces, piece, start, size: items cut only where above the capacity."""
     sized = documents.select(F.col(id).alias("item"), token_count(F.col(text)).alias("tokens"))
-    caps = F.broadcast(capacities.select("capacity_no", F.col("capacity_tokens").cast("long").alias("capacity")).where(F.col("capacity") > 0))  # the fixed list of container sizes
+    # the fixed list of container sizes becomes part of the expression, so nothing is joined or broadcast
+    sizes = capacities.select(F.col("capacity_no").cast("int"), F.col("capacity_tokens").cast("long").alias("c")).where(F.col("c") > 0).collect()
+    caps = F.array(*[F.struct(F.lit(r.capacity_no).cast("int").alias("capacity_no"), F.lit(r.c).cast("long").alias("capacity")) for r in sizes])
+    if not sizes:
+        caps = F.expr("CAST(array() AS array<struct<capacity_no: int, capacity: bigint>>)")
+    each = sized.select("item", "tokens", F.explode(caps).alias("_c")).select("item", "tokens", "_c.capacity_no", "_c.capacity")
     n = F.greatest(F.lit(1), F.ceil(F.col("tokens") / F.col("capacity"))).cast("long")
-    cut = sized.crossJoin(caps).withColumn("n_pieces", n).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_pieces") - 1)).alias("piece"))
+    cut = each.withColumn("n_pieces", n).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_pieces") - 1)).alias("piece"))
     return cut.withColumn("start", F.col("piece") * F.col("capacity")).withColumn("size", F.least(F.col("capacity"), F.col("tokens") - F.col("start")))
 
 
-def pack(documents: DataFrame, capacities: DataFrame, id: str, text: str, group_rows: int = 2000, good: float = 0.995) -> DataFrame:
+def pack(documents: DataFrame, capacities: DataFrame, id: str, text: str, group_rows: int = 2000, good: float = 0.995, least_gain: float = 0.001) -> DataFrame:
     """capacity_no, item, piece, start, size, container: where each piece lies."""
     spark = documents.sparkSession
     key = ["capacity_no", "capacity", "item", "piece", "start", "size"]
     todo, path = scratch.cut(pieces(documents, capacities, id, text).select(*key))
     shape = "capacity_no int, capacity long, item long, piece long, start long, size long, container string, filled double"
-    done, level = [], 0
-    while True:
-        groups = todo.groupBy("capacity_no").agg(F.ceil(F.count(F.lit(1)) / group_rows).alias("n_groups"))
-        most = groups.agg(F.max("n_groups")).first()[0] or 0
-        dealt = todo.join(F.broadcast(groups), "capacity_no")  # one row per container size
-        dealt = dealt.withColumn("node", F.pmod(F.xxhash64("item", "piece", F.lit(level)), F.col("n_groups")))
+    done, level, opened = [], 0, {}
+    n_rows = {r.capacity_no: r["count"] for r in todo.groupBy("capacity_no").count().collect()}  # one row per container size, here and below
+    while n_rows:
+        n_groups = {c: -(-n // group_rows) for c, n in n_rows.items()}
+        share = F.element_at(F.create_map(*[F.lit(x).cast(t) for c, n in n_groups.items() for x, t in ((c, "int"), (n, "long"))]), F.col("capacity_no"))
+        dealt = todo.withColumn("node", F.pmod(F.xxhash64("item", "piece", F.lit(level)), share))
 
         def place(pdf: pd.DataFrame) -> pd.DataFrame:
             capacity, node = int(pdf["capacity"].iloc[0]), int(pdf["node"].iloc[0])
@@ -110,16 +118,36 @@ def pack(documents: DataFrame, capacities: DataFrame, id: str, text: str, group_
         packed = dealt.groupBy("capacity_no", "node").applyInPandas(place, shape)
         placed, new = scratch.cut(packed.withColumn("container", F.concat(F.lit(f"{level}-"), "container")))
         scratch.drop(spark, path)
-        if most <= 1:
-            done.append(placed)
-            break
-        done.append(placed.where(F.col("filled") >= good))
-        todo, path = scratch.cut(placed.where(F.col("filled") < good).select(*key))
-        level += 1
-        if level > 12:
-            done.append(placed.where(F.col("filled") < good))
-            break
-    out = done[0]
+        path = None
+        bad = F.col("filled") < good
+        boxes = placed.groupBy("capacity_no", "container").agg(
+            F.first("capacity").alias("capacity"), F.max(bad.cast("int")).alias("bad"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"), F.count_if(2 * F.col("size") > F.col("capacity")).alias("large")
+        )
+        is_open = F.col("bad") == 1
+        least = F.greatest(F.ceil(F.sum(F.when(is_open, F.col("total"))) / F.first("capacity")), F.sum(F.when(is_open, F.col("large"))))
+        counts = boxes.groupBy("capacity_no").agg(F.count(F.lit(1)).alias("boxes"), F.count_if(is_open).alias("open"), F.coalesce(F.sum(F.when(is_open, F.col("n"))), F.lit(0)).alias("rows"), least.alias("least")).collect()
+        again = {}
+        for r in counts:
+            saved = opened.get(r.capacity_no, 2 * r.boxes) - r.boxes  # the first round always counts as a gain
+            if r.open and n_groups[r.capacity_no] > 1 and r.open > r.least and saved >= least_gain * r.boxes:
+                again[r.capacity_no], opened[r.capacity_no] = r.rows, r.open
+        goes_on = F.col("capacity_no").isin(list(again)) & bad
+        done.append(placed.where(~goes_on) if again else placed)
+        if again:
+            todo, path = scratch.cut(placed.where(goes_on).select(*key))
+        n_rows, level = again, level + 1
+    scratch.drop(spark, path)
+    out = done[0] if done else spark.createDataFrame([], shape)
     for d in done[1:]:
         out = out.unionAll(d)
     return out.select("capacity_no", "item", "piece", "start", "size", "container")
+
+
+def fill_report(packed: DataFrame, capacities: DataFrame) -> DataFrame:
+    """capacity_no, n_items, n_tokens, n_containers, n_overfull, n_cut_in_vain, unused (share of the containers' space)."""
+    sizes = F.broadcast(capacities.select("capacity_no", F.col("capacity_tokens").cast("long").alias("capacity")))  # the fixed list, one row per container size
+    boxes = packed.groupBy("capacity_no", "container").agg(F.sum("size").alias("total"), F.count_if(F.col("piece") == 0).alias("n_items"), F.count_if((F.col("piece") > 0) & (F.col("size") <= 0)).alias("vain"))
+    return boxes.join(sizes, "capacity_no").groupBy("capacity_no").agg(
+        F.sum("n_items").alias("n_items"), F.sum("total").alias("n_tokens"), F.count(F.lit(1)).alias("n_containers"),
+        F.count_if(F.col("total") > F.col("capacity")).alias("n_overfull"), F.sum("vain").alias("n_cut_in_vain"), (1 - F.sum("total") / F.sum("capacity")).alias("unused"),
+    )

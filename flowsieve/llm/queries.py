@@ -9,7 +9,7 @@ from flowsieve.llm.leak_rows import near_pairs
 from flowsieve.llm.leak_text import leaks
 from flowsieve.llm.linked_splits import components, linked_splits
 from flowsieve.llm.multi_select import percentiles
-from flowsieve.llm.packing import pack
+from flowsieve.llm.packing import fill_report, pack
 from flowsieve.llm.residue import detect
 from flowsieve.llm.target_sample import target_report, target_sample
 from flowsieve.tables import table
@@ -163,6 +163,16 @@ def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
     return out.withColumnRenamed("item", "doc_id")
 
 
+def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """Per capacity: documents and tokens laid out, containers above their capacity, texts cut in vain, and whether at most 1 % (and one container) more than the least possible number is used."""
+    caps = table(spark, folder, "capacities")
+    out = fill_report(pack(table(spark, folder, "documents"), caps, "doc_id", "text"), caps).join(caps, "capacity_no")
+    tight = F.col("n_containers") <= F.ceil(1.01 * F.col("n_tokens") / F.col("capacity_tokens")) + 1
+    return out.select("capacity_no", "n_items", "n_tokens", "n_overfull", "n_cut_in_vain", tight.alias("tight"))
+
+
+_TOKENS = r"len(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\x0B\x{85}\p{Z}]+'))"
+P8_FILL_SQL = f"SELECT capacity_no, count(*) AS n_items, sum({_TOKENS})::BIGINT AS n_tokens, 0 AS n_overfull, 0 AS n_cut_in_vain, true AS tight FROM documents, capacities GROUP BY capacity_no"
 P8_FOUND_SQL = r"""
 SELECT capacity_no, doc_id FROM documents, capacities
 WHERE len(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\x0B\x{85}\p{Z}]+')) > capacity_tokens
@@ -196,5 +206,5 @@ eg AS (SELECT item_id, unnest(list_transform(range(1, len(w) - 10), lambda k: ar
 SELECT DISTINCT doc_id, item_id FROM dg JOIN eg USING (g)
 """
 
-QUERIES = {"p1_percentiles": p1_percentiles, "p3_found": p3_found, "p3_split": p3_split, "p3_candidate_breaks": p3_candidate_breaks, "p4_found": p4_found, "p4_overlap": p4_overlap, "p8_found": p8_found, "p8_containers": p8_containers, "p10_found": p10_found, "p10_verdicts": p10_verdicts, "p9_found": p9_found, "p9_leaks": p9_leaks, "p6_found": p6_found, "p6_report": p6_report, "p6_sample": p6_sample}
-SQL = {"p1_percentiles": P1_SQL, "p3_found": P3_FOUND_SQL, "p3_candidate_breaks": P3_BREAKS_SQL, "p4_found": P4_FOUND_SQL, "p4_overlap": P4_OVERLAP_SQL, "p8_found": P8_FOUND_SQL, "p9_found": P9_FOUND_SQL, "p6_found": P6_FOUND_SQL}
+QUERIES = {"p1_percentiles": p1_percentiles, "p3_found": p3_found, "p3_split": p3_split, "p3_candidate_breaks": p3_candidate_breaks, "p4_found": p4_found, "p4_overlap": p4_overlap, "p8_found": p8_found, "p8_containers": p8_containers, "p8_fill": p8_fill, "p10_found": p10_found, "p10_verdicts": p10_verdicts, "p9_found": p9_found, "p9_leaks": p9_leaks, "p6_found": p6_found, "p6_report": p6_report, "p6_sample": p6_sample}
+SQL = {"p1_percentiles": P1_SQL, "p3_found": P3_FOUND_SQL, "p3_candidate_breaks": P3_BREAKS_SQL, "p4_found": P4_FOUND_SQL, "p4_overlap": P4_OVERLAP_SQL, "p8_found": P8_FOUND_SQL, "p8_fill": P8_FILL_SQL, "p9_found": P9_FOUND_SQL, "p6_found": P6_FOUND_SQL}
