@@ -25,6 +25,8 @@ a null host or slug adds no evidence; an empty table gives no rows.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,10 +82,13 @@ FUNCTION_WORDS = (
 
 #: A line or sentence of words alone; one that says a word three times in a row; five or more words without numbers.
 WORDS_ALONE = r"^\p{L}{2,}(?:\s+\p{L}{2,}){2,}[.!?]?$"
-DOUBLED = r"(?i)(?<!\p{L})(\p{L}{2,})\s+\1(?!\p{L})"
+DOUBLED = r"(?<!\S)(\p{L}{2,}+)\s++\1(?!\p{L})"
 THREE_TIMES = r"(?<!\p{L})(\p{L}{2,})(?:\s+\1){2}(?!\p{L})"
 FOUR_TIMES = r"(?<!\p{L})(\p{L}{2,})(?:\s+\1){3,}(?!\p{L})"
 HOLLOW = r"^(?:\p{L}{3,}[ ,]+){4,}\p{L}{3,}[.!?]?$"
+#: Where a text may hold a hollow sentence: it begins, has five or more words of three or more letters alone, none of them
+#: of the most frequent, and ends.
+HOLLOW_SOMEWHERE = r"(?:^|[.!?:)\n])[\s*_>#-]*+(?:(?!(?i:the|and|was|were|for|with|that|are|der|die|das|und|les|des|que|los|las)\b)\p{L}{3,}+[ ,]++){4,}+\p{L}{3,}+[ \t*_>#-]*+(?:[.!?\n]|$)"
 #: Headings (at most eight words that begin with a capital) and lists have no closing mark either.
 HEADING_OR_LIST = r"^(?:\p{Lu}\S*(?:\s+\S+){0,7}|[^,]*,.*)(?<![.!?])$"
 
@@ -111,14 +116,28 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}{2,}"), F.lit(0))
 
 
+def distinct_words(text: Column) -> Column:
+    return F.filter(F.array_distinct(F.split(F.lower(text), r"\P{L}+")), lambda x: F.length(x) >= 2)
+
+
+def holds(text: Column, marks: list[str]) -> Column:
+    """Whether a text holds any of some literals: much cheaper than an expression."""
+    return reduce(lambda a, b: a | b, [text.contains(m) for m in marks])
+
+
 def title(body: Column) -> Column:
     """The first line, or what stands before its colon, if it is short, has no closing mark and something follows."""
     first = F.regexp_extract(body, r"^\s*([^\n]{1,80}?)(?:[ \t]*\n|:[ \t])\s*\S", 1)
     return F.when((first != "") & ~first.rlike(r"[.!?]$") & (F.size(F.split(first, r"\s+")) <= 8), first).otherwise("")
 
 
-def _speaks_as_filler(body: Column, w: Column) -> Column:
-    """The detector of filler; sentences are made only where the words give a reason."""
+def _gates(body: Column, w: Column) -> dict[str, Column]:
+    """Reasons to cut a text into sentences and look for filler."""
+    return {"terms": F.exists(w, lambda x: _ONE_OF(x, FILLER_TERMS)), "doubled": body.rlike(DOUBLED), "long_words": body.rlike(HOLLOW_SOMEWHERE)}
+
+
+def _speaks_as_filler(body: Column, units: Column) -> Column:
+    """The detector of filler over the sentences of a text, which are null where the words give no reason to look."""
     function_free = lambda s: ~F.exists(words(s), lambda x: _ONE_OF(x, FUNCTION_WORDS))
 
     def again(s: Column) -> Column:
@@ -126,16 +145,14 @@ def _speaks_as_filler(body: Column, w: Column) -> Column:
         return s.rlike(WORDS_ALONE) & ((2 * F.size(F.array_distinct(said)) <= F.size(said)) | F.lower(s).rlike(THREE_TIMES)) & function_free(s)
 
     hollow = lambda s: s.rlike(HOLLOW) & function_free(s)
-    units = sentences(body)
     spoken = F.exists(units, lambda s: F.lower(s).rlike(_ANY(FILLER_SPEAKS)) & (F.size(words(s)) <= 16))
     said_again = F.exists(units, lambda s: F.lower(s).rlike(FOUR_TIMES) | again(s))
     n_hollow = F.size(F.filter(units, hollow))
     apart = F.exists(pieces(body, r"\n\s*\n"), lambda p: hollow(p) & ~p.rlike(HEADING_OR_LIST))
-    marks = F.array_join(F.transform(w, lambda x: F.when(_ONE_OF(x, FUNCTION_WORDS), "1").otherwise("0")), "")
     return (
-        F.when(F.exists(w, lambda x: _ONE_OF(x, FILLER_TERMS)), spoken).otherwise(False)
-        | F.when(body.rlike(DOUBLED), said_again).otherwise(False)
-        | F.when(marks.contains("00000"), F.when(n_hollow >= 2, True).otherwise((n_hollow == 1) & ((F.size(units) == 1) | apart))).otherwise(False)
+        F.when(F.col("terms"), spoken).otherwise(False)
+        | F.when(F.col("doubled"), said_again).otherwise(False)
+        | F.when(F.col("long_words"), F.when(F.size(units) == 1, n_hollow == 1).otherwise(F.when(n_hollow >= 2, True).otherwise((n_hollow == 1) & apart))).otherwise(False)
     )
 
 
@@ -145,15 +162,17 @@ def detect(
     """id and the detectors' verdicts: placeholder, filler, notice, response; `residue`: any of them."""
     slugs = F.col(slug) if slug else F.lit(None).cast("string")
     docs = documents.select(F.col(id).alias("id"), F.col(host).cast("string").alias("host"), slugs.alias("slug"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    bodies = docs.select("id", "host", "slug", plain(F.col("text")).alias("body")).withColumn("w", words(F.col("body")))
+    bodies = docs.select("id", "host", "slug", plain(F.col("text")).alias("body")).withColumn("w", distinct_words(F.col("body")))
+    bodies = bodies.withColumns(_gates(F.col("body"), F.col("w")))
+    bodies = bodies.withColumn("units", F.when(F.col("terms") | F.col("doubled") | F.col("long_words"), sentences(F.col("body"))))
     # cheap conditions first: most texts hold neither brackets nor null words
-    marked = F.when(F.col("body").rlike(r"[{}\[\]<%@]|__"), F.col("body").rlike(rf"(?:{_ANY(MARKS)}){TALKED_OF}")).otherwise(False)
-    nulls = F.when(F.col("body").rlike(r"undefined|UNDEFINED|None|N[aA]N|nan|null|NULL|TB[ACD]"), F.col("body").rlike(rf"(?:{_ANY(NULL_WORDS)}){TALKED_OF}")).otherwise(False)
-    low = F.size(F.array_distinct("w")) <= most_words
+    marked = F.when(holds(F.col("body"), ["{", "[", "<", "%", "@@", "__"]), F.col("body").rlike(rf"(?:{_ANY(MARKS)}){TALKED_OF}")).otherwise(False)
+    nulls = F.when(holds(F.col("body"), ["undefined", "UNDEFINED", "None", "NaN", "NAN", "nan", "null", "NULL", "TBD", "TBA", "TBC"]), F.col("body").rlike(rf"(?:{_ANY(NULL_WORDS)}){TALKED_OF}")).otherwise(False)
+    low = F.size("w") <= most_words
     told = F.array_distinct(words(F.concat_ws(" ", F.regexp_replace(F.coalesce("slug", F.lit("")), "_", " "))))
     judged = bodies.select(
-        "id", "host", (marked | nulls).alias("placeholder"), _speaks_as_filler(F.col("body"), F.col("w")).alias("filler"),
-        F.array_distinct("w").alias("w"), (low & (F.size("w") > 0)).alias("low"),
+        "id", "host", (marked | nulls).alias("placeholder"), _speaks_as_filler(F.col("body"), F.col("units")).alias("filler"),
+        "w", (low & (F.size("w") > 0)).alias("low"),
         F.when(low, F.array_distinct(words(title(F.col("body"))))).alias("t"), F.when(low, told).alias("slug"),
     )
     judged, _ = scratch.cut(judged)  # each text is read and tokenised once

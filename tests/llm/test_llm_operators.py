@@ -209,6 +209,27 @@ def test_pack_round_trip(spark):
     assert packing.pack(docs.where("false"), caps, "doc_id", "text").count() == 0
 
 
+def test_pack_of_items_that_do_not_fit_together_settles(spark, monkeypatch):
+    """Equal items of 60 % of the capacity: one to a container is optimal and moved no more than once."""
+    cut, rows = packing.scratch.cut, []
+    monkeypatch.setattr(packing.scratch, "cut", lambda df: rows.append(1) or cut(df))
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.expr("repeat('w ', 60)").alias("text"))
+    caps = spark.createDataFrame([(1, 100)], "capacity_no int, capacity_tokens int")
+    out = packing.pack(docs, caps, "doc_id", "text", group_rows=500)
+    assert out.select("container").distinct().count() == 3000 and len(rows) == 2
+
+
+def test_pack_repacks_while_containers_fall(spark):
+    rng = random.Random(3)
+    docs = spark.createDataFrame([(i, "w " * rng.choice([30, 31, 47, 53])) for i in range(2000)], "doc_id long, text string")
+    caps = spark.createDataFrame([(1, 128)], "capacity_no int, capacity_tokens int")
+    few = packing.pack(docs, caps, "doc_id", "text", group_rows=25, least_gain=10.0).select("container").distinct().count()
+    many = packing.pack(docs, caps, "doc_id", "text", group_rows=25).select("container").distinct().count()
+    assert many <= few
+    report = packing.fill_report(packing.pack(docs, caps, "doc_id", "text"), caps).first()
+    assert report.n_items == 2000 and report.n_overfull == 0 and report.n_cut_in_vain == 0
+
+
 def test_token_rule(spark):
     texts = ["a_1 -- b.c", "été où!?", "x" * 50_000, "  ", "ß² 中文。"]
     want = [len(re.findall(r"\w+|[^\w\s]+", t)) for t in texts]
