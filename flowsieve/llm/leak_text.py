@@ -1,19 +1,21 @@
 """Evaluation passages inside a training corpus: latent semantic retrieval, then subsequence and answer checks.
 
-1. Passages. A document is cut into consecutive passages of `tile` words; of each test item all windows of `tile` words
-   are taken. With `tile` = shared / 2, a run of `shared` common words holds at least one whole passage of the document,
-   which then equals a window of the item.
-2. TF-IDF over the words of the test items (their number is fixed by the held-out set); document frequencies are counted
-   over the whole corpus. Words outside this vocabulary count towards a passage's length only.
+1. Words. Each document is tokenised once and written as codes of the test items' words (their number is fixed by the
+   held-out set); words outside this vocabulary share one code. Document frequencies are counted over all documents.
+2. Passages, of two lengths: consecutive tiles of `shared` / 2 words, and passages of 2 * `shared` words that overlap by
+   half. Of each test item all windows of a tile's length are taken, and windows of the longer length at every
+   `shared` / 2 words. A run of `shared` common words holds at least one whole tile of the document, which then equals a
+   window of the item; a paraphrase shares most words of a longer passage with an item, though no six in a row.
 3. A distributed randomised SVD (range finder with power iterations; each partition adds up its part of A'AW, partial
-   sums meet in a shuffle by word) of the items' windows and all corpus passages that are searched.
-4. Candidates: the passages searched are those whose words lie mostly in the vocabulary; one is a candidate if its
-   cosine with a window, in the space of the leading singular vectors, is at least `cosine`. Equal passages have equal
-   vectors, hence cosine 1: no exact copy is lost. The windows' vectors are the only thing sent to all executors; their
-   number is fixed by the held-out set.
-5. Checks, in the same task: the longest run of common words through a candidate (exact), and for candidates with
-   several passages the longest common subsequence with the item and the share of its answers (numbers and names)
-   that the matching stretch repeats: `kind` is verbatim or paraphrase.
+   sums meet in a shuffle by word) of the items' tiles and all tiles of the corpus that are searched.
+4. Candidates: passages whose words lie mostly in the vocabulary are compared, in blocks, with the windows of the fixed
+   held-out set in the space of the leading singular vectors; a tile is a candidate from `cosine` on, a longer passage
+   from `cosine_long` on. Equal passages have equal vectors, hence cosine 1: no exact copy is lost. The windows' vectors
+   are the only thing sent to all executors; their number is fixed by the held-out set.
+5. Checks, in the same task. For tiles: the longest common subsequence of the item and the stretch of the document that
+   its alignment covers must have `shared` words; then the longest run of common words along it is exact. For longer
+   passages: the share of the item's answers (numbers and names) that the stretch repeats, then the longest common
+   subsequence as a share of the item. `kind` is verbatim or paraphrase.
 
 Defined results: words are runs of letters and digits without case; null, empty or short texts give no rows; repeated
 texts and repeated items each give their own rows; very long texts are searched whole; empty tables give no rows.
@@ -21,18 +23,21 @@ texts and repeated items each give their own rows; very long texts are searched
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowsieve import scratch
 
+WORD = re.compile(r"[^\W_]+")
 
-def words(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+
+def words(text: str | None) -> list[str]:
+    return WORD.findall(text.lower()) if text else []
 
 
 def _tiles(tokens: np.ndarray, size: int) -> np.ndarray:
@@ -45,9 +50,12 @@ def _windows(tokens: np.ndarray, size: int) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(tokens, size) if len(tokens) >= size else np.zeros((0, size), dtype=tokens.dtype)
 
 
-def _coded(lists: pd.Series, code: dict[str, int]) -> list[np.ndarray]:
-    other = len(code)
-    return [np.array([code.get(w, other) for w in ws], dtype=np.int32) for ws in lists]
+def _starts(n: int, size: int, step: int) -> np.ndarray:
+    """Starts of overlapping passages that cover n words, the last one flush with the end."""
+    if n < size:
+        return np.zeros(0, dtype=np.int64)
+    at = np.arange(0, n - size + 1, step)
+    return at if at[-1] == n - size else np.append(at, n - size)
 
 
 def _project(passages: np.ndarray, weights: np.ndarray, basis: np.ndarray) -> np.ndarray:
@@ -108,6 +116,11 @@ def _subsequence(a: list[str], b: list[str]) -> int:
     return len(a) - bin(v).count("1")
 
 
+def _longest_run(equal: np.ndarray) -> int:
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], equal.view(np.int8), [0]])))
+    return int((edges[1::2] - edges[::2]).max()) if len(edges) else 0
+
+
 def leaks(
     documents: DataFrame,
     items: DataFrame,
@@ -117,49 +130,74 @@ def leaks(
     shared: int = 12,
     rank: int = 64,
     cosine: float = 0.95,
+    cosine_long: float = 0.6,
     least_known: float = 0.6,
-    paraphrase_passages: int = 3,
-    least_subsequence: float = 0.6,
+    least_known_long: float = 0.4,
+    paraphrase_passages: int = 1,
+    least_subsequence: float = 0.5,
     least_answers: float = 0.5,
     verbatim_only: bool = False,
 ) -> DataFrame:
     """doc_id, item_id, kind, longest_run, subsequence (share of the item), answers (share of its numbers and names)."""
     spark = documents.sparkSession
-    tile = shared // 2
+    tile, long = shared // 2, 2 * shared
     shape = "doc_id long, item_id long, kind string, longest_run int, subsequence double, answers double"
-    held = items.select(F.col(item_id).cast("long").alias("i"), words(F.col(text)).alias("w")).where(F.size("w") >= tile).toPandas()  # the fixed held-out set
-    vocabulary = sorted({w for ws in held["w"] for w in ws})
-    if not len(held):
+    held = items.select(F.col(item_id).cast("long").alias("i"), F.col(text).alias("t")).toPandas()  # the fixed held-out set
+    item_words = [words(t) for t in held["t"]]
+    some = [k for k, ws in enumerate(item_words) if len(ws) >= tile]
+    if not some:
         return spark.createDataFrame([], shape)
-    code = {w: k for k, w in enumerate(vocabulary)}
-    docs = documents.select(F.col(doc_id).cast("long").alias("d"), words(F.col(text)).alias("w"))
-    n_docs = docs.count()
-    known = F.broadcast(spark.createDataFrame([(w, k) for w, k in code.items()], "word string, k int"))  # words of the held-out set
-    df = docs.select(F.explode(F.array_distinct("w")).alias("word")).join(known, "word").groupBy("k").agg(F.count(F.lit(1)).alias("n")).collect()
-    weights = np.full(len(code) + 1, 1 + np.log(n_docs + 1.0))
-    for r in df:
-        weights[r.k] = 1 + np.log((n_docs + 1) / (r.n + 1))
-    squared = weights**2
-    token_lists = _coded(held["w"], code)
-    windows = [_windows(t, tile) for t in token_lists]
-    own = np.concatenate(windows)
-    owner = np.repeat(np.arange(len(held)), [len(x) for x in windows])
-    at = np.concatenate([np.arange(len(x)) for x in windows])
+    item_ids, item_words = [int(held["i"][k]) for k in some], [item_words[k] for k in some]
+    code = {w: k for k, w in enumerate(sorted({w for ws in item_words for w in ws}))}
+    other = len(code)
+    item_codes = [np.array([code[w] for w in ws], dtype=np.int32) for ws in item_words]
+
+    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        get = code.get
+        for pdf in batches:
+            coded = [np.array([get(w, other) for w in words(t)], dtype=np.int32).tobytes() for t in pdf["t"]]
+            yield pd.DataFrame({"d": pdf["d"], "codes": coded})
+
+    docs, _ = scratch.cut(documents.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t")).mapInPandas(encode, "d long, codes binary"))
+    read = lambda pdf: [np.frombuffer(b, dtype=np.int32) for b in pdf["codes"]]
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, df = 0, np.zeros(other + 1, dtype=np.int64)
+        for pdf in batches:
+            n += len(pdf)
+            for c in read(pdf):
+                df[np.unique(c)] += 1
+        df[other] = n  # the last place counts the documents
+        yield pd.DataFrame({"k": np.flatnonzero(df).astype(np.int32), "n": df[df > 0]})
+
+    df = {r.k: r.n for r in docs.mapInPandas(count, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()}  # one row per word of the held-out set
+    n_docs = df.get(other, 0)
+    inner = np.zeros(other + 1)
+    inner[:other] = [1 + np.log((n_docs + 1) / (df.get(k, 0) + 1)) for k in range(other)]
+    squared = inner**2
+    squared[other] = squared[:other].mean()  # a word that no item holds weighs like an ordinary one
+    known_share = lambda t: 1 - squared[other] * (t == other).sum(axis=1) / squared[t].sum(axis=1)
+    own = np.concatenate([_windows(t, tile) for t in item_codes])
+    owner = np.repeat(np.arange(len(item_codes)), [len(_windows(t, tile)) for t in item_codes])
+    at = np.concatenate([np.arange(len(_windows(t, tile))) for t in item_codes])
+    at_long = [_starts(len(t), long, tile) if len(t) >= long else np.zeros(1, dtype=np.int64) for t in item_codes]
+    padded = [t if len(t) >= long else np.concatenate([t, np.full(long - len(t), other, dtype=np.int32)]) for t in item_codes]
+    own_long = np.concatenate([_windows(t, long)[s] for t, s in zip(padded, at_long)])
+    owner_long = np.repeat(np.arange(len(item_codes)), [len(s) for s in at_long])
 
     def searched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            t = [x for x in (_tiles(c, tile) for c in _coded(pdf["w"], code)) if len(x)]
+            t = [x for x in (_tiles(c, tile) for c in read(pdf)) if len(x)]
             if t:
                 t = np.concatenate(t)
-                t = t[squared[t].sum(axis=1) - np.where(t == len(code), squared[-1], 0).sum(axis=1) >= least_known * squared[t].sum(axis=1)]
+                t = t[known_share(t) >= least_known]
                 if len(t):
                     yield pd.DataFrame({"codes": list(t)})
 
-    passages = docs.where(F.size("w") >= tile).mapInPandas(searched, "codes array<int>")
-    training, _ = scratch.cut(passages.unionAll(spark.createDataFrame(pd.DataFrame({"codes": own.tolist()}), "codes array<int>")))
-    inner = weights.copy()
-    inner[-1] = 0.0
+    passages = docs.mapInPandas(searched, "codes array<int>")
+    training, training_path = scratch.cut(passages.unionAll(spark.createDataFrame(pd.DataFrame({"codes": own.tolist()}), "codes array<int>")))
     basis = fit_svd(training, inner, rank).astype(np.float32)
+    scratch.drop(spark, training_path)
     light = inner.astype(np.float32)
 
     def unit(passages: np.ndarray) -> np.ndarray:
@@ -169,56 +207,69 @@ def leaks(
         z = np.concatenate([z / np.where(flat, 1, norm)[:, None] * ~flat[:, None], flat[:, None].astype(np.float32)], axis=1)
         return z.astype(np.float32)
 
-    queries = spark.sparkContext.broadcast((unit(own).T.copy(), owner, at, token_lists, held["i"].tolist(), held["w"].tolist(), code))
-    numbered = [{w for w in ws if any(c.isdigit() for c in w)} for ws in held["w"]]
+    queries = spark.sparkContext.broadcast((unit(own).T.copy(), unit(own_long).T.copy()))
+    numbered = [{code[w] for w in ws if any(c.isdigit() for c in w)} for ws in item_words]
+
+    def near(t: np.ndarray, wall: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for lo in range(0, len(t), 1024):  # blocks of passages against the held-out windows
+            a, b = np.nonzero(unit(t[lo : lo + 1024]) @ wall >= least)
+            yield a + lo, b
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        wall, owner, at, item_codes, item_ids, item_words, code = queries.value
-        other = len(code)
+        wall, wall_long = queries.value
         for pdf in batches:
+            coded = read(pdf)
+            verbatim: dict[tuple[int, int], set[int]] = {}  # (document, item): alignments, that is differences of positions
+            alike: dict[tuple[int, int], list[int]] = {}
+            count = [len(c) // tile for c in coded]
+            if sum(count):
+                t = np.concatenate([_tiles(c, tile) for c in coded])
+                doc = np.repeat(np.arange(len(pdf)), count)
+                pos = np.concatenate([np.arange(c) * tile for c in count])
+                keep = np.flatnonzero((t != other).all(axis=1))
+                t, doc, pos = t[keep], doc[keep], pos[keep]
+                for a, b in near(t, wall, cosine):
+                    same = (t[a] == own[b]).all(axis=1)
+                    for d, i, x in zip(doc[a[same]].tolist(), owner[b[same]].tolist(), (pos[a[same]] - at[b[same]]).tolist()):
+                        verbatim.setdefault((d, i), set()).add(x)
+            starts = [_starts(len(c), long, shared) for c in coded] if not verbatim_only else []
+            if sum(map(len, starts)):
+                doc = np.repeat(np.arange(len(pdf)), [len(s) for s in starts])
+                pos = np.concatenate(starts)
+                t = np.concatenate([_windows(c, long)[s] for c, s in zip(coded, starts) if len(s)])
+                keep = np.flatnonzero(known_share(t) >= least_known_long)
+                t, doc, pos = t[keep], doc[keep], pos[keep]
+                places = np.concatenate(at_long)
+                for a, b in near(t, wall_long, cosine_long):
+                    for d, i, x in zip(doc[a].tolist(), owner_long[b].tolist(), (pos[a] - places[b]).tolist()):
+                        alike.setdefault((d, i), []).append(x)
             out = []
-            coded = _coded(pdf["w"], code)
-            tiles = [_tiles(c, tile) for c in coded]
-            count = [len(t) for t in tiles]
-            if not sum(count):
-                continue
-            t = np.concatenate(tiles)
-            doc = np.repeat(np.arange(len(pdf)), count)
-            pos = np.concatenate([np.arange(c) * tile for c in count])
-            whole = squared[t].sum(axis=1)
-            share = 1 - (squared[-1] * (t == other).sum(axis=1)) / whole
-            keep = np.flatnonzero(share >= least_known)
-            t, doc, pos = t[keep], doc[keep], pos[keep]
-            found: dict[tuple[int, int], list[tuple[int, int]]] = {}
-            for lo in range(0, len(t), 1024):  # blocks of passages against all windows
-                near = unit(t[lo : lo + 1024]) @ wall >= cosine
-                for a, b in zip(*np.nonzero(near)):
-                    found.setdefault((int(doc[lo + a]), int(owner[b])), []).append((int(pos[lo + a]), int(at[b])))
-            for (d, i), hits in found.items():
+            numbers: dict[int, set[int]] = {}
+            for d, i in verbatim.keys() | alike.keys():
                 mine, theirs = coded[d], item_codes[i]
-                longest, seen = 0, set()
-                for p, q in hits:
-                    if (p - q, p) in seen or not np.array_equal(mine[p : p + tile], theirs[q : q + tile]) or (mine[p : p + tile] == other).any():
+                n, longest, sub = len(theirs), 0, 0
+                for x in verbatim.get((d, i), ()):
+                    lo, hi = max(0, x), min(len(mine), x + n)
+                    common = _subsequence(theirs.tolist(), mine[lo:hi].tolist())
+                    sub = max(sub, common)
+                    if common >= shared:
+                        longest = max(longest, _longest_run(mine[lo:hi] == theirs[lo - x : hi - x]))
+                if longest < shared:
+                    hits = alike.get((d, i), [])
+                    if verbatim_only or len(hits) < paraphrase_passages:
+                        continue
+                    if d not in numbers:
+                        numbers[d] = set(np.unique(mine).tolist())
+                    if numbered[i] and len(numbered[i] & numbers[d]) < least_answers * len(numbered[i]):
                         continue
-                    x, y = p, p + tile
-                    while x > 0 and x - p + q > 0 and mine[x - 1] == theirs[x - 1 - p + q]:
-                        x -= 1
-                    while y < len(mine) and y - p + q < len(theirs) and mine[y] == theirs[y - p + q]:
-                        y += 1
-                    longest = max(longest, y - x)
-                    seen |= {(p - q, s) for s in range(x - x % tile, y, tile)}
-                several = len({p for p, _ in hits}) >= paraphrase_passages
-                if longest < shared and (verbatim_only or not several):
-                    continue
-                sub = ans = None
-                if not verbatim_only:
-                    own_words, n = pdf["w"].iloc[d], len(theirs)
-                    # the stretch of an item's length that holds most of the hits
-                    starts = np.unique([p for p, _ in hits])
-                    best = int(starts[np.argmax(np.searchsorted(starts, starts + n) - np.arange(len(starts)))])
-                    stretch = list(own_words[max(0, best - n // 2) : best + n + n // 2])
-                    sub = _subsequence(list(item_words[i]), stretch) / n
-                    ans = len(numbered[i] & set(stretch)) / max(1, len(numbered[i]))
+                    # the alignment that most hits agree on; its stretch is looked at with an item's length on either side
+                    hits = np.unique(hits)
+                    best = int(hits[np.argmax(np.searchsorted(hits, hits + n // 2) - np.arange(len(hits)))])
+                else:
+                    best = min(verbatim[d, i], key=abs) if len(verbatim[d, i]) == 1 else int(np.median(list(verbatim[d, i])))
+                stretch = mine[max(0, best - n) : max(0, best + 2 * n)]
+                ans = len(numbered[i] & set(stretch.tolist())) / len(numbered[i]) if numbered[i] else 1.0  # an item without answers is judged by its words
+                sub = max(sub, _subsequence(theirs.tolist(), stretch.tolist())) / n
                 if longest >= shared:
                     out.append((int(pdf["d"].iloc[d]), item_ids[i], "verbatim", longest, sub, ans))
                 elif sub >= least_subsequence and ans >= least_answers:
@@ -226,4 +277,4 @@ def leaks(
             if out:
                 yield pd.DataFrame(out, columns=["doc_id", "item_id", "kind", "longest_run", "subsequence", "answers"])
 
-    return docs.where(F.size("w") >= tile).mapInPandas(search, shape)
+    return docs.mapInPandas(search, shape)

@@ -294,6 +294,32 @@ def test_paraphrases_against_brute_force(spark, monkeypatch):
     assert len(want) >= len(items) and len(got & want) >= 0.95 * len(want)
 
 
+@pytest.mark.parametrize("change", [4, 5, "swap"])
+def test_recall_of_paraphrases(spark, change):
+    """Production parameters: every 4th or 5th word replaced, or all neighbours swapped, inside other text."""
+    rng = random.Random(12)
+    verbs = ["counts", "sends", "drops", "holds", "marks", "keeps"]
+    items = [" ".join(f"the probe {rng.choice('abcdefgh')}{rng.randint(10, 99)} of station s{rng.randint(100, 999)} {rng.choice(verbs)} {rng.randint(100, 9999)} packets while rack {rng.randint(100, 999)} is offline" for _ in range(6)) for _ in range(40)]
+    plain = "with the usual seeds the audit of this set counts the rows by unit and by label and nothing else is planned "
+
+    def changed(text):
+        w = text.split()
+        if change == "swap":
+            return " ".join(x for k in range(0, len(w), 2) for x in reversed(w[k : k + 2]))
+        return " ".join(rng.choice(["roughly", "maybe", "some", "other"]) if k % change == change - 1 else x for k, x in enumerate(w))
+
+    texts = [plain * rng.randint(0, 4) + changed(t) + " " + plain * rng.randint(0, 4) for t in items] + [plain * 5] * 40
+    got = set(leaked(spark, texts, items))
+    assert len(got & {(k, k) for k in range(40)}) >= 0.9 * 40 and len(got) <= 44
+
+
+def test_run_at_any_place(spark):
+    """A run of 12 words is found wherever it stands in the document and in the item, one of 11 words nowhere."""
+    words = ITEM.split()
+    texts = ["x " * k + " ".join(words[a : a + n]) + " y" * (7 - k) for n in (11, 12) for k in range(7) for a in (0, 5, len(words) - 12)]
+    assert {d for d, _ in leaked(spark, texts, [ITEM], verbatim_only=True)} == set(range(21, 42))
+
+
 def test_leaks_empty(spark):
     assert leaked(spark, [], [ITEM]) == {} and leaked(spark, [ITEM], []) == {}
 
