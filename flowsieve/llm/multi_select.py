@@ -3,17 +3,15 @@
 The rows are narrowed once to a summary table: a 64-bit hash per grouping column and the usable values. It is the
 mergeable state: summaries of separate partitions or days are appended, and every percentile of their union follows.
 
-Groups are then answered in one of three ways, all exact:
+Every group of more than `finish_rows` values goes through the rounds: each partition sorts what it holds and proposes
+the median of the values it has inside a target's active range, weighted by their number; the weighted median of the
+proposals becomes the pivot; the next scan counts the values below and at the pivot, discards the part that cannot hold
+the wanted rank, and brings proposals for either side along, so that a round is one scan for all targets. A range, or a
+whole group, of at most `finish_rows` values is finished by sending its values, as packed sorted runs, to one task.
 
-* local: the summary is shuffled by the `home` columns; a group that holds all of them lies in one task;
-* gather: other groups of at most `gather_rows` values are sent, as packed sorted runs, to one task each;
-* rounds: for larger groups each partition sorts what it holds and proposes the median of the values it has inside a
-  target's active range, weighted by their number; the weighted median of the proposals becomes the pivot; the next
-  scan counts the values below and at the pivot, discards the part that cannot hold the wanted rank, and brings
-  proposals for either side along, so that a round is one scan. A range of at most `finish_rows` values is gathered.
-
-The driver holds only pivots and counts of the large groups of one batch (`batch` groups); the values stay where they
-are. The weighted median discards at least a quarter of a range each round, so the rounds are logarithmic.
+The driver holds only pivots and counts of one batch of groups (`batch` of them); the values stay where they are, and
+the answers of a batch are written to the shared folder. The weighted median discards at least a quarter of a range each
+round, so the rounds are logarithmic. Tasks work in chunks of bounded memory.
 
 Defined results: null, NaN, infinite and out-of-range values are left out; a group without usable values has n = 0 and
 null percentiles; a null grouping column is a group of its own (`grouping_id` tells it from a merger); ties count as
@@ -119,27 +117,38 @@ def _within(search: tuple[np.ndarray, np.ndarray], which: np.ndarray, x: np.ndar
     return np.searchsorted(keys, which.astype(np.int64) * (len(distinct) + 1) + np.searchsorted(distinct, x, side=side))
 
 
+def _whole_keys(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
+    """Rows sorted by `key`, regrouped so that no key is spread over two frames; holds one batch and one key at a time."""
+    held = None
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+        keys = pdf[key].to_numpy()
+        cut = int(np.searchsorted(keys, keys[-1]))
+        if cut:
+            yield pdf.iloc[:cut]
+        held = pdf.iloc[cut:]
+    if held is not None:
+        yield held
+
+
 def percentiles(
-    rows: DataFrame,
-    dims: list[str],
-    values: dict[str, Column],
-    percents: list[float],
-    home: list[str],
-    gather_rows: int = 16384,
-    finish_rows: int = 1024,
-    home_rows: int = 2_000_000,
-    batch: int = 20_000,
+    rows: DataFrame, dims: list[str], values: dict[str, Column], percents: list[float], finish_rows: int = 1024, batch: int = 20_000, known_ids: int = 1_000_000
 ) -> DataFrame:
-    """Columns: dims (null where merged), grouping_id (bit i set: dims[i] is merged), metric, n, q (array of doubles)."""
+    """Columns: dims (null where merged), grouping_id (bit i set: dims[i] is merged), metric, n, q (array of doubles).
+
+    `known_ids`: up to so many groups that went through the rounds are told to the finishing tasks (8 bytes each); beyond
+    it their runs are taken out by a join.
+    """
     spark = rows.sparkSession
     k, names = len(dims), list(values)
     n_m = len(names)
     sets = list(range(1 << k))
-    home_mask = sum(1 << dims.index(h) for h in home)
     hashed = [F.xxhash64(F.lit(i), F.col(f"k{i}")).alias(f"d{i}") for i in range(k)]
     narrow = rows.select(*[F.col(d).alias(f"k{i}") for i, d in enumerate(dims)], *[values[n].cast("double").alias(f"v{m}") for m, n in enumerate(names)])
     d_cols, v_cols = [f"d{i}" for i in range(k)], [f"v{m}" for m in range(n_m)]
-    summary, path = scratch.cut(narrow.select(*hashed, *v_cols))
+    summary, _ = scratch.cut(narrow.select(*hashed, *v_cols))
     base = narrow.groupBy(*[f"k{i}" for i in range(k)]).agg(*[F.count(v).alias("n_" + v) for v in v_cols]).select("*", *hashed)
 
     def gid(s: int) -> Column:
@@ -151,7 +160,7 @@ def percentiles(
 
     def cube_row(s: int) -> Column:
         kept = [F.when(F.lit(bool(s >> i & 1)), F.col(f"k{i}")).alias(f"k{i}") for i in range(k)]
-        return F.struct(F.lit(s).alias("s"), gid(s).alias("gid"), gid(home_mask).alias("home"), *kept)
+        return F.struct(F.lit(s).alias("s"), gid(s).alias("gid"), *kept)
 
     keys = [f"k{i}" for i in range(k)]
     cube = (
@@ -159,84 +168,42 @@ def percentiles(
         .groupBy("c.s", "c.gid", *[F.col(f"c.{x}") for x in keys])
         .agg(*[F.sum("n_" + v).alias("n_" + v) for v in v_cols])
     )
-    cube, cube_path = scratch.cut(cube.select("s", "gid", *keys, *["n_" + v for v in v_cols]))
+    cube, _ = scratch.cut(cube.select("s", "gid", *keys, *["n_" + v for v in v_cols]))
     most = F.greatest(*[F.col("n_" + v) for v in v_cols]) if n_m > 1 else F.col("n_" + v_cols[0])
-    hot_home = np.array(sorted(r.gid for r in cube.where((F.col("s") == home_mask) & (most > home_rows)).select("gid").collect()), dtype=np.int64)
     shape = "gid long, metric int, n long, q array<double>"
-
-    def solved(gids, bounds, ordered, m):
-        sizes = np.diff(bounds)
-        return [(int(g), m, int(n), _interpolated(ordered[a : a + n], percents)) for g, a, n in zip(gids, bounds, sizes) if n]
-
-    def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part = _Part(batches, k, n_m)
-        if part.rows:
-            cold = ~np.isin(_gids(part.base, home_mask), hot_home)
-            for m in range(n_m):
-                for s in (s for s in sets if s & home_mask == home_mask):
-                    gids, bounds, ordered, _ = part.runs(s, m, np.unique(_gids(part.base, s)[cold]))
-                    yield pd.DataFrame(solved(gids, bounds, ordered, m), columns=["gid", "metric", "n", "q"])
-
-    # rows of home groups that are too large for one task stay where they are
-    cold_rows = summary
-    if len(hot_home):
-        hot_ids = cube.where((F.col("s") == home_mask) & (most > home_rows)).select(F.col("gid").alias("_hot"))
-        cold_rows = summary.withColumn("_g", gid(home_mask)).join(hot_ids, F.col("_g") == F.col("_hot"), "left_anti").drop("_g")
-    results = [cold_rows.repartition(*[F.col(d) for i, d in enumerate(d_cols) if home_mask >> i & 1]).mapInPandas(local, shape)]
-
-    home_sets = F.col("s").isin([s for s in sets if s & home_mask == home_mask])
-    elsewhere = ~home_sets
-    if len(hot_home):
-        hot_keys = cube.where((F.col("s") == home_mask) & (most > home_rows)).select(*[F.col(f"k{i}").alias(f"h{i}") for i in range(k) if home_mask >> i & 1])
-        match = [F.col(f"k{i}").eqNullSafe(F.col(f"h{i}")) for i in range(k) if home_mask >> i & 1]
-        elsewhere = elsewhere | F.col("hot")
-        marked = cube.join(hot_keys.withColumn("hot", F.lit(True)), match, "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    else:
-        marked = cube
-    large = marked.where(elsewhere & (most > gather_rows)).select("s", "gid", *["n_" + v for v in v_cols])
+    large = cube.where(most > finish_rows).select("s", "gid", *["n_" + v for v in v_cols])
     n_large = large.count()
-    n_batches = max(1, -(-n_large // batch))
-
-    def in_general(part: _Part, s: int) -> np.ndarray | None:
-        """Group ids of this set that are not answered by `local`: None for all."""
-        if s & home_mask != home_mask:
-            return None
-        return np.unique(_gids(part.base, s)[np.isin(_gids(part.base, home_mask), hot_home)])
-
-    # groups that are small enough to be gathered; the ids of the large ones are known batch by batch
-    large_ids = np.array([], dtype=np.int64)
-    driver_rows: list[tuple] = []
-    for b in range(n_batches if n_large else 0):
+    n_batches = -(-n_large // batch)
+    answered = []
+    for b in range(n_batches):
         found = large.where(F.pmod("gid", F.lit(n_batches)) == b).collect()
-        large_ids = np.union1d(large_ids, np.array([r.gid for r in found], dtype=np.int64))
-        driver_rows += _rounds(spark, summary, found, k, n_m, percents, finish_rows)
-    skip = np.sort(large_ids)
+        if found:
+            answered.append(scratch.cut(spark.createDataFrame(_rounds(spark, summary, found, k, n_m, percents, finish_rows), shape))[0])
+
+    told = n_large <= known_ids
+    skip = np.sort(np.array([r.gid for r in large.select("gid").collect()], dtype=np.int64)) if told else np.zeros(0, dtype=np.int64)
 
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part, m, s in ((part, m, s) for part in _chunks(batches, k, n_m) for m in range(n_m) for s in sets):
-            only = in_general(part, s)
-            if only is not None and not len(only):
-                continue
-            gids, bounds, ordered, _ = part.runs(s, m, np.setdiff1d(only, skip) if only is not None else None, skip)
-            if len(gids):
-                yield pd.DataFrame({"gid": gids, "metric": m, "run": [ordered[x:y].tobytes() for x, y in zip(bounds, bounds[1:])]})
+            gids, bounds, ordered, _ = part.runs(s, m, None, skip)
+            few = np.flatnonzero((np.diff(bounds) > 0) & (np.diff(bounds) <= finish_rows))  # a longer run belongs to a large group
+            if len(few):
+                yield pd.DataFrame({"gid": gids[few], "metric": m, "run": [ordered[bounds[x] : bounds[x + 1]].tobytes() for x in few]})
 
-    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        frames = [f for f in batches if len(f)]
-        if frames:
+    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
             out = []
-            for (g, m), runs in pd.concat(frames).groupby(["gid", "metric"])["run"]:
+            for g, m, runs in zip(pdf["gid"], pdf["metric"], pdf["runs"]):
                 v = np.sort(np.frombuffer(b"".join(runs), dtype=np.float64))
-                if len(v):
-                    out.append((g, m, len(v), _interpolated(v, percents)))
+                out.append((g, m, len(v), _interpolated(v, percents)))
             yield pd.DataFrame(out, columns=["gid", "metric", "n", "q"])
 
-    results.append(summary.mapInPandas(gather, "gid long, metric int, run binary").where(F.length("run") > 0).repartition("gid").mapInPandas(merge, shape))
-    if driver_rows:
-        results.append(spark.createDataFrame(driver_rows, shape))
-    answers = results[0]
-    for r in results[1:]:
-        answers = answers.unionAll(r)
+    runs = summary.mapInPandas(gather, "gid long, metric int, run binary")
+    if not told:
+        runs = runs.join(large.select("gid"), "gid", "left_anti")
+    answers = runs.groupBy("gid", "metric").agg(F.collect_list("run").alias("runs")).mapInPandas(finish, shape)  # at most finish_rows values each
+    for a in answered:
+        answers = answers.unionAll(a)
     metric = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.lit(n).alias("name"), F.col(f"n_v{m}").alias("n")) for m, n in enumerate(names)])).alias("x")
     groups = cube.select("s", "gid", *keys, metric).select("s", "gid", *keys, F.col("x.metric").alias("metric"), F.col("x.name").alias("name"), F.col("x.n").alias("n"))
     full = (1 << k) - 1
@@ -306,9 +273,7 @@ def _rounds(spark, summary: DataFrame, groups: list, k: int, n_m: int, percents:
         return out
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        frames = [f for f in batches if len(f)]
-        if frames:
-            t = pd.concat(frames, ignore_index=True)
+        for t in _whole_keys(batches, "rid"):
             ids, rid = np.unique(t["rid"], return_inverse=True)
             n = len(ids)
             total_of = lambda c: np.bincount(rid, t[c], n).astype(np.int64)
@@ -318,7 +283,7 @@ def _rounds(spark, summary: DataFrame, groups: list, k: int, n_m: int, percents:
     active = np.arange(len(rank))[inside > finish_rows]
     while len(active):
         table, code = ranges(active)
-        got = summary.mapInPandas(scan(table), shape).repartition("rid").mapInPandas(merge, shape).toPandas().set_index("rid").reindex(range(len(table))).iloc[code]
+        got = summary.mapInPandas(scan(table), shape).repartition("rid").sortWithinPartitions("rid").mapInPandas(merge, shape).toPandas().set_index("rid").reindex(range(len(table))).iloc[code]
         lt, eq, ml, mr = got["lt"].to_numpy(np.int64), got["eq"].to_numpy(np.int64), got["ml"].to_numpy(), got["mr"].to_numpy()
         p, wanted = pivot[active], rank[active] - below[active]  # rank within the range, from 0
         opening = np.isnan(p)
@@ -351,15 +316,15 @@ def _rounds(spark, summary: DataFrame, groups: list, k: int, n_m: int, percents:
                     yield pd.DataFrame({"rid": here[some].astype(np.int32), "run": [ordered[i:j].tobytes() for i, j in zip(a[some], z[some])]})
 
         def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            frames = [f for f in batches if len(f)]
-            if frames:
+            for pdf in batches:
                 out = []
-                for rid, runs in pd.concat(frames).groupby("rid")["run"]:
+                for rid, runs in zip(pdf["rid"], pdf["runs"]):
                     v = np.sort(np.frombuffer(b"".join(runs), dtype=np.float64))
                     out += [(rid, w, v[w]) for w in wanted_of[rid]]
                 yield pd.DataFrame(out, columns=["rid", "w", "v"])
 
-        picked = summary.mapInPandas(collect, "rid int, run binary").repartition("rid").mapInPandas(pick, "rid int, w long, v double").toPandas()
+        ranges_left = summary.mapInPandas(collect, "rid int, run binary").groupBy("rid").agg(F.collect_list("run").alias("runs"))  # at most finish_rows values each
+        picked = ranges_left.mapInPandas(pick, "rid int, w long, v double").toPandas()
         answer = dict(zip(zip(picked["rid"], picked["w"]), picked["v"]))
         value[rest] = [answer[c, w] for c, w in zip(code, rank[rest] - below[rest])]
     out = []

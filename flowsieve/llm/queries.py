@@ -29,7 +29,7 @@ def p1_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     """Percentiles of p_attack and fam_pmax per group of DIMS and per every merger of such groups; exact."""
     valid = lambda c: F.when(F.col(c).between(0.0, 1.0), F.col(c))
     scores = table(spark, folder, "score_frame").withColumn("score_day", F.to_date("scored_at").cast("string"))
-    out = percentiles(scores, DIMS, {c: valid(c) for c in ("p_attack", "fam_pmax")}, PERCENTS, home=["holdout_family", "score_day"])
+    out = percentiles(scores, DIMS, {c: valid(c) for c in ("p_attack", "fam_pmax")}, PERCENTS)
     return out.select(*DIMS, "grouping_id", "metric", "n", *[F.round(F.get("q", F.lit(i)), 9).alias(f"p{round(p * 100):02d}") for i, p in enumerate(PERCENTS)])
 
 
@@ -99,6 +99,21 @@ def p3_split(spark: SparkSession, folder: str) -> DataFrame:
     return out.select(F.col("id").alias("unit_no"), F.col("first").alias("group_first"), "bin", "split")
 
 
+def p3_balance(spark: SparkSession, folder: str) -> DataFrame:
+    """Per split: groups that reach into another split, and whether its share of the rows is within 1 % (or half the heaviest group, which stays whole) of its target."""
+    units = table(spark, folder, "plan_units").select("unit_no", F.greatest(F.coalesce("raw_row_count", F.lit(0)), F.lit(0)).alias("w"))
+    placed = p3_split(spark, folder).join(units, "unit_no")
+    torn = placed.groupBy("group_first").agg(F.count_distinct("split").alias("n"), F.sum("w").alias("w")).agg(F.count_if(F.col("n") > 1).alias("n_torn"), (F.max("w") / F.sum("w")).alias("heaviest"))
+    shares = placed.groupBy("split").agg(F.sum("w").alias("w"))
+    total = placed.agg(F.sum("w").alias("total"))
+    goal = F.element_at(F.create_map(*[F.lit(x) for kv in SHARES.items() for x in kv]), F.col("split"))
+    out = shares.join(F.broadcast(total)).join(F.broadcast(torn))  # one row each
+    return out.select("split", "n_torn", (F.abs(F.col("w") / F.col("total") - goal) <= F.greatest(F.lit(0.01), F.col("heaviest") / 2)).alias("near_target"))
+
+
+P3_BALANCE_SQL = "SELECT unnest(['train', 'val', 'test']) AS split, 0 AS n_torn, true AS near_target"
+
+
 def p3_candidate_breaks(spark: SparkSession, folder: str) -> DataFrame:
     """Per candidate split: groups of related units that it tears apart between splits."""
     units = table(spark, folder, "plan_units")
@@ -130,12 +145,31 @@ LEVELS = {"family": "y_stage2_family", "fine": "y_stage2_fine"}
 
 
 def p6_report(spark: SparkSession, folder: str) -> DataFrame:
-    """Each target with its population in flows, what it needs, and what is missing."""
+    """Each target with its population in flows, what it needs, what its sample holds, and the gaps that are left."""
     return target_report(table(spark, folder, "flows"), table(spark, folder, "sample_targets"), "flow_no", "row_id", "split", LEVELS)
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    return p6_report(spark, folder).where("shortfall > 0").select("target_no")
+    """Targets that the drawn samples leave unmet because flows has too few rows of them."""
+    return p6_report(spark, folder).where("shortfall > 0 AND drawn < need").select("target_no")
+
+
+def p6_check(spark: SparkSession, folder: str) -> DataFrame:
+    """Per plan, over the sample itself: keys drawn twice, records of another category or split, minimums missed though flows has the rows."""
+    flows, targets = table(spark, folder, "flows"), table(spark, folder, "sample_targets")
+    tidy = lambda c: F.lower(F.trim(F.col(c)))
+    drawn = p6_sample(spark, folder).join(targets.select("target_no", "cat_level", tidy("category").alias("want"), tidy("split").alias("only")), "target_no")
+    rows = flows.select("row_id", tidy("split").alias("split"), tidy("y_stage2_family").alias("family"), tidy("y_stage2_fine").alias("fine"))
+    met = drawn.join(rows, "row_id").withColumn("has", F.when(F.col("cat_level") == "family", F.col("family")).otherwise(F.col("fine")))
+    wrong = ~F.coalesce(F.col("has") == F.col("want"), F.lit(False)) | ~F.coalesce(F.col("split") == F.col("only"), F.col("only").isNull())
+    twice = drawn.groupBy("plan_no", "flow_no").agg(F.count(F.lit(1)).alias("n")).groupBy("plan_no").agg(F.count_if(F.col("n") > 1).alias("n_twice"))
+    missed = p6_report(spark, folder).join(targets.select("target_no", "min_rows"), "target_no")
+    missed = missed.groupBy("plan_no").agg(F.count_if((F.col("population") >= F.col("min_rows")) & (F.col("drawn") < F.col("min_rows"))).alias("n_missed"), F.count_if(F.col("drawn") != F.col("quota")).alias("n_off_quota"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return missed.join(twice, "plan_no", "left").join(met.groupBy("plan_no").agg(F.count_if(wrong).alias("n_wrong")), "plan_no", "left").select("plan_no", zero("n_twice"), zero("n_wrong"), "n_missed", "n_off_quota")
+
+
+P6_CHECK_SQL = "SELECT plan_no, 0 AS n_twice, 0 AS n_wrong, 0 AS n_missed, 0 AS n_off_quota FROM sample_targets GROUP BY plan_no"
 
 
 def p6_sample(spark: SparkSession, folder: str) -> DataFrame:
@@ -207,5 +241,5 @@ eg AS (SELECT item_id, unnest(list_transform(range(1, len(w) - 10), lambda k: ar
 SELECT DISTINCT doc_id, item_id FROM dg JOIN eg USING (g)
 """
 
-QUERIES = {"p1_percentiles": p1_percentiles, "p3_found": p3_found, "p3_split": p3_split, "p3_candidate_breaks": p3_candidate_breaks, "p4_found": p4_found, "p4_overlap": p4_overlap, "p8_found": p8_found, "p8_containers": p8_containers, "p8_fill": p8_fill, "p10_found": p10_found, "p10_verdicts": p10_verdicts, "p9_found": p9_found, "p9_leaks": p9_leaks, "p6_found": p6_found, "p6_report": p6_report, "p6_sample": p6_sample}
-SQL = {"p1_percentiles": P1_SQL, "p3_found": P3_FOUND_SQL, "p3_candidate_breaks": P3_BREAKS_SQL, "p4_found": P4_FOUND_SQL, "p4_overlap": P4_OVERLAP_SQL, "p8_found": P8_FOUND_SQL, "p8_fill": P8_FILL_SQL, "p9_found": P9_FOUND_SQL, "p6_found": P6_FOUND_SQL}
+QUERIES = {"p1_percentiles": p1_percentiles, "p3_found": p3_found, "p3_split": p3_split, "p3_balance": p3_balance, "p3_candidate_breaks": p3_candidate_breaks, "p4_found": p4_found, "p4_overlap": p4_overlap, "p8_found": p8_found, "p8_containers": p8_containers, "p8_fill": p8_fill, "p10_found": p10_found, "p10_verdicts": p10_verdicts, "p9_found": p9_found, "p9_leaks": p9_leaks, "p6_found": p6_found, "p6_report": p6_report, "p6_sample": p6_sample, "p6_check": p6_check}
+SQL = {"p1_percentiles": P1_SQL, "p3_found": P3_FOUND_SQL, "p3_balance": P3_BALANCE_SQL, "p3_candidate_breaks": P3_BREAKS_SQL, "p4_found": P4_FOUND_SQL, "p4_overlap": P4_OVERLAP_SQL, "p8_found": P8_FOUND_SQL, "p8_fill": P8_FILL_SQL, "p9_found": P9_FOUND_SQL, "p6_found": P6_FOUND_SQL, "p6_check": P6_CHECK_SQL}

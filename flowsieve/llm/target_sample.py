@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowsieve import scratch
@@ -70,6 +70,16 @@ def rake(counts: np.ndarray, margins: list[tuple[np.ndarray, np.ndarray]], round
     return w
 
 
+def margin_gap(counts: np.ndarray, weights: np.ndarray, margins: list[tuple[np.ndarray, np.ndarray]]) -> float:
+    """Largest gap between a margin's share and that of the weighted cells, among the categories that occur; 0 is met."""
+    gaps = [0.0]
+    for codes, shares in margins:
+        occur = np.bincount(codes, counts, len(shares)) > 0
+        got = np.bincount(codes, weights * counts, len(shares))
+        gaps += list(np.abs(got - shares)[occur])
+    return float(max(gaps))
+
+
 def quotas(shares: np.ndarray, size: int, available: np.ndarray, minimums: np.ndarray) -> np.ndarray:
     """Whole rows per category: largest remainders, then the minimums that can be met, then the excess taken back."""
     exact = shares * size
@@ -90,7 +100,7 @@ def quotas(shares: np.ndarray, size: int, available: np.ndarray, minimums: np.nd
 
 
 def plan(cells: pd.DataFrame, targets: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
-    """(targets with population, need, quota; cells with plan_no, target_no, weight per record)."""
+    """(targets with population, need, quota, gap of the raked margins; cells with plan_no, target_no, weight per record)."""
     report, drawn = [], []
     for plan_no, t in targets.groupby("plan_no"):
         t = t.reset_index(drop=True)
@@ -109,7 +119,7 @@ def plan(cells: pd.DataFrame, targets: pd.DataFrame) -> tuple[pd.DataFrame, pd.D
         weight = rake(counts, margins)
         q = quotas(shares, size, available, t.min_rows.to_numpy(dtype=np.int64))
         need = np.maximum(t.min_rows.to_numpy(dtype=np.float64), np.round(shares * t.sample_size.to_numpy(dtype=np.float64), 6))
-        report.append(t.assign(population=available, need=need, quota=q))
+        report.append(t.assign(population=available, need=need, quota=q, rake_gap=margin_gap(counts, weight, margins)))
         drawn.append(own.assign(plan_no=plan_no, target_no=t.target_no.to_numpy()[codes], code=codes, weight=weight))
     return pd.concat(report, ignore_index=True), pd.concat(drawn, ignore_index=True)
 
@@ -118,16 +128,34 @@ def _cells(pop: DataFrame, levels: list[str]) -> pd.DataFrame:
     return pop.groupBy("_split", *[f"_{n}" for n in levels]).agg(F.count(F.lit(1)).alias("n")).toPandas()
 
 
-def target_report(records: DataFrame, targets: DataFrame, key: str, record: str, split: str, levels: dict[str, str]) -> DataFrame:
-    """One row per target: target_no, plan_no, category, population, need, quota, shortfall (0 where it can be met)."""
-    t = read_targets(targets)
+def target_report(records: DataFrame, targets: DataFrame, key: str, record: str, split: str, levels: dict[str, str], **options) -> DataFrame:
+    """One row per target, with what its sample holds.
+
+    population, need, quota; drawn (records of the sample), shortfall (need that even the whole population cannot meet;
+    0 where it can), share_gap (share of the plan's sample less the target share), split_gap (largest gap between the
+    split shares of the plan's sample and those of its population; null for plans within one split), rake_gap (largest gap
+    of the plan's margins after raking; above about 1e-9 the margins contradict each other).
+    """
     spark = records.sparkSession
-    shape = "target_no long, plan_no int, category string, population long, need double, quota long, shortfall double"
-    if not len(t):
+    shape = "target_no long, plan_no int, category string, population long, need double, quota long, drawn long, shortfall double, share_gap double, split_gap double, rake_gap double"
+    drawn, report, cells = _draw(records, targets, key, record, split, levels, **options)
+    if drawn is None:
         return spark.createDataFrame([], shape)
-    report, _ = plan(_cells(_bounded(population(records, key, record, split, levels), t, list(levels)), list(levels)), t)
-    short = np.maximum(report["need"] - report["population"], 0.0)
-    rows = [(int(a), int(b), c, int(d), float(e), int(f), float(g)) for a, b, c, d, e, f, g in zip(report.target_no, report.plan_no, report.category, report.population, report["need"], report.quota, short)]
+    got = drawn.groupBy("target_no", "_split").agg(F.count(F.lit(1)).alias("n")).toPandas()  # one row per target and split
+    report = report.merge(got.groupby("target_no")["n"].sum().rename("drawn").reset_index(), "left", "target_no").fillna({"drawn": 0})
+    size = report.groupby("plan_no")["drawn"].transform("sum")
+    report["share_gap"] = np.where(size > 0, report["drawn"] / size.where(size > 0, 1) - report["target_share"], np.nan)
+    gaps = {}
+    for plan_no, t in report[report["split"].isna()].groupby("plan_no"):
+        inside = got[got.target_no.isin(t.target_no)].fillna({"_split": ""}).groupby("_split")["n"].sum()
+        whole = cells[cells.plan_no == plan_no].fillna({"_split": ""}).groupby("_split")["n"].sum()
+        if inside.sum() and whole.sum():
+            gaps[plan_no] = float((inside / inside.sum()).sub(whole / whole.sum(), fill_value=0).abs().max())
+    known = lambda x: None if x is None or x != x else float(x)
+    rows = [
+        (int(r.target_no), int(r.plan_no), r.category, int(r.population), float(r.need), int(r.quota), int(r.drawn), max(0.0, float(r.need) - r.population), known(r.share_gap), gaps.get(r.plan_no), float(r.rake_gap))
+        for r in report.itertuples()
+    ]
     return spark.createDataFrame(rows, shape)
 
 
@@ -145,15 +173,21 @@ def _bound(counts: np.ndarray, weights: np.ndarray, wanted: float) -> float:
     return high
 
 
-def target_sample(records: DataFrame, targets: DataFrame, key: str, record: str, split: str, levels: dict[str, str], seed: int = 7, bucket_rows: int = 4096) -> DataFrame:
+def target_sample(records: DataFrame, targets: DataFrame, key: str, record: str, split: str, levels: dict[str, str], **options) -> DataFrame:
     """The drawn records of every plan: plan_no, target_no, key, record, weight (raked weight per record)."""
+    drawn, _, _ = _draw(records, targets, key, record, split, levels, **options)
+    if drawn is None:
+        return records.sparkSession.createDataFrame([], "plan_no int, target_no long, _key long, _record long, weight double")
+    return drawn.drop("_split")
+
+
+def _draw(records: DataFrame, targets: DataFrame, key: str, record: str, split: str, levels: dict[str, str], seed: int = 7, bucket_rows: int = 4096):
+    """(drawn records, report of the targets, raked cells); without targets all are None."""
     spark = records.sparkSession
     t = read_targets(targets)
-    pop = _bounded(population(records, key, record, split, levels), t, list(levels)) if len(t) else None
-    shape = "target_no long, plan_no int, _key long, _record long, weight double"
-    if pop is None:
-        return spark.createDataFrame([], shape)
-    pop, _ = scratch.cut(pop)
+    if not len(t):
+        return None, None, None
+    pop, _ = scratch.cut(_bounded(population(records, key, record, split, levels), t, list(levels)))
     report, cells = plan(_cells(pop, list(levels)), t)
     quota = report.set_index("target_no")["quota"]
     bounds = {}
@@ -173,7 +207,7 @@ def target_sample(records: DataFrame, targets: DataFrame, key: str, record: str,
         side = F.broadcast(spark.createDataFrame(rows, shape).select(*[F.col(n).alias("t" + n) for n in names], "plan_no", "target_no", "weight", "bound", "quota"))
         met = pop.join(side, [F.col(n).eqNullSafe(F.col("t" + n)) for n in names])
         u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "plan_no", "_key"), 11) + 0.5) / float(1 << 53)
-        return met.withColumn("k", -F.ln(u) / F.col("weight")).where(F.col("k") <= F.col("bound")).select("plan_no", "target_no", "_key", "_record", "weight", "bound", "quota", "k")
+        return met.withColumn("k", -F.ln(u) / F.col("weight")).where(F.col("k") <= F.col("bound")).select("plan_no", "target_no", "_key", "_record", "_split", "weight", "bound", "quota", "k")
 
     found, path = scratch.cut(candidates(bounds))
     have = {r.target_no: r["n"] for r in found.groupBy("target_no").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -185,13 +219,12 @@ def target_sample(records: DataFrame, targets: DataFrame, key: str, record: str,
     # keys are turned into a bucket of the unit interval by their rank-preserving exponential; about bucket_rows each
     parts = F.greatest(F.lit(1.0), F.ceil(F.col("quota") / bucket_rows))
     by = found.withColumn("bucket", F.floor(F.when(F.col("bound") == float("inf"), -F.expm1(-F.col("k") * F.col("weight"))).otherwise(F.col("k") / F.col("bound")) * parts).cast("long"))
-    from pyspark.sql import Window
-
     sizes = by.groupBy("plan_no", "target_no", "quota", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("target_no").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     edge = sizes.withColumn("before", before).where(F.col("before") < F.col("quota")).select("target_no", "bucket", "before", "n")
     kept = by.join(edge, ["target_no", "bucket"])
     whole = kept.where(F.col("before") + F.col("n") <= F.col("quota"))
     cutting = kept.where(F.col("before") + F.col("n") > F.col("quota")).withColumn("rank", F.row_number().over(Window.partitionBy("target_no").orderBy("k", "_key")))
-    out = ["plan_no", "target_no", "_key", "_record", "weight"]
-    return whole.select(*out).unionAll(cutting.where(F.col("rank") <= F.col("quota") - F.col("before")).select(*out))
+    out = ["plan_no", "target_no", "_key", "_record", "_split", "weight"]
+    drawn = whole.select(*out).unionAll(cutting.where(F.col("rank") <= F.col("quota") - F.col("before")).select(*out))
+    return drawn, report, cells

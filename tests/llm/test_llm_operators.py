@@ -25,11 +25,11 @@ P = [0.01, 0.25, 0.5, 0.99]
 
 def asked(spark, rows, **options):
     df = spark.createDataFrame(rows, "a string, b string, v double, w double").withColumn("d0", F.lit("clash")).repartition(5)
-    out = percentiles(df, ["a", "b"], {"v": F.when(F.col("v").between(0, 1), F.col("v")), "w": F.col("w")}, P, home=["b"], **options)
+    out = percentiles(df, ["a", "b"], {"v": F.when(F.col("v").between(0, 1), F.col("v")), "w": F.col("w")}, P, **options)
     return {(r.a, r.b, r.grouping_id, r.metric): (r.n, r.q) for r in out.collect()}
 
 
-@pytest.mark.parametrize("options", [{}, {"gather_rows": 50, "finish_rows": 5}, {"gather_rows": 20, "finish_rows": 1, "home_rows": 30, "batch": 2}])
+@pytest.mark.parametrize("options", [{}, {"finish_rows": 50}, {"finish_rows": 5}, {"finish_rows": 1, "batch": 2, "known_ids": 3}])
 def test_percentiles_against_numpy(spark, options):
     rng = random.Random(5)
     value = lambda: rng.choice([None, NAN, -1.0, 2.0, INF, 0.0, 0.5, 1.0, rng.random(), rng.random() ** 4])
@@ -47,6 +47,17 @@ def test_percentiles_against_numpy(spark, options):
         assert got[k][1] == pytest.approx(list(np.quantile(xs, P))) if xs else got[k][1] is None
 
 
+def test_every_large_group_goes_through_the_rounds(spark, monkeypatch):
+    from flowsieve.llm import multi_select
+
+    rounds, seen = multi_select._rounds, []
+    monkeypatch.setattr(multi_select, "_rounds", lambda spark, summary, groups, *a: seen.extend(groups) or rounds(spark, summary, groups, *a))
+    rows = [("xy"[i % 2], "pqr"[i % 3], (i * 37 % 1001) / 1001, None) for i in range(6000)]
+    got = asked(spark, rows)
+    assert len(seen) == 6 and all(v[0] >= 1000 for v in got.values() if v[0])  # x, y, p, q, r and all; the six of 1,000 values are finished at once
+    assert got[None, None, 3, "v"][1] == pytest.approx(list(np.quantile([r[2] for r in rows], P)))
+
+
 def test_percentiles_empty_and_without_values(spark):
     assert asked(spark, []) == {}
     assert asked(spark, [("x", "p", None, None)])["x", "p", 0, "v"] == (0, None)
