@@ -6,13 +6,17 @@ strings, and each column is then checked and cast as one vector, which labels th
 
 Reasons, the first that holds: `quoting`, `column_count`, `bad_value`. Defined results: a null text counts as an empty
 one; blanks around a field are stripped before it is checked; an empty field that may be empty is null; fields may hold
-line breaks only within quotes; repeated records are judged each for itself; an empty table gives no rows.
+line breaks only within quotes; repeated records are judged each for itself; an empty table gives no rows; an integer
+that a bigint cannot hold is a bad value, and integers are compared with their bounds exactly.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from decimal import Decimal
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.csv
@@ -25,15 +29,19 @@ REAL = r"^[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"
 TYPES = {"integer": "bigint", "flag": "bigint", "real": "double", "text": "string", "label": "string"}
 
 
-def _fields(texts: pa.Array, width: int) -> tuple[pa.Table | None, list[int], list[int]]:
-    """(string columns and the row each came from, those rows, rows with a wrong number of fields)."""
+_WIDE = pa.decimal128(19, 0)
+_LEAST, _MOST = -(1 << 63), (1 << 63) - 1
+
+
+def _fields(texts: pa.Array, width: int) -> tuple[pa.Table | None, np.ndarray, list[int]]:
+    """(string columns, the rows they came from, rows with a wrong number of fields)."""
     wrong: list[int] = []
 
     def invalid(row) -> str:
         wrong.append(int(row.text.partition(",")[0]))
         return "skip"
 
-    rows = pa.array([str(i) for i in range(len(texts))])
+    rows = pc.cast(pa.array(np.arange(len(texts))), pa.string())
     data = "\n".join(pc.binary_join_element_wise(rows, texts, ",").to_pylist()).encode() + b"\n"
     names = ["_row", *[f"c{i}" for i in range(width)]]
     try:
@@ -46,24 +54,38 @@ def _fields(texts: pa.Array, width: int) -> tuple[pa.Table | None, list[int], li
     except pa.ArrowInvalid:
         if len(wrong) < len(texts):
             raise
-        return None, [], wrong
-    return table, pc.cast(table["_row"], pa.int64()).to_pylist(), wrong
+        return None, np.zeros(0, dtype=np.int64), wrong
+    return table, pc.cast(table["_row"], pa.int64()).to_numpy(), wrong
+
+
+def _whole(text: pa.Array, shaped: pa.Array, low, high) -> tuple[pa.Array, pa.Array]:
+    """(bigints, whether the number lies within the bounds and the type) of texts of digits; exact."""
+    digits = pc.replace_substring_regex(pc.if_else(shaped, text, None), r"^\+", "")
+    digits = pc.replace_substring_regex(digits, r"^(-?)0+([0-9])", r"\1\2")
+    wide = pc.cast(pc.if_else(pc.match_substring_regex(digits, r"^-?[0-9]{1,19}$"), digits, None), _WIDE)
+    held = pc.and_(pc.greater_equal(wide, pa.scalar(Decimal(_LEAST), _WIDE)), pc.less_equal(wide, pa.scalar(Decimal(_MOST), _WIDE)))
+    value = pc.cast(pc.if_else(held, wide, None), pa.int64())
+    least = _LEAST if low is None or low <= _LEAST else math.ceil(low)
+    most = _MOST if high is None or high >= _MOST else math.floor(high)
+    if least > _MOST or most < _LEAST:
+        return value, pa.array(np.zeros(len(text), dtype=bool))
+    inside = pc.and_(pc.greater_equal(value, pa.scalar(least, pa.int64())), pc.less_equal(value, pa.scalar(most, pa.int64())))
+    return value, pc.fill_null(inside, False)
 
 
 def _checked(column: pa.Array, kind: str, low, high, may_be_empty: bool, labels: pa.Array) -> tuple[pa.Array, pa.Array]:
     """(typed values, null where empty or bad; whether the cell is bad)."""
     text = pc.utf8_trim_whitespace(column)
     empty = pc.equal(text, "")
-    if kind in ("integer", "flag", "real"):
-        shaped = pc.match_substring_regex(text, REAL if kind == "real" else INTEGER)
+    if kind == "real":
+        shaped = pc.match_substring_regex(text, REAL)
         number = pc.cast(pc.replace_substring_regex(pc.if_else(shaped, text, None), r"^\+", ""), pa.float64())
         inside = pc.and_(pc.greater_equal(number, float("-inf") if low is None else low), pc.less_equal(number, float("inf") if high is None else high))
         good = pc.fill_null(inside, False)
-        if kind == "real":
-            value = pc.if_else(good, number, None)
-        else:
-            fits = pc.and_(good, pc.less(pc.abs(number), 9e18))
-            value = pc.cast(pc.replace_substring_regex(pc.if_else(pc.fill_null(fits, False), text, None), r"^\+", ""), pa.int64())
+        value = pc.if_else(good, number, None)
+    elif kind in ("integer", "flag"):
+        value, good = _whole(text, pc.match_substring_regex(text, INTEGER), low, high)
+        value = pc.if_else(good, value, None)
     elif kind == "label":
         good = pc.is_in(pc.replace_substring(pc.utf8_lower(text), ".", ""), value_set=labels)
         value = pc.if_else(good, text, None)
@@ -86,39 +108,40 @@ def load_lines(lines: DataFrame, key: str, text: str, schema: DataFrame, labels:
     typed = ", ".join(f"`{n}` {TYPES[k]}" for n, k, *_ in fields)
     arrow = {"bigint": pa.int64(), "double": pa.float64(), "string": pa.string()}
 
+    columns = pa.array([n for n, *_ in fields], pa.string())
+    reasons = pa.array([None, "quoting", "column_count", "bad_value"], pa.string())
+
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             texts = pc.fill_null(batch.column(1).cast(pa.string()), "")
             n = len(texts)
-            reason: list[str | None] = [None] * n
-            cells: list[list[str] | None] = [None] * n
             formed = pc.match_substring_regex(texts, WELL_FORMED)
-            for i in pc.indices_nonzero(pc.invert(formed)).to_pylist():
-                reason[i] = "quoting"
-            at = pc.indices_nonzero(formed)
-            columns = [pa.nulls(n, arrow[TYPES[k]]) for _, k, *_ in fields]
+            at = pc.indices_nonzero(formed).to_numpy()
+            reason = np.where(formed.to_numpy(zero_copy_only=False), 0, 1)
+            place = np.zeros(n, dtype=np.int64)
+            loaded = np.zeros(n, dtype=bool)
+            values = [pa.nulls(n, arrow[TYPES[k]]) for _, k, *_ in fields]
+            failing = np.zeros((n, len(fields)), dtype=bool)
             if len(at):
-                table, rows, wrong = _fields(texts.take(at), len(fields))
-                back = at.to_pylist()
-                for i in wrong:
-                    reason[back[i]] = "column_count"
+                table, rows, wrong = _fields(texts.take(pa.array(at)), len(fields))
+                reason[at[wrong]] = 2
                 if table is not None and table.num_rows:
-                    place = [None] * n
-                    for j, i in enumerate(rows):
-                        place[back[i]] = j
-                    checked = [_checked(table[f"c{c}"].combine_chunks() if isinstance(table[f"c{c}"], pa.ChunkedArray) else table[f"c{c}"], *spec[1:], known) for c, spec in enumerate(fields)]
-                    failing: dict[int, list[str]] = {}
-                    for (name, *_), (_, bad) in zip(fields, checked):
-                        for j in pc.indices_nonzero(bad).to_pylist():
-                            failing.setdefault(j, []).append(name)
-                    for j, names in failing.items():
-                        i = back[rows[j]]
-                        reason[i], cells[i], place[i] = "bad_value", names, None
-                    take = pa.array(place, pa.int64())
-                    columns = [values.take(take) for values, _ in checked]
-            out = [batch.column(0), pa.array(reason, pa.string()), pa.array(cells, pa.list_(pa.string())), *columns]
+                    own = at[rows]
+                    chunk = lambda c: c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
+                    checked = [_checked(chunk(table[f"c{c}"]), *spec[1:], known) for c, spec in enumerate(fields)]
+                    for c, (_, bad) in enumerate(checked):
+                        failing[own, c] = pc.fill_null(bad, False).to_numpy(zero_copy_only=False)
+                    reason[own[failing[own].any(axis=1)]] = 3
+                    place[own] = np.arange(len(own))
+                    loaded[own] = reason[own] == 0
+                    take = pa.array(place, pa.int64(), mask=~loaded)
+                    values = [v.take(take) for v, _ in checked]
+            ends = np.concatenate([[0], np.cumsum(failing.sum(axis=1))]).astype(np.int32)
+            ends_or_null = pa.array(ends, pa.int32(), mask=np.concatenate([reason != 3, [False]]))
+            cells = pa.ListArray.from_arrays(ends_or_null, columns.take(pa.array(np.nonzero(failing)[1])))
+            out = [batch.column(0), reasons.take(pa.array(reason)), cells, *values]
             yield pa.RecordBatch.from_arrays(out, names=["_key", "_reason", "_cells", *[f for f, *_ in fields]])
 
     result = lines.select(key, text).mapInArrow(load, f"_key {key_type}, _reason string, _cells array<string>, {typed}")

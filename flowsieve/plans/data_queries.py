@@ -51,16 +51,17 @@ P2_TOTALS_SQL = " UNION ALL ".join(
 )
 
 
-def _drift(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    once, entries = schema_drift.observe(table(spark, folder, "capture_records"))
-    entries, _ = scratch.cut(entries)
-    columns, _ = scratch.cut(schema_drift.columns_of_files(once, entries))
-    return once, entries, columns, schema_drift.resolve_names(entries, columns, table(spark, folder, "field_catalog"))
+def _drift(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rescue table, columns of files, resolved names)."""
+    catalog = table(spark, folder, "field_catalog")
+    taken = schema_drift.ingest(table(spark, folder, "capture_records"), catalog)
+    columns, _ = scratch.cut(schema_drift.columns_of_files(taken))
+    return taken, columns, schema_drift.resolve_names(taken, columns, catalog)
 
 
 def p5_changes(spark: SparkSession, folder: str) -> DataFrame:
     """Every change of a file's columns against the file captured before it in its feed, with what it was before."""
-    _, _, columns, resolved = _drift(spark, folder)
+    _, columns, resolved = _drift(spark, folder)
     return schema_drift.changes(table(spark, folder, "capture_files"), columns, resolved)
 
 
@@ -70,9 +71,8 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p5_table(spark: SparkSession, folder: str) -> DataFrame:
     """All capture records as one table with the fields of the catalog; the rest as JSON in _rescued."""
-    once, entries, _, resolved = _drift(spark, folder)
-    return schema_drift.ingest(once, entries, resolved, table(spark, folder, "field_catalog"))
-
+    taken, _, resolved = _drift(spark, folder)
+    return schema_drift.replay(taken, resolved, table(spark, folder, "field_catalog"))
 
 
 def _loaded(spark: SparkSession, folder: str) -> DataFrame:

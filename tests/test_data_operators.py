@@ -43,14 +43,13 @@ CATALOG = [("dst_port", "integer", ["dport"]), ("flow_iat_mean", "decimal", ["ia
 
 
 def drift(spark, records, files):
-    once, entries = D.observe(spark.createDataFrame(records, "file_no long, rec_no int, payload string").withColumn("name", F.lit("clash")))
-    entries = entries.cache()
-    columns = D.columns_of_files(once, entries).cache()
     catalog = spark.createDataFrame(CATALOG, "field_name string, field_type string, known_aliases array<string>")
-    resolved = D.resolve_names(entries, columns, catalog)
+    taken = D.ingest(spark.createDataFrame(records, "file_no long, rec_no int, payload string").withColumn("name", F.lit("clash")), catalog)
+    columns = D.columns_of_files(taken).cache()
+    resolved = D.resolve_names(taken, columns, catalog)
     table = spark.createDataFrame(files, "file_no long, feed_id string, captured_at string")
     found = {(r.file_no, r.column_name, r.change_kind) for r in D.changes(table, columns, resolved).collect()}
-    return found, D.ingest(once, entries, resolved, catalog)
+    return found, D.replay(taken, resolved, catalog)
 
 
 def test_drift_kinds(spark):
@@ -85,6 +84,21 @@ def test_second_values_of_a_field_are_rescued(spark):
     }
 
 
+def test_rescued_first_then_replayed(spark):
+    """A later name and another spelling lie in `_rescued` until the name is approved and the value replayed."""
+    records = [(1, i, json.dumps({"dst_port": 80 + i, "flow_iat_mean": 0.5 + i, "protocol": "tcp"})) for i in range(9)]
+    records += [(2, i, json.dumps({"dst_port": f"{80 + i}.0", "iat_mean_flow": 0.5 + i, "protocol": "tcp", "mood": "calm"})) for i in range(9)]
+    catalog = spark.createDataFrame(CATALOG, "field_name string, field_type string, known_aliases array<string>")
+    taken = D.ingest(spark.createDataFrame(records, "file_no long, rec_no int, payload string"), catalog)
+    before = {(r.file_no, r.rec_no): r for r in taken.collect()}
+    assert before[2, 3].flow_iat_mean is None and before[2, 3].dst_port is None
+    assert json.loads(before[2, 3]._rescued) == {"dst_port": "83.0", "iat_mean_flow": "3.5", "mood": "calm"}
+    resolved = D.resolve_names(taken, D.columns_of_files(taken), catalog)
+    after = {(r.file_no, r.rec_no): r for r in D.replay(taken, resolved, catalog).collect()}
+    assert len(after) == 18 and after[2, 3].flow_iat_mean == 3.5 and after[2, 3].dst_port == 83
+    assert json.loads(after[2, 3]._rescued) == {"mood": "calm"} and after[1, 3]._rescued is None and after[1, 3].dst_port == 83
+
+
 def test_drift_empty(spark):
     found, out = drift(spark, [], [])
     assert found == set() and out.count() == 0
@@ -123,6 +137,17 @@ def test_reasons(spark):
     assert got[18].bad_columns == ["r"] and got[18].n is None
 
 
+def test_wide_integers(spark):
+    """Bounds are exact above 2^53; what a bigint cannot hold is rejected, never a silent null."""
+    lines = spark.createDataFrame(list(enumerate(["9300000000000000000", "9223372036854775807", "-9223372036854775808", "0000000000000000000012", "+7", "123456789012345678901234567890"])), "line_id long, line_text string")
+    schema = "col_pos int, column_name string, value_kind string, min_value double, max_value double, may_be_empty boolean"
+    free = {r.line_id: (r.n, r.reason) for r in load_lines(lines, "line_id", "line_text", spark.createDataFrame([(1, "n", "integer", None, None, True)], schema), []).collect()}
+    assert free == {0: (None, "bad_value"), 1: (2**63 - 1, None), 2: (-(2**63), None), 3: (12, None), 4: (7, None), 5: (None, "bad_value")}
+    edge = spark.createDataFrame(list(enumerate([str(2**53), str(2**53 + 1), str(-(2**53) - 1)])), "line_id long, line_text string")
+    bound = spark.createDataFrame([(1, "n", "integer", -float(2**53), float(2**53), True)], schema)
+    assert {r.line_id: r.reason for r in load_lines(edge, "line_id", "line_text", bound, []).collect()} == {0: None, 1: "bad_value", 2: "bad_value"}
+
+
 def test_round_trip_of_written_csv(spark):
     rng = random.Random(3)
     rows = [[str(rng.randint(0, 10)), f"{rng.random():.3f}", "".join(rng.choice('ab ",\n') for _ in range(rng.randint(0, 9))), "DoS"] for _ in range(300)]
