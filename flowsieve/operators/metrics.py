@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowsieve.operators.prefix import running_sums
+
 
 def rate(hit: Column, base: Column, undefined: str = "null") -> Column:
     """Share of `base` rows that are `hit`; with no base rows null, 0 (`zero`) or an error (`error`)."""
@@ -82,8 +84,7 @@ def system_columns(undefined: str = "null") -> dict[str, Column]:
 def auc(df: DataFrame, keys: list[str], score: str, positive: Column) -> DataFrame:
     """ROC-AUC with ties averaged, as a rank sum: rows are first combined per distinct score."""
     by = df.groupBy(*keys, score).agg(F.count_if(positive).alias("_p"), F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = by.withColumn("rank", F.coalesce(F.sum("_n").over(before), F.lit(0)) + (F.col("_n") + 1) / 2)
+    ranked = running_sums(by, keys, [score], {"_upto": F.col("_n")}).withColumn("rank", F.col("_upto") - F.col("_n") + (F.col("_n") + 1) / 2)
     sums = ranked.groupBy(*keys).agg(F.sum(F.col("rank") * F.col("_p")).alias("r"), F.sum("_p").cast("double").alias("_p"), F.sum("_n").cast("double").alias("_n"))
     return sums.select(*keys, F.try_divide(F.col("r") - F.col("_p") * (F.col("_p") + 1) / 2, F.col("_p") * (F.col("_n") - F.col("_p"))).alias("auc"))
 
@@ -91,8 +92,7 @@ def auc(df: DataFrame, keys: list[str], score: str, positive: Column) -> DataFra
 def average_precision(df: DataFrame, keys: list[str], score: str, positive: Column) -> DataFrame:
     """Step-wise area under precision and recall, ties grouped."""
     by = df.groupBy(*keys, score).agg(F.count_if(positive).alias("_p"), F.count(F.lit(1)).alias("_n"))
-    upto = Window.partitionBy(*keys).orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    run = by.withColumns({"tp": F.sum("_p").over(upto), "all": F.sum("_n").over(upto)})
+    run = running_sums(by, keys, [F.col(score).desc()], {"tp": F.col("_p"), "all": F.col("_n")})
     return run.groupBy(*keys).agg(F.try_divide(F.sum(F.col("_p") * F.col("tp") / F.col("all")), F.sum("_p")).alias("average_precision"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowsieve.operators.prefix import numbered
+
 
 def quotas(counts: DataFrame, n: str, fractions: tuple[float, float, float] = (0.70, 0.15, 0.15), least: int = 1) -> DataFrame:
     """Adds n_train, n_val, n_test to stratum counts; strata too small for all three go to train.
@@ -25,24 +27,24 @@ def quotas(counts: DataFrame, n: str, fractions: tuple[float, float, float] = (0
 
 def quota_fill(rows: DataFrame, stratum: str, order: list[Column], quota: DataFrame) -> DataFrame:
     """Assigns `split`: in row order each stratum fills train, then val, then test; the rest goes to train."""
-    numbered = rows.withColumn("_rn", F.row_number().over(Window.partitionBy(stratum).orderBy(*order)))
-    joined = numbered.join(quota.select(stratum, "n_train", "n_val", "n_test"), stratum)
+    ranked = numbered(rows, [stratum], order).drop("_rn_total")
+    joined = ranked.join(quota.select(stratum, "n_train", "n_val", "n_test"), stratum)
     rn, t, v, s = F.col("_rn"), F.col("n_train"), F.col("n_val"), F.col("n_test")
     split = F.when(rn <= t, "train").when(rn <= t + v, "val").when(rn <= t + v + s, "test").otherwise("train")
     return joined.withColumn("split", split).drop("_rn", "n_train", "n_val", "n_test")
 
 
 def capped(rows: DataFrame, keys: list[str], order: list[Column], cap: int) -> DataFrame:
-    """The first `cap` rows of each key, in row order."""
+    """The first `cap` rows of each key, in row order; each task cuts its own rows to `cap` per key before the shuffle (WindowGroupLimit, up to a cap of 1,000)."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return rows.withColumn("_rn", rank).where(F.col("_rn") <= cap).drop("_rn")
 
 
 def contiguous_parts(rows: DataFrame, file: str, order: str, parts: Column) -> DataFrame:
     """Adds `part` (from 1): row ranges of ceil(n / parts) rows; tails without rows do not occur."""
-    w = Window.partitionBy(file)
-    size = F.ceil(F.count(F.lit(1)).over(w) / parts)
-    return rows.withColumn("part", (F.floor((F.row_number().over(w.orderBy(order)) - 1) / size) + 1).cast("int"))
+    ranked = numbered(rows, [file], [order])
+    size = F.ceil(F.col("_rn_total") / parts)
+    return ranked.withColumn("part", (F.floor((F.col("_rn") - 1) / size) + 1).cast("int")).drop("_rn", "_rn_total")
 
 
 def interval_audit(units: DataFrame, file: str, start: str, end: str, rows: str) -> DataFrame:

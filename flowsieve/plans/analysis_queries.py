@@ -14,6 +14,7 @@ from flowsieve.operators import selection as P
 from flowsieve.operators import splitting as S
 from flowsieve.operators import statistics as ST
 from flowsieve.operators import sweep as W
+from flowsieve.operators.prefix import quantiles
 from flowsieve.plans.base import DECIDED, F1, FLOWS, LABELS, PER_LABEL, SCORES, Book, decided, flows, scores
 from flowsieve.plans.clean_queries import _QUOTA
 from flowsieve.plans.metric_queries import REJECTED, _FAM, rejected_by_methods, support_family
@@ -216,7 +217,7 @@ _QS = (0.9, 0.95, 0.99, 0.995)
 def ana12(spark, d):
     """Thresholds at benign quantiles, best recall under a false-alarm bar. A run's few thresholds travel as an array."""
     val = scores(spark, d).where("split = 'val'")
-    cuts = val.where("y1 = 0").groupBy("run_id").agg(F.percentile("p", F.array(*[F.lit(q) for q in _QS])).alias("cuts"))
+    cuts = quantiles(val.where("y1 = 0"), ["run_id"], "p", list(_QS)).withColumnRenamed("q", "cuts")
     each = val.join(cuts, "run_id").select("run_id", "p", "y1", F.explode(F.array_distinct("cuts")).alias("thr"))
     e = each.groupBy("run_id", "thr").agg(F.avg(F.when(F.col("y1") == 0, (F.col("p") >= F.col("thr")).cast("int"))).alias("fpr"), F.avg(F.when(F.col("y1") == 1, (F.col("p") >= F.col("thr")).cast("int"))).alias("tpr"))
     best = P.first_per_group(e, ["run_id"], [(F.col("fpr") <= 0.05).desc(), F.col("tpr").desc_nulls_last(), F.col("thr")])
@@ -271,7 +272,7 @@ def ana16(spark, d):
     from flowsieve.functions import arrays as A
     from flowsieve.plans.clean_queries import probs
 
-    data = probs(spark, d).select("q", (F.col("label") % 5).alias("y"))
+    data = probs(spark, d).select("q", F.col("label").alias("y"))
     m, grid = [1.0] * 5, [0.25, 0.5, 0.75, 1.0, 1.25, 1.5, 2.0, 3.0]
     score = 0.0
     for _ in range(2):
@@ -501,7 +502,7 @@ def ml06(spark, d):
     from flowsieve.plans.clean_queries import probs
 
     a, b = ml.fit_platt(scores(spark, d).where("split = 'val'"), "p", "y1")
-    t = ml.fit_temperature(probs(spark, d).select("q", (F.col("label") % 5).alias("y")), "q", "y", [0.5, 0.75, 1.0, 1.5, 2.0, 3.0])
+    t = ml.fit_temperature(probs(spark, d).select("q", F.col("label").alias("y")), "q", "y", [0.5, 0.75, 1.0, 1.5, 2.0, 3.0])
     return spark.createDataFrame([("platt_a", a), ("platt_b", b), ("temperature", float(t))], "parameter string, value double")
 
 

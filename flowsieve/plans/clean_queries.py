@@ -291,10 +291,10 @@ def prj22(spark, d):
     return df.select("candidate_no")
 
 
-@book("prj24_reorder", "SELECT split, row_id, dataset FROM flows WHERE row_id <= 100")
+@book("prj24_reorder", "SELECT split, row_id, dataset FROM flows")
 def prj24(spark, d):
     front = ["split", "row_id"]
-    df = table(spark, d, "flows").where("row_id <= 100").select("dataset", "row_id", "split")
+    df = table(spark, d, "flows").select("dataset", "row_id", "split")
     return df.select(*front, *[c for c in df.columns if c not in front])
 
 
@@ -487,13 +487,13 @@ def mth09(spark, d):
 # arrays of probabilities, made from embeddings
 
 _PROBS = (
-    "e AS (SELECT vec_id, label, list_transform(embedding[1:5], lambda x: x::DOUBLE) AS z FROM embeddings), x AS (SELECT vec_id, label, list_transform(z, lambda v: exp(v - list_max(z))) AS w FROM e), "
+    "e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS z FROM embeddings), x AS (SELECT vec_id, label, list_transform(z, lambda v: exp(v - list_max(z))) AS w FROM e), "
     "pr AS (SELECT vec_id, label, list_transform(w, lambda v: v / list_sum(w)) AS q FROM x)"
 )
 
 
 def probs(spark, d):
-    z = F.transform(F.slice("embedding", 1, 5), lambda x: x.cast("double"))
+    z = F.transform("embedding", lambda x: x.cast("double"))
     return table(spark, d, "embeddings").select("vec_id", "label", A.softmax(z).alias("q"))
 
 
@@ -507,26 +507,26 @@ def arr02(spark, d):
     return probs(spark, d).select("vec_id", R(A.top2_margin(F.col("q"))).alias("margin"))
 
 
-@book("arr03_entropy", f"WITH {_PROBS} SELECT vec_id, round(-list_sum(list_transform(q, lambda v: v * ln(greatest(v, 1e-12)))) / ln(5), 6) AS entropy FROM pr")
+@book("arr03_entropy", f"WITH {_PROBS} SELECT vec_id, round(-list_sum(list_transform(q, lambda v: v * ln(greatest(v, 1e-12)))) / ln(64), 6) AS entropy FROM pr")
 def arr03(spark, d):
     return probs(spark, d).select("vec_id", R(A.entropy(F.col("q"))).alias("entropy"))
 
 
-@book("arr04_renormalised", f"WITH {_PROBS}, c AS (SELECT vec_id, list_transform(q, lambda v: greatest(v, 0.2)) AS c FROM pr) SELECT vec_id, round(c[1] / list_sum(c), 6) AS first, round(c[5] / list_sum(c), 6) AS last FROM c")
+@book("arr04_renormalised", f"WITH {_PROBS}, c AS (SELECT vec_id, list_transform(q, lambda v: greatest(v, 0.02)) AS c FROM pr) SELECT vec_id, round(c[1] / list_sum(c), 6) AS first, round(c[-1] / list_sum(c), 6) AS last FROM c")
 def arr04(spark, d):
-    q = A.normalised(F.col("q"), 0.2)
-    return probs(spark, d).select("vec_id", q.alias("q")).select("vec_id", R(F.get("q", F.lit(0))).alias("first"), R(F.get("q", F.lit(4))).alias("last"))
+    q = A.normalised(F.col("q"), 0.02)
+    return probs(spark, d).select("vec_id", q.alias("q")).select("vec_id", R(F.get("q", F.lit(0))).alias("first"), R(F.element_at("q", -1)).alias("last"))
 
 
-@book("arr05_biased", f"WITH {_PROBS}, c AS (SELECT vec_id, [q[1] * 2.0, q[2] * 1.0, q[3] * 0.5, q[4] * 1.0, q[5] * 1.5] AS c FROM pr) SELECT vec_id, round(list_max(c) / list_sum(c), 6) AS pmax, (list_position(c, list_max(c)) - 1)::INT AS idx FROM c")
+@book("arr05_biased", f"WITH {_PROBS}, c AS (SELECT vec_id, list_transform(q, lambda v, i: v * (0.5 + i % 4 * 0.5)) AS c FROM pr) SELECT vec_id, round(list_max(c) / list_sum(c), 6) AS pmax, (list_position(c, list_max(c)) - 1)::INT AS idx FROM c")
 def arr05(spark, d):
-    b = probs(spark, d).select("vec_id", A.biased(F.col("q"), [2.0, 1.0, 0.5, 1.0, 1.5]).alias("b"))
+    b = probs(spark, d).select("vec_id", A.biased(F.col("q"), [0.5 + i % 4 * 0.5 for i in range(1, 65)]).alias("b"))
     return b.select("vec_id", R(F.array_max("b")).alias("pmax"), A.argmax(F.col("b")).alias("idx"))
 
 
-@book("arr06_true_class", f"WITH {_PROBS} SELECT vec_id, round(q[label % 5 + 1], 6) AS p_true, round(list_sum(list_transform(q, lambda v: v * v)) + 1 - 2 * q[label % 5 + 1], 6) AS brier FROM pr")
+@book("arr06_true_class", f"WITH {_PROBS} SELECT vec_id, round(q[label + 1], 6) AS p_true, round(list_sum(list_transform(q, lambda v: v * v)) + 1 - 2 * q[label + 1], 6) AS brier FROM pr")
 def arr06(spark, d):
-    k = F.col("label") % 5
+    k = F.col("label")
     return probs(spark, d).select("vec_id", R(F.get("q", k)).alias("p_true"), R(A.known_brier(F.col("q"), k)).alias("brier"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from flowsieve.functions import labels as L
 from flowsieve.functions import numbers as N
 from flowsieve.operators import metrics as M
+from flowsieve.operators.prefix import quantiles
 from flowsieve.plans.base import DECIDED, F1, FAMILIES, FLOWS, LABELS, PER_LABEL, SCORES, THRESHOLD, Book, decided, flows, scores
 from flowsieve.tables import table
 
@@ -127,7 +128,7 @@ def agg15(spark, d):
 )
 def agg16(spark, d):
     qs = [0.5, 0.9, 0.95, 0.99, 0.995]
-    out = scores(spark, d).where("y1 = 0").groupBy("run_id").agg(F.percentile("p", F.array(*[F.lit(q) for q in qs])).alias("q"))
+    out = quantiles(scores(spark, d).where("y1 = 0"), ["run_id"], "p", qs)
     return out.select("run_id", *[R(F.get("q", F.lit(i))).alias(f"q{int(q * 1000):03d}") for i, q in enumerate(qs)])
 
 
@@ -139,7 +140,7 @@ def agg16(spark, d):
 def agg17(spark, d):
     """Per run and family the 10 % quantile of the true family's probability on val; 0 without rows."""
     s = scores(spark, d)
-    q = s.where("split = 'val' AND y1 = 1 AND tprob IS NOT NULL").groupBy("run_id", F.col("fam").alias("family")).agg(F.percentile("tprob", F.lit(0.1)).alias("t"))
+    q = quantiles(s.where("split = 'val' AND y1 = 1").withColumn("family", F.col("fam")), ["run_id", "family"], "tprob", [0.1]).select("run_id", "family", F.get("q", F.lit(0)).alias("t"))
     frame = s.select("run_id").distinct().select("run_id", F.explode(F.array(*[F.lit(x) for x in FAMILIES])).alias("family"))
     return frame.join(q, ["run_id", "family"], "left").select("run_id", "family", R(F.coalesce("t", F.lit(0.0)), 9).alias("threshold"))
 
@@ -390,12 +391,23 @@ def agg31(spark, d):
     )
 
 
-_ROW = "md5(concat_ws('|', " + ", ".join(f"coalesce(cast({c} AS VARCHAR), '~')" for c in ("tot_fwd_pkts", "tot_bwd_pkts", "fwd_bytes", "bwd_bytes", "fwd_hdr_len", "init_win_bytes")) + "))"
+FEATURES = [
+    "flow_duration", "tot_fwd_pkts", "tot_bwd_pkts", "fwd_bytes", "bwd_bytes", "flow_bytes_s", "flow_pkts_s",
+    "iat_mean", "iat_std", "pkt_len_mean", "pkt_len_std", "fwd_hdr_len", "init_win_bytes", "active_mean",
+]
+_TOLD = "CASE WHEN {0} IS NULL THEN '~' WHEN isnan({0}::DOUBLE) THEN 'nan' WHEN abs({0}::DOUBLE) < 1e15 THEN floor({0}::DOUBLE * 1000 + 0.5)::BIGINT::VARCHAR ELSE 'inf' END"
+_ROW = "md5(concat_ws('|', " + ", ".join(_TOLD.format(c) for c in FEATURES) + "))"
 
 
 def row_hash(*extra):
-    cols = ["tot_fwd_pkts", "tot_bwd_pkts", "fwd_bytes", "bwd_bytes", "fwd_hdr_len", "init_win_bytes", *extra]
-    return F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in cols]))
+    """Hash of all 14 features (and `extra` columns); numbers count to thousandths, so that any engine writes them alike."""
+    return F.md5(F.concat_ws("|", *[_told(c) for c in FEATURES], *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in extra]))
+
+
+def _told(c: str):
+    v = F.col(c).cast("double")
+    usable = v.isNotNull() & ~F.isnan(v) & (F.abs(v) < 1e15)
+    return F.when(usable, F.floor(v * 1000 + 0.5).cast("long").cast("string")).otherwise(F.when(v.isNull(), "~").when(F.isnan(v), "nan").otherwise("inf"))
 
 
 @book(
@@ -486,7 +498,7 @@ _CONF = "q AS (SELECT run_id, fam AS family, round(quantile_cont(tprob, 0.1), 9)
 def rejected_by_methods(spark, d):
     """Scores decided by each of the four rejectors: method, pred, rejected, doubt."""
     s = scores(spark, d)
-    q = s.where("split = 'val' AND y1 = 1 AND tprob IS NOT NULL").groupBy("run_id", F.col("fam").alias("pred_fam")).agg(R(F.percentile("tprob", F.lit(0.1)), 9).alias("t"))
+    q = quantiles(s.where("split = 'val' AND y1 = 1").drop("pred_fam").withColumnRenamed("fam", "pred_fam"), ["run_id", "pred_fam"], "tprob", [0.1]).select("run_id", "pred_fam", R(F.get("q", F.lit(0)), 9).alias("t"))
     j = s.join(q, ["run_id", "pred_fam"], "left")
     col = F.col
     each = []

@@ -13,7 +13,7 @@ from flowsieve.operators import sweep as W
 from flowsieve.operators.metrics import system_columns
 from flowsieve.plans.base import DECIDED, FLOWS, SCORES, Book, decided, flows, scores
 from flowsieve.plans.clean_queries import _QUOTA
-from flowsieve.plans.metric_queries import REJECTED, row_hash
+from flowsieve.plans.metric_queries import _ROW, REJECTED, row_hash
 from flowsieve.tables import table
 
 book = Book()
@@ -250,7 +250,7 @@ def set02(spark, d):
     return long.withColumn("v", R("v"))
 
 
-_H = "md5(concat_ws('|', " + ", ".join(f"coalesce(cast({c} AS VARCHAR), '~')" for c in ("tot_fwd_pkts", "tot_bwd_pkts", "fwd_bytes", "bwd_bytes", "fwd_hdr_len", "init_win_bytes")) + "))"
+_H = _ROW
 
 
 @book("set03_hash_overlap", f"WITH {FLOWS}, h AS (SELECT DISTINCT split, {_H} AS h FROM f) SELECT a.split AS split_a, b.split AS split_b, count(*) AS n_common FROM h a JOIN h b USING (h) WHERE a.split < b.split GROUP BY ALL")
