@@ -431,11 +431,11 @@ def ana32(spark, d):
     return s.groupBy("model_name").agg(F.count_distinct("run_seed").alias("n_seeds"), (F.count_distinct("run_seed") == 3).alias("all_seeds"), (F.count_distinct("dataset") == n).alias("all_datasets"))
 
 
-@book("ana33_status_upsert", "SELECT feed_id, n, CASE WHEN n >= 10 THEN 'complete' ELSE 'partial' END AS status FROM (SELECT feed_id, count(*) AS n FROM capture_files GROUP BY 1)")
+@book("ana33_status_upsert", "WITH n AS (SELECT feed_id, count(*) AS n FROM capture_files GROUP BY 1) SELECT feed_id, n, CASE WHEN n >= 10 THEN 'complete' ELSE 'partial' END AS status FROM n UNION ALL SELECT DISTINCT feed_id, 0, 'planned' FROM candidate_splits WHERE feed_id NOT IN (SELECT feed_id FROM n)")
 def ana33(spark, d):
-    """Status rows replaced by newer ones."""
+    """Planned feeds, each replaced by its newer row once files of it have arrived."""
+    old = table(spark, d, "candidate_splits").where(F.col("feed_id").isNotNull()).select("feed_id").distinct().select("feed_id", F.lit(0).cast("long").alias("n"), F.lit("planned").alias("status"))
     n = table(spark, d, "capture_files").groupBy("feed_id").agg(F.count(F.lit(1)).alias("n"))
-    old = n.select("feed_id", "n", F.lit("planned").alias("status"))
     return P.upsert(old, n.withColumn("status", F.when(F.col("n") >= 10, "complete").otherwise("partial")), ["feed_id"])
 
 

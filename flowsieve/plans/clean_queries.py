@@ -13,7 +13,9 @@ from flowsieve.functions import labels as L
 from flowsieve.functions import numbers as N
 from flowsieve.functions import text as T
 from flowsieve.operators import splitting as S
-from flowsieve.plans.base import DECIDED, FLOWS, SCORES, Book, decided, flows, scores
+from flowsieve.operators.line_loader import WELL_FORMED
+from flowsieve.plans.base import DECIDED, FLOWS, LABELS, SCORES, Book, decided, flows, scores
+from flowsieve.plans.data_queries import _F
 from flowsieve.sources import files as I
 from flowsieve.tables import table
 
@@ -33,12 +35,13 @@ def src02(spark, d):
     return I.by_patterns(table(spark, d, "capture_files"), "file_path", ["*mix*.csv", "feed000001*", "*day*"]).select("file_path", "pattern_no")
 
 
-@book("src03_csv_records", "SELECT line_id, split_part(line_text, ',', 2) AS protocol_type, split_part(line_text, ',', 5) AS src_bytes FROM raw_lines WHERE line_text NOT LIKE '%\"%' AND len(string_split(line_text, ',')) = 43 AND line_text NOT LIKE '% %'")
+@book("src03_csv_records", f"WITH l AS (SELECT line_id, regexp_extract_all(',' || line_text, ',({_F})', 1) AS f FROM raw_lines WHERE regexp_full_match(line_text, '{_F}(?:,{_F})*')), c AS (SELECT line_id, list_transform(f, lambda x: trim(CASE WHEN x[1] = '\"' THEN replace(x[2:-2], '\"\"', '\"') ELSE x END)) AS f FROM l WHERE len(f) = 43) SELECT line_id, f[2] AS protocol_type, f[5] AS src_bytes FROM c")
 def src03(spark, d):
+    """All well-formed records of 43 fields, quoted and padded ones included."""
     names = ", ".join(f"c{i} string" for i in range(43))
-    plain = table(spark, d, "raw_lines").where(~F.col("line_text").contains('"') & (F.size(F.split("line_text", ",")) == 43) & ~F.col("line_text").contains(" "))
+    formed = F.col("line_text").rlike(WELL_FORMED) & (F.regexp_count(F.concat(F.lit(","), "line_text"), F.lit(f",{_F}")) == 43)
     parsed = I.csv_columns(F.col("line_text"), names)
-    return plain.select("line_id", parsed.alias("r")).select("line_id", F.coalesce("r.c1", F.lit("")).alias("protocol_type"), F.coalesce("r.c4", F.lit("")).alias("src_bytes"))
+    return table(spark, d, "raw_lines").where(formed).select("line_id", parsed.alias("r")).select("line_id", F.coalesce("r.c1", F.lit("")).alias("protocol_type"), F.coalesce("r.c4", F.lit("")).alias("src_bytes"))
 
 
 @book("src04_row_range", "SELECT file_name, line_no, line_id FROM (SELECT *, row_number() OVER (PARTITION BY file_name ORDER BY line_no, line_id) AS rn FROM raw_lines) WHERE rn > 100 AND rn <= 150")
@@ -81,16 +84,6 @@ def src10(spark, d):
     return table(spark, d, "raw_schema").withColumn("k", T.canonical(F.col("column_name"))).join(features, "k", "left").select("column_name", "field_type")
 
 
-@book("src11_validated_matrix", f"WITH {DECIDED}, m AS (SELECT truth, pred, count(*) AS n FROM d WHERE run_id = 'run-00-rf' GROUP BY ALL) SELECT count(*) AS cells, sum(n)::BIGINT AS rows, bool_and(n >= 0) AS not_negative FROM m")
-def src11(spark, d):
-    """A wide confusion matrix back in long form, validated: labels equal on both sides, counts not negative."""
-    from flowsieve.plans.base import LABELS
-
-    wide = decided(spark, d).where("run_id = 'run-00-rf'").groupBy("truth").pivot("pred", LABELS).count().na.fill(0)
-    long = wide.unpivot(["truth"], LABELS, "pred", "n")
-    return long.agg(F.count_if(F.col("n") > 0).alias("cells"), F.sum("n").alias("rows"), F.every(F.col("n") >= 0).alias("not_negative"))
-
-
 @book("src12_canonical_json", "SELECT candidate_no, '{\"dataset\":\"' || dataset || '\",\"feed_id\":\"' || feed_id || '\",\"score\":' || score || '}' AS evidence FROM candidate_splits")
 def src12(spark, d):
     return table(spark, d, "candidate_splits").select("candidate_no", I.canonical_json(["score", "feed_id", "dataset"]).alias("evidence"))
@@ -530,16 +523,26 @@ def arr06(spark, d):
     return probs(spark, d).select("vec_id", R(F.get("q", k)).alias("p_true"), R(A.known_brier(F.col("q"), k)).alias("brier"))
 
 
-@book("arr07_matrix", "WITH m AS (SELECT [[5, 1, 0], [2, 7, 1], [0, 0, 4]] AS m, ['a', 'b', 'c'] AS l) SELECT l[i] AS label, m[i][i]::BIGINT AS tp, (list_sum(list_transform(m, lambda r: r[i])) - m[i][i])::BIGINT AS fp, (list_sum(m[i]) - m[i][i])::BIGINT AS fn FROM m, (SELECT unnest([1, 2, 3]) AS i)")
-def arr07(spark, d):
-    """Nested matrix to per-label counts by exploding twice."""
-    m = spark.createDataFrame([([[5, 1, 0], [2, 7, 1], [0, 0, 4]], ["a", "b", "c"])], "m array<array<long>>, l array<string>")
-    cells = m.select("l", F.posexplode("m").alias("i", "row")).select("l", "i", F.posexplode("row").alias("j", "n"))
-    long = cells.select(F.get("l", F.col("i")).alias("true_label"), F.get("l", F.col("j")).alias("pred_label"), "n")
-    from flowsieve.operators.metrics import per_label
+_LAB = "[" + ", ".join(f"'{x}'" for x in LABELS) + "]"
 
-    out = per_label(long.withColumn("k", F.lit(0)), ["k"], ["a", "b", "c"])
-    return out.select("label", "tp", (F.col("predicted") - F.col("tp")).alias("fp"), (F.col("support") - F.col("tp")).alias("fn"))
+
+@book(
+    "arr07_matrix",
+    f"WITH {DECIDED}, n AS (SELECT run_id, truth, pred, count(*) AS n FROM d GROUP BY ALL) SELECT run_id, label, coalesce(sum(n) FILTER (WHERE truth = label AND pred = label), 0)::BIGINT AS tp, coalesce(sum(n) FILTER (WHERE truth <> label AND pred = label), 0)::BIGINT AS fp, coalesce(sum(n) FILTER (WHERE truth = label AND pred <> label), 0)::BIGINT AS fn FROM n, (SELECT unnest({_LAB}) AS label) GROUP BY ALL",
+)
+def arr07(spark, d):
+    """Each run's confusion matrix as a nested array, and per-label counts from the array alone."""
+    k = len(LABELS)
+    at = lambda c: F.array_position(F.array(*[F.lit(x) for x in LABELS]), F.col(c)) - 1
+    cells = decided(spark, d).groupBy("run_id", (at("truth") * k + at("pred")).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+    held = cells.groupBy("run_id").agg(F.map_from_entries(F.collect_list(F.struct("cell", "n"))).alias("m"))  # at most k * k cells
+    row = lambda i: F.array(*[F.coalesce(F.try_element_at("m", F.lit(i * k + j).cast("long")), F.lit(0).cast("long")) for j in range(k)])
+    nested = held.select("run_id", F.array(*[row(i) for i in range(k)]).alias("m"))
+    each = nested.select("run_id", "m", F.posexplode(F.array(*[F.lit(x) for x in LABELS])).alias("i", "label"))
+    whole = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda x, y: x + y)
+    tp = F.get(F.get("m", F.col("i")), F.col("i"))
+    column = F.transform("m", lambda r: F.get(r, F.col("i")))
+    return each.select("run_id", "label", tp.alias("tp"), (whole(column) - tp).alias("fp"), (whole(F.get("m", F.col("i"))) - tp).alias("fn"))
 
 
 @book("mth03_temperature", f"WITH {_PROBS}, l AS (SELECT vec_id, list_transform(q, lambda v: ln(greatest(v, 1e-12)) / 2.0) AS l FROM pr), w AS (SELECT vec_id, list_transform(l, lambda v: exp(v - list_max(l))) AS w FROM l) SELECT vec_id, round(list_max(w) / list_sum(w), 6) AS pmax FROM w")
@@ -565,10 +568,11 @@ def dte01(spark, d):
     return table(spark, d, "score_frame").select("score_id", F.date_format("scored_at", "yyyyMMdd_HHmmss").alias("stamp"), R(us / 3600000000.0, 9).alias("hours"))
 
 
-@book("cst01_coerced", "SELECT line_id, try_cast(split_part(line_text, ',', 5) AS DOUBLE) AS v FROM raw_lines WHERE line_text NOT LIKE '%\"%' AND regexp_matches(split_part(line_text, ',', 5), '^[0-9.]*$')")
+@book("cst01_coerced", "SELECT line_id, CASE WHEN regexp_full_match(trim(split_part(line_text, ',', 5)), '[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?') THEN try_cast(trim(split_part(line_text, ',', 5)) AS DOUBLE) END AS v FROM raw_lines")
 def cst01(spark, d):
     field = F.split_part("line_text", F.lit(","), F.lit(5))
-    return table(spark, d, "raw_lines").where(~F.col("line_text").contains('"') & field.rlike("^[0-9.]*$")).select("line_id", N.numeric(field).alias("v"))
+    """Every line: what is no number becomes null."""
+    return table(spark, d, "raw_lines").select("line_id", N.numeric(field).alias("v"))
 
 
 @book(

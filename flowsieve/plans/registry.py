@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowsieve.plans import analysis_queries, clean_queries, data_queries, metric_queries, window_queries
+from flowsieve.plans import analysis_queries, clean_queries, data_queries, evaluation_queries, metric_queries, source_queries, window_queries
 
-MODULES = [data_queries, clean_queries, metric_queries, window_queries, analysis_queries]
+MODULES = [data_queries, source_queries, clean_queries, metric_queries, window_queries, analysis_queries, evaluation_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

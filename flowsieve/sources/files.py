@@ -90,3 +90,24 @@ def findings(df: DataFrame, name: str, content: str, categories: dict[str, str])
     """Per category of regular expressions: how many texts match."""
     hit = F.explode(F.array_compact(F.array(*[F.when(F.col(content).rlike(p), F.lit(c)) for c, p in categories.items()]))).alias("category")
     return df.select(name, hit).groupBy("category").agg(F.count(F.lit(1)).alias("n_texts"))
+
+
+def _exists(spark: SparkSession, pattern: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return found is not None and len(found) > 0
+
+
+def read_parts(spark: SparkSession, folder: str, schema: str) -> tuple[str, DataFrame]:
+    """(format, rows) of the part files of a folder, in the first of parquet, CSV and packed CSV that is there; `none` and no rows otherwise."""
+    for kind in ("parquet", "csv", "csv.gz"):
+        if _exists(spark, f"{folder}/*.{kind}"):
+            reader = spark.read.schema(schema).option("pathGlobFilter", f"*.{kind}")
+            return kind, reader.parquet(folder) if kind == "parquet" else reader.option("header", True).csv(folder)
+    return "none", spark.createDataFrame([], schema)
+
+
+def first_object(text: Column, schema: str) -> Column:
+    """The first JSON object of a text, typed; what follows it is ignored, null where none can be read."""
+    depth = F.regexp_extract(text, r"^\s*(\{(?:[^{}\"]|\"(?:[^\"\\]|\\.)*\"|\{(?:[^{}\"]|\"(?:[^\"\\]|\\.)*\")*\})*\})", 1)
+    return F.from_json(F.nullif(depth, F.lit("")), schema)
