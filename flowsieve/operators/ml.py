@@ -1,13 +1,13 @@
 """Score sources on pyspark.ml: preprocessing, classifiers, calibration and ensembles.
 
-Gradient-boosting libraries are not available to Spark; their profiles are mapped to GBT or random forests, which is an
-approximation: the probabilities differ, the data flow (weights, hold-outs, score frames) is the same.
+Gradient-boosting libraries are not available to Spark; their profiles are mapped to GBT, in stage 2 one against the
+rest, which is an approximation: the probabilities differ, the data flow (weights, hold-outs, score frames) is the same.
 """
 
 from __future__ import annotations
 
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import StringIndexer, UnivariateFeatureSelector, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -46,6 +46,15 @@ def weighted(df: DataFrame, label: str) -> DataFrame:
     return df.join(F.broadcast(counts), label).withColumn("weight", F.lit(float(total or 0)) / (F.lit(float(k)) * F.col("_n"))).drop("_n")
 
 
+def balanced(df: DataFrame, label: str, seed: int) -> DataFrame:
+    """A draw, by hash, in which every class has about as many rows as the rarest; the counts are one row per class."""
+    counts = {r[0]: r["count"] for r in df.groupBy(label).count().collect()}
+    least = min(counts.values(), default=0)
+    u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *df.columns), 11) / float(1 << 53)
+    share = F.coalesce(*[F.when(F.col(label).eqNullSafe(F.lit(k)), F.lit(least / n)) for k, n in counts.items()]) if counts else F.lit(1.0)
+    return df.where(u < share)
+
+
 def two_stage(train: DataFrame, features: list[str], profile: str = "rf", holdout: str | None = None, stage1_holdout: bool = False, seed: int = 7):
     """Fitted (scale, stage 1 pipeline, stage 2 pipeline, families) on columns y1, family and features.
 
@@ -64,7 +73,10 @@ def two_stage(train: DataFrame, features: list[str], profile: str = "rf", holdou
     if len(families) < 2:
         raise ValueError("stage 2 needs two families")
     index = StringIndexer(inputCol="family", outputCol="k", stringOrderType="alphabetAsc", handleInvalid="keep")
-    base = PROFILES["rf" if profile in ("xgb", "lgbm") else profile](featuresCol="x", labelCol="k", weightCol="weight", seed=seed)
+    if profile in ("xgb", "lgbm"):  # boosted trees know two classes
+        base = OneVsRest(classifier=PROFILES[profile](seed=seed), featuresCol="x", labelCol="k", weightCol="weight", parallelism=4)
+    else:
+        base = PROFILES[profile](featuresCol="x", labelCol="k", weightCol="weight", seed=seed)
     stage2 = Pipeline(stages=[assemble, index, base]).fit(weighted(attacks, "family"))
     return scale, stage1, stage2, families
 
@@ -73,7 +85,12 @@ def score_frame(model, rows: DataFrame) -> DataFrame:
     """p_attack, fam_pred_family, fam_pmax, top2_margin and stage2_entropy for each row."""
     scale, stage1, stage2, families = model
     out = stage1.transform(scaled(rows, scale)).withColumn("p_attack", F.get(vector_to_array("probability"), F.lit(1))).drop("x", "probability", "rawPrediction", "prediction")
-    out = stage2.transform(out).withColumn("q", A.normalised(F.slice(vector_to_array("probability"), 1, len(families))))
+    out = stage2.transform(out)
+    if "probability" in out.columns:
+        each = vector_to_array("probability")
+    else:  # one against the rest: the logistic function of each model's margin
+        each = F.transform(vector_to_array("rawPrediction"), lambda x: 1 / (1 + F.exp(-2 * x)))
+    out = out.withColumn("q", A.normalised(F.slice(each, 1, len(families))))
     names = F.array(*[F.lit(f) for f in families])
     return out.withColumns({
         "fam_pred_family": F.get(names, A.argmax(F.col("q"))), "fam_pmax": F.array_max("q"), "top2_margin": A.top2_margin(F.col("q")), "stage2_entropy": A.entropy(F.col("q")),

@@ -469,7 +469,7 @@ def ml01(spark, d):
 
 @book("ml02_boosted_trees")
 def ml02(spark, d):
-    """Boosted trees in stage 1 (approximation of the boosting profiles of ML-02 and ML-03)."""
+    """Boosted trees in both stages, one against the rest in stage 2 (approximation of the boosting profiles of ML-02)."""
     return _scored(spark, d, "xgb").select("row_id", "p_attack", "fam_pred_family", "fam_pmax")
 
 
@@ -479,6 +479,15 @@ def ml03(spark, d):
     return _scored(spark, d, "lgbm").select("row_id", "p_attack", "fam_pred_family", "fam_pmax")
 
 
+@book("ml04_balanced_ensemble", f"WITH {FLOWS} SELECT count(*) AS n_rows, 3 AS n_models, 0 AS n_outside FROM f WHERE split = 'test' AND family <> '' GROUP BY ALL")
+def ml04_balanced(spark, d):
+    """Forests on class-balanced draws, mean of three: every row scored by each, probabilities within 0 and 1."""
+    rows = _model_rows(spark, d)
+    train, test = rows.where("split = 'train'"), rows.where("split = 'test'")
+    frames = [ml.score_frame(ml.two_stage(ml.balanced(train, "y1", seed), _X, seed=seed), test) for seed in (1, 2, 3)]
+    return ml.soft_vote(frames, "row_id", "p_attack").agg(F.count(F.lit(1)).alias("n_rows"), F.max("n_models").alias("n_models"), F.count_if(~F.col("p_attack").between(0, 1)).alias("n_outside"))
+
+
 @book("ml04_extra_forest")
 def ml04(spark, d):
     return _scored(spark, d, "extra").select("row_id", "p_attack", "fam_pred_family", "fam_pmax")
@@ -524,12 +533,26 @@ def ml09(spark, d):
     return out.groupBy("fam_pred_family").agg(F.count(F.lit(1)).alias("n"), F.avg("fam_pmax").alias("mean_pmax"))
 
 
+@book("ml09_holdout_invariant", f"WITH {FLOWS} SELECT count_if(family = 'Botnet') AS n_rows, 0 AS n_predicted FROM f WHERE split = 'test' AND family <> ''")
+def ml09_invariant(spark, d):
+    """No row is ever given the held-out family."""
+    held = F.col("fam_pred_family") == "Botnet"
+    return _scored(spark, d, "rf", "Botnet").agg(F.count_if(F.col("family") == "Botnet").alias("n_rows"), F.count_if(held).alias("n_predicted"))
+
+
+@book("ml10_frame_invariants", f"WITH {FLOWS} SELECT count(*) AS n_rows, 0 AS n_outside, 0 AS n_margin_above, 0 AS n_without_family FROM f WHERE split = 'test' AND family <> ''")
+def ml10_invariants(spark, d):
+    """Every row of the score frame: probabilities and entropy within 0 and 1, margin not above the maximum, a family named."""
+    inside = F.col("p_attack").between(0, 1) & F.col("fam_pmax").between(0, 1 + 1e-9) & F.col("stage2_entropy").between(-1e-9, 1 + 1e-9)
+    return _scored(spark, d).agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(~inside).alias("n_outside"), F.count_if(F.col("top2_margin") > F.col("fam_pmax") + 1e-9).alias("n_margin_above"), F.count_if(F.col("fam_pred_family").isNull()).alias("n_without_family"))
+
+
 @book("ml10_score_frame")
 def ml10(spark, d):
     return _scored(spark, d).select("row_id", "p_attack", "fam_pred_family", "fam_pmax", "top2_margin", "stage2_entropy")
 
 
-@book("snk04_model_roundtrip")
+@book("snk04_model_roundtrip", f"WITH {FLOWS} SELECT count(*) AS n, 0 AS n_different FROM f WHERE split = 'test' AND family <> ''")
 def snk04(spark, d):
     """A fitted pipeline saved to the shared folder and loaded again gives the same probabilities."""
     import uuid

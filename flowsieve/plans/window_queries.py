@@ -218,11 +218,15 @@ def smp02(spark, d):
     return table(spark, d, "flows").orderBy(F.md5(F.concat("row_id", F.lit("|7"))), "row_id").limit(700).select("row_id")
 
 
-@book("smp03_bernoulli_then_exact")
+@book("smp03_bernoulli_then_exact", "SELECT row_id FROM flows ORDER BY md5(row_id || '|5'), row_id LIMIT 800")
 def smp03(spark, d):
-    """Bernoulli sample at 1.25 times the target, cut to its exact size."""
-    df, n = table(spark, d, "flows"), 800
-    return df.sample(min(1.0, 1.25 * n / max(1, df.count())), seed=5).orderBy(F.rand(5)).limit(n).select("row_id")
+    """Bernoulli sample at 1.25 times the target, by the first digits of a hash, cut to its exact size in hash order; whole if the draw falls short."""
+    df, n = table(spark, d, "flows").select("row_id"), 800
+    total = df.count()
+    h = F.md5(F.concat("row_id", F.lit("|5")))
+    drawn = df.where(F.conv(F.substring(h, 1, 8), 16, 10).cast("long") < int(min(1.0, 1.25 * n / max(1, total)) * (1 << 32)))
+    enough = drawn.count() >= min(n, total)
+    return (drawn if enough else df).orderBy(h, "row_id").limit(n)
 
 
 @book("smp04_rows_per_file", "SELECT file_name, line_id FROM (SELECT *, row_number() OVER (PARTITION BY file_name ORDER BY md5(line_id::VARCHAR), line_id) AS k FROM raw_lines) WHERE k <= 20")
