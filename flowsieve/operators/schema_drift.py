@@ -91,31 +91,39 @@ def ingest(records: DataFrame, catalog: DataFrame) -> DataFrame:
     """file_no, rec_no, the catalog's fields, _rescued, _placed (name, value), _seen (name, kinds): the rescue table, written once."""
     of, names = _catalog(catalog)
     entries = _entries(records)
-    field = F.coalesce(*[F.when(F.col("name").isin(ns), f) for f, ns in names.items()]) if names else F.lit(None).cast("string")
-    placed = entries.withColumn("field", field)
-    kinds = sorted({*of.values(), "string"})
-    for to in kinds:
-        placed = placed.withColumn(f"_{to}", F.when(F.col("field").isin([f for f in of if of[f] == to]), _strict(to)))
-    typed = [F.max(F.when(F.col("field") == f, F.col(f"_{to}"))).alias(f) for f, to in of.items()]
-    told = F.when(F.col("name").isNotNull(), F.struct("name", "kind", "value", "field", *[f"_{to}" for to in kinds]))
+    fields = list(of)
+    place = F.coalesce(*[F.when(F.col("name").isin(names[f]), F.lit(i)) for i, f in enumerate(fields)]) if fields else F.lit(None).cast("int")
+    placed = entries.withColumn("at", place)
+    # the strictly cast value as text: the same text is the same value
+    typed = F.coalesce(*[F.when(F.col("at").isin([i for i, f in enumerate(fields) if of[f] == to]), _strict(to).cast("string")) for to in sorted({*of.values(), "string"})])
+    told = F.when(F.col("name").isNotNull(), F.struct("name", "kind", "value", "at", typed.alias("typed")))
     # the rows of a record lie together since they were made unique, so this moves nothing
-    rows = placed.groupBy("file_no", "rec_no").agg(F.max("unread").alias("_unread"), *typed, F.collect_list(told).alias("_told"))
-
-    def kept(x: Column) -> Column:
-        return reduce(lambda rest, f: F.when(x["field"] == f, F.coalesce(x[f"_{of[f]}"] == F.col(f), F.lit(False))).otherwise(rest), of, F.lit(False))
-
-    pair = lambda x: F.struct(x["name"].alias("name"), x["value"].alias("value"))
-    judged = rows.withColumn("_told", F.transform("_told", lambda x: F.struct(x["name"].alias("name"), x["kind"].alias("kind"), x["value"].alias("value"), kept(x).alias("kept"))))
-    given = F.filter("_told", lambda x: x["value"].isNotNull())
-    left = F.sort_array(F.array_distinct(F.transform(F.filter(given, lambda x: ~x["kept"]), pair)))
+    rows = placed.groupBy("file_no", "rec_no").agg(F.max("unread").alias("_unread"), F.collect_list(told).alias("_told"))
+    fits = F.filter("_told", lambda x: x["typed"].isNotNull())
     own = F.transform("_told", lambda x: x["name"])
+    rows = rows.withColumns({
+        "_fits": F.transform(fits, lambda x: F.struct(x["at"].alias("at"), x["typed"].alias("typed"))),
+        "_once": F.size(F.array_distinct(own)) == F.size(own),
+    })
+    rows = rows.withColumn("_single", F.size(F.array_distinct(F.transform("_fits", lambda x: x["at"]))) == F.size("_fits"))
+    rows = rows.withColumn("_by_place", F.when(F.col("_single"), F.map_from_entries("_fits")))
+
+    def kept_value(i: int, to: str) -> Column:
+        """The value of a field; only records with several values for one field are searched for the largest."""
+        several = F.array_max(F.transform(F.filter("_fits", lambda x: x["at"] == i), lambda x: x["typed"].cast(to)))
+        return F.when(F.col("_single"), F.try_element_at("_by_place", F.lit(i)).cast(to)).otherwise(several)
+
+    rows = rows.withColumns({f: kept_value(i, of[f]) for i, f in enumerate(fields)})
+    rows = rows.withColumn("_all", F.when(~F.col("_single"), F.array(*[F.col(f).cast("string") for f in fields])))
+    kept = lambda x: x["typed"].isNotNull() & (F.col("_single") | F.coalesce(x["typed"] == F.get("_all", x["at"]), F.lit(False)))
+    pair = lambda x: F.struct(x["name"].alias("name"), x["value"].alias("value"))
+    left = F.sort_array(F.array_distinct(F.transform(F.filter("_told", lambda x: x["value"].isNotNull() & ~kept(x)), pair)))
     single = F.transform("_told", lambda x: F.struct(x["name"].alias("name"), F.array_compact(F.array(x["kind"])).alias("kinds")))
     several = F.transform(F.array_distinct(own), lambda n: F.struct(n.alias("name"), F.array_distinct(F.array_compact(F.transform(F.filter("_told", lambda x: x["name"] == n), lambda x: x["kind"]))).alias("kinds")))
-    seen = F.when(F.size(F.array_distinct(own)) == F.size(own), single).otherwise(several)
     unread = F.when(F.col("_unread").isNotNull(), F.to_json(F.struct(F.col("_unread").alias("_payload"))))
-    out = judged.withColumn("_left", left).select(
+    out = rows.withColumn("_left", left).select(
         "file_no", "rec_no", *of, F.coalesce(F.when(F.size("_left") > 0, _by_name(F.col("_left"))), unread).alias("_rescued"),
-        F.transform(F.filter(given, lambda x: x["kept"]), pair).alias("_placed"), seen.alias("_seen"),
+        F.transform(F.filter("_told", kept), pair).alias("_placed"), F.when(F.col("_once"), single).otherwise(several).alias("_seen"),
     )
     return scratch.cut(out)[0]
 
