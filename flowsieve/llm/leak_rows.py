@@ -84,6 +84,13 @@ def _close_bytes(a: Column, b: Column, n: int) -> Column:
     return reduce(lambda x, y: x + y, [(apart(i) <= 2).cast("int") for i in range(n)])
 
 
+def classes(records: DataFrame, key: str, split: str, also: list[str], features: list[str]) -> DataFrame:
+    """One row per distinct record of a split (and `also`): the smallest key, the canonical features and n_rows; copies are combined map-side."""
+    value = lambda f: F.when(usable(F.col(f).cast("double")), F.col(f).cast("double"))
+    side = F.lower(F.trim(F.col(split)))
+    return records.groupBy(side.alias(split), *also, *[value(f).alias(f) for f in features]).agg(F.min(key).alias(key), F.count(F.lit(1)).alias("n_rows"))
+
+
 def near_pairs(
     records: DataFrame,
     key: str,
@@ -94,7 +101,7 @@ def near_pairs(
     train: str = "train",
     evaluation: tuple[str, ...] = ("val", "test"),
     hot_pairs: int = HOT_PAIRS,
-    broadcast_rows: int = 1_000_000,
+    broadcast_bytes: int = 32 << 20,
 ) -> DataFrame:
     """Pairs (train_key, eval_key, eval_split) of records that agree on all but `max_disagree` features."""
     reach = -math.log1p(-tol) + 1e-9
@@ -117,7 +124,7 @@ def near_pairs(
 
     left = keyed(rows.where(F.col("_split") == train), False)
     right = keyed(rows.where(F.col("_split").isin(*evaluation)), True)
-    pick = lambda df, n: F.broadcast(df) if n <= broadcast_rows else df
+    pick = lambda df, n: F.broadcast(df) if 32 * n <= broadcast_bytes else df  # a long and a flag take at most 32 bytes in a hash table
     hot, _ = scratch.cut(
         left.select("_h", F.lit(1).alias("t"), F.lit(0).alias("e"))
         .unionAll(right.select("_h", F.lit(0).alias("t"), F.lit(1).alias("e")))

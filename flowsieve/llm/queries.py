@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowsieve.llm.leak_rows import near_pairs
+from flowsieve import scratch
+from flowsieve.llm.leak_rows import classes, near_pairs
 from flowsieve.llm.leak_text import leaks
 from flowsieve.llm.linked_splits import components, linked_splits
 from flowsieve.llm.multi_select import percentiles
@@ -49,10 +50,11 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p4_overlap(spark: SparkSession, folder: str) -> DataFrame:
     """Evaluation rows with a partner in train, per split and dataset, beside all rows of that split and dataset."""
-    flows = table(spark, folder, "flows")
-    leaked = near_pairs(flows, "row_id", "split", FEATURES).select(F.col("eval_key").alias("row_id")).distinct().withColumn("leaked", F.lit(1))
-    rows = flows.select("row_id", "dataset", F.lower(F.trim("split")).alias("split")).where(F.col("split").isin("val", "test"))
-    return rows.join(leaked, "row_id", "left").groupBy("split", "dataset").agg(F.count(F.lit(1)).alias("n_rows"), F.count("leaked").alias("n_leaked"))
+    # copies stand for each other: pairs are sought between distinct records only, and counted by their rows
+    distinct, _ = scratch.cut(classes(table(spark, folder, "flows"), "row_id", "split", ["dataset"], FEATURES))
+    leaked = near_pairs(distinct, "row_id", "split", FEATURES).select(F.col("eval_key").alias("row_id")).distinct().withColumn("leaked", F.lit(True))
+    rows = distinct.where(F.col("split").isin("val", "test")).select("row_id", "split", "dataset", "n_rows").join(leaked, "row_id", "left")
+    return rows.groupBy("split", "dataset").agg(F.sum("n_rows").alias("n_rows"), F.coalesce(F.sum(F.when(F.col("leaked"), F.col("n_rows"))), F.lit(0)).alias("n_leaked"))
 
 
 def _agree(f: str) -> str:
