@@ -45,7 +45,10 @@ FLOWS = "f AS (SELECT * REPLACE (lower(trim(split)) AS split), coalesce(trim(y_s
 def scores(spark: SparkSession, folder: str) -> DataFrame:
     """The latest score of each (run, row) with valid probabilities; the central fact table."""
     latest = Window.partitionBy("run_id", "row_id").orderBy(F.col("loaded_at").desc(), F.col("score_id").desc())
-    t = table(spark, folder, "score_frame").withColumn("_rn", F.row_number().over(latest)).where(F.col("_rn") == 1)
+    t = table(spark, folder, "score_frame")
+    # only four columns are shuffled to find the few older loads; these are taken out by a join that AQE broadcasts if small
+    older = t.select("run_id", "row_id", "loaded_at", "score_id").withColumn("_rn", F.row_number().over(latest)).where(F.col("_rn") > 1).select("score_id")
+    t = t.join(older, "score_id", "left_anti")
     valid = F.col("p_attack").between(0, 1) & F.col("fam_pmax").between(0, 1)
     return t.where(valid).select(
         "score_id", "run_id", "dataset", "model_name", "run_seed", "holdout_family", "row_id", F.lower(F.trim("split")).alias("split"),

@@ -75,6 +75,21 @@ def p5_table(spark: SparkSession, folder: str) -> DataFrame:
     return schema_drift.replay(taken, resolved, table(spark, folder, "field_catalog"))
 
 
+def p5_preserved(spark: SparkSession, folder: str) -> DataFrame:
+    """Per file: records, and the (record, key, value) triples of the payloads that the typed columns or `_rescued` still hold after replay."""
+    taken, _, resolved = _drift(spark, folder)
+    done = schema_drift.replay(taken, resolved, table(spark, folder, "field_catalog"))
+    rescued = schema_drift.rescued_values(done).select("file_no", "rec_no", "name", "value").distinct()
+    seen = taken.select("file_no", "rec_no", F.explode("_placed").alias("x")).select("file_no", "rec_no", "x.name", "x.value").unionByName(schema_drift.rescued_values(taken)).distinct()
+    fields = [c for c in done.columns if c not in ("file_no", "rec_no", "_rescued")]
+    held = done.select("file_no", "rec_no", sum((F.col(f).isNotNull().cast("int") for f in fields), F.lit(0)).alias("n_typed"))
+    kept = seen.join(rescued, ["file_no", "rec_no", "name", "value"], "left_anti").groupBy("file_no", "rec_no").agg(F.count(F.lit(1)).alias("n_placed"))
+    lost = held.join(kept, ["file_no", "rec_no"], "left").where(F.coalesce("n_placed", F.lit(0)) < F.col("n_typed"))
+    per = done.groupBy("file_no").agg(F.count(F.lit(1)).alias("n_records"))
+    n = seen.groupBy("file_no").agg(F.count(F.lit(1)).alias("n_values"))
+    return per.join(n, "file_no", "left").join(lost.groupBy("file_no").agg(F.count(F.lit(1)).alias("n_lost")), "file_no", "left").select("file_no", "n_records", F.coalesce("n_values", F.lit(0)).alias("n_values"), F.coalesce("n_lost", F.lit(0)).alias("n_lost"))
+
+
 def _loaded(spark: SparkSession, folder: str) -> DataFrame:
     labels = [r.fine_label for r in table(spark, folder, "label_map").select("fine_label").collect()]
     return load_lines(table(spark, folder, "raw_lines"), "line_id", "line_text", table(spark, folder, "raw_schema"), labels)
@@ -108,8 +123,22 @@ bad AS (SELECT line_id, list(column_name ORDER BY pos) AS names FROM tidy JOIN r
   ELSE false END GROUP BY line_id),
 judged AS (SELECT r.line_id, CASE WHEN s.line_id IS NULL THEN 'quoting' WHEN len(s.f) <> 43 THEN 'column_count' WHEN b.line_id IS NOT NULL THEN 'bad_value' END AS reason, coalesce(array_to_string(b.names, '|'), '') AS names
   FROM raw_lines r LEFT JOIN split_ s USING (line_id) LEFT JOIN bad b ON b.line_id = r.line_id)"""
+P5_PRESERVED_SQL = """
+WITH one AS (SELECT file_no, rec_no, min(payload) AS p FROM capture_records GROUP BY ALL),
+kv AS (SELECT file_no, rec_no, k, json_extract_string(p, '$."' || k || '"') AS v FROM (SELECT file_no, rec_no, p, unnest(json_keys(p)) AS k FROM one WHERE json_valid(p))),
+t AS (SELECT DISTINCT file_no, rec_no, trim(regexp_replace(lower(k), '[^a-z0-9]+', '_', 'g'), '_') AS k, v FROM kv WHERE v IS NOT NULL)
+SELECT file_no, (SELECT count(*) FROM one o WHERE o.file_no = f.file_no) AS n_records, (SELECT count(*) FROM t WHERE t.file_no = f.file_no) AS n_values, 0 AS n_lost FROM (SELECT DISTINCT file_no FROM one) f
+"""
+#: The columns of raw_lines by kind, in the order of raw_schema, with their positions.
+_KINDS = {
+    "BIGINT": "1:duration 5:src_bytes 6:dst_bytes 7:land 8:wrong_fragment 9:urgent 10:hot 11:num_failed_logins 12:logged_in 13:num_compromised 14:root_shell 15:su_attempted 16:num_root 17:num_file_creations 18:num_shells 19:num_access_files 20:num_outbound_cmds 21:is_host_login 22:is_guest_login 23:count 24:srv_count 32:dst_host_count 33:dst_host_srv_count 43:difficulty",
+    "DOUBLE": "25:serror_rate 26:srv_serror_rate 27:rerror_rate 28:srv_rerror_rate 29:same_srv_rate 30:diff_srv_rate 31:srv_diff_host_rate 34:dst_host_same_srv_rate 35:dst_host_diff_srv_rate 36:dst_host_same_src_port_rate 37:dst_host_srv_diff_host_rate 38:dst_host_serror_rate 39:dst_host_srv_serror_rate 40:dst_host_rerror_rate 41:dst_host_srv_rerror_rate",
+    "VARCHAR": "2:protocol_type 3:service 4:flag 42:label",
+}
+_CELLS = ", ".join(f'try_cast(ltrim(max(nullif(v, \'\')) FILTER (WHERE pos = {x.split(":")[0]}), \'{"" if k == "VARCHAR" else "+"}\') AS {k}) AS "{x.split(":")[1]}"' for k, xs in _KINDS.items() for x in xs.split())
+P7_TABLE_SQL = f"{_P7_JUDGED} SELECT line_id, {_CELLS} FROM tidy JOIN judged USING (line_id) WHERE reason IS NULL GROUP BY line_id"
 P7_FOUND_SQL = f"{_P7_JUDGED} SELECT line_id, reason FROM judged WHERE reason IS NOT NULL"
 P7_REJECTS_SQL = f"{_P7_JUDGED} SELECT line_id, reason, CASE WHEN reason = 'bad_value' THEN names END AS bad_columns FROM judged WHERE reason IS NOT NULL"
 
-QUERIES = {"p7_found": p7_found, "p7_rejects": p7_rejects, "p7_table": p7_table, "p5_found": p5_found, "p5_changes": p5_changes, "p5_table": p5_table, "p2_key_sensors": p2_key_sensors, "p2_key_totals": p2_key_totals}
-SQL = {"p7_found": P7_FOUND_SQL, "p7_rejects": P7_REJECTS_SQL, "p2_key_sensors": P2_SENSORS_SQL, "p2_key_totals": P2_TOTALS_SQL}
+QUERIES = {"p7_found": p7_found, "p7_rejects": p7_rejects, "p7_table": p7_table, "p5_found": p5_found, "p5_changes": p5_changes, "p5_table": p5_table, "p5_preserved": p5_preserved, "p2_key_sensors": p2_key_sensors, "p2_key_totals": p2_key_totals}
+SQL = {"p7_found": P7_FOUND_SQL, "p7_rejects": P7_REJECTS_SQL, "p7_table": P7_TABLE_SQL, "p5_preserved": P5_PRESERVED_SQL, "p2_key_sensors": P2_SENSORS_SQL, "p2_key_totals": P2_TOTALS_SQL}
