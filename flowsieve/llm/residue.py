@@ -100,7 +100,7 @@ def plain(text: Column) -> Column:
     """Text without tags and with quotations blanked."""
     quoted = F.regexp_replace(text, r"`[^`\n]*`|\"[^\"\n]{1,120}\"", " codespan ")
     blanked = F.when(text.contains("`") | text.contains('"'), quoted).otherwise(text)
-    untagged = F.regexp_replace(blanked, r"</?(?:[a-zA-Z][a-zA-Z0-9]*)(?:\s+[a-zA-Z-]+=(?:\"[^\"]*\"|'[^']*'|codespan))*\s*/?>", "\n")
+    untagged = F.regexp_replace(blanked, r"(?<!<)</?(?:[a-zA-Z][a-zA-Z0-9]*)(?:\s+[a-zA-Z-]+=(?:\"[^\"]*\"|'[^']*'|codespan))*\s*/?>", "\n")
     return F.when(text.contains("<"), untagged).otherwise(blanked)
 
 
