@@ -66,8 +66,15 @@ SCORES = (
 )
 
 
+def setting(spark: SparkSession, name: str, default: float) -> float:
+    """A number from `spark.flowsieve.<name>` of the session's configuration, else the default."""
+    return float(spark.conf.get(f"spark.flowsieve.{name}", str(default)))
+
+
 def decided(spark: SparkSession, folder: str) -> DataFrame:
-    return scores(spark, folder).withColumn("pred", decide(F.col("p"), F.col("pmax"), F.col("pred_fam"), THRESHOLD, TAU))
+    """Scores with the system's decision; `spark.flowsieve.threshold` and `spark.flowsieve.tau` replace the defaults."""
+    threshold, tau = setting(spark, "threshold", THRESHOLD), setting(spark, "tau", TAU)
+    return scores(spark, folder).withColumn("pred", decide(F.col("p"), F.col("pmax"), F.col("pred_fam"), threshold, tau))
 
 
 DECIDED = f"{SCORES}, d AS (SELECT *, CASE WHEN p < {THRESHOLD} THEN 'Benign' WHEN pmax < {TAU} THEN 'Unknown' ELSE pred_fam END AS pred FROM s)"

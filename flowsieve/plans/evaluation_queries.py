@@ -373,4 +373,66 @@ def ana32(spark, d):
     return h.select("model_name", "dataset", text(F.col("seeds")).alias("seeds"), (F.col("seeds") == wanted).alias("complete"), text(F.array_except(wanted, "seeds")).alias("missing"))
 
 
+# --- ANA-10: the categories of the preprocessor, ANA-06: the planner's report and its sorted slice
+
+
+@book("ana10_categories", f"WITH {FLOWS}, c AS (SELECT coalesce(protocol, 'NA') AS category, count(*) AS n FROM f WHERE split = 'train' GROUP BY ALL) SELECT category, (k - 1)::INT AS code, n FROM (SELECT *, row_number() OVER (ORDER BY n DESC, category) AS k FROM c) WHERE k <= 50")
+def ana10_categories(spark, d):
+    """The fitted categories, most frequent first, with their codes; the rest share the code of unknown ones."""
+    train = flows(spark, d).where("split = 'train'")
+    c = train.groupBy(F.coalesce("protocol", F.lit("NA")).alias("category")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "category").limit(50)
+    rank = F.row_number().over(Window.orderBy(F.col("n").desc(), "category"))  # at most 50 rows
+    return c.select("category", (rank - 1).alias("code"), "n")
+
+
+@book(
+    "ana06_sorted_slice",
+    "WITH u AS (SELECT unit_no, greatest(coalesce(raw_row_count, 0), 0) AS n, sum(greatest(coalesce(raw_row_count, 0), 0)) OVER (ORDER BY unit_order, unit_no) AS upto, sum(greatest(coalesce(raw_row_count, 0), 0)) OVER () AS total FROM plan_units), "
+    "s AS (SELECT *, CASE WHEN upto - n < 0.70 * total THEN 'train' WHEN upto - n < 0.85 * total THEN 'val' ELSE 'test' END AS split FROM u) SELECT split, count(*) AS n_units, sum(n)::BIGINT AS n_rows, min(unit_no) AS first_unit FROM s GROUP BY split",
+)
+def ana06_slice(spark, d):
+    """The planner's fallback: units in their order, cut where the rows before a unit pass 70 and 85 percent."""
+    from flowsieve.operators.prefix import running_sums
+
+    units = table(spark, d, "plan_units").select("unit_no", "unit_order", F.greatest(F.coalesce("raw_row_count", F.lit(0)), F.lit(0)).alias("n"), F.lit(0).alias("all"))
+    run = running_sums(units, ["all"], ["unit_order", "unit_no"], {"upto": F.col("n")})
+    before = F.col("upto") - F.col("n")
+    split = F.when(before < 0.70 * F.col("upto_total"), "train").when(before < 0.85 * F.col("upto_total"), "val").otherwise("test")
+    return run.groupBy(split.alias("split")).agg(F.count(F.lit(1)).alias("n_units"), F.sum("n").alias("n_rows"), F.min("unit_no").alias("first_unit"))
+
+
+@book(
+    "ana06_planning_report",
+    "SELECT dataset, count(*) AS n_candidates, count_if(is_valid) AS n_valid, max(score) AS best_score, arg_max(candidate_no, (score, -candidate_no)) AS best_candidate, max(n_eligible_holdouts)::BIGINT AS most_eligible, count_if(train_units IS NULL OR val_units IS NULL OR test_units IS NULL) AS n_incomplete FROM candidate_splits WHERE score IS NOT NULL GROUP BY dataset",
+)
+def ana06_report(spark, d):
+    """What the planner chose from: candidates, valid ones, the best by score, and candidates without a list of units."""
+    c = table(spark, d, "candidate_splits").where(F.col("score").isNotNull())
+    missing = F.col("train_units").isNull() | F.col("val_units").isNull() | F.col("test_units").isNull()
+    return c.groupBy("dataset").agg(
+        F.count(F.lit(1)).alias("n_candidates"), F.count_if("is_valid").alias("n_valid"), F.max("score").alias("best_score"), F.max_by("candidate_no", F.struct(F.col("score"), -F.col("candidate_no"))).alias("best_candidate"),
+        F.max("n_eligible_holdouts").cast("long").alias("most_eligible"), F.count_if(missing).alias("n_incomplete"),
+    )
+
+
+# --- JN-07, ANA-29: the closest task of a published table for every data set
+
+
+_PAPER = [("paper_a", 0, "family", 0.81), ("paper_a", 1, "binary", 0.97), ("paper_b", 0, "binary", 0.95), ("paper_b", 1, "fine", 0.78), ("paper_c", 0, "fine", 0.74)]
+
+
+@book(
+    "ana29_reference_comparison",
+    f"WITH {DECIDED}, p(paper, task_no, task, published) AS (VALUES {', '.join(f"('{a}', {b}, '{c}', {v})" for a, b, c, v in _PAPER)}), o AS (SELECT dataset, avg((truth = pred)::INT) AS own FROM d GROUP BY dataset), "
+    "k AS (SELECT paper, dataset, task, published, own, row_number() OVER (PARTITION BY paper, dataset ORDER BY CASE task WHEN 'family' THEN 0 WHEN 'binary' THEN 1 ELSE 2 END, task_no) AS k FROM p, o) SELECT paper, dataset, task, published::DOUBLE AS published, round(own, 6) AS own, round(own - published, 6) AS delta FROM k WHERE k = 1",
+)
+def ana29_reference(spark, d):
+    """Each paper's task that is closest to ours (family, then binary, then any other), beside our own accuracy and the difference."""
+    own = decided(spark, d).groupBy("dataset").agg(F.avg((F.col("truth") == F.col("pred")).cast("int")).alias("own"))
+    tasks = F.explode(F.array(*[F.struct(F.lit(a).alias("paper"), F.lit(b).alias("task_no"), F.lit(c).alias("task"), F.lit(v).alias("published")) for a, b, c, v in _PAPER])).alias("t")
+    rank = F.when(F.col("task") == "family", 0).when(F.col("task") == "binary", 1).otherwise(2)
+    best = P.first_per_group(own.select("dataset", "own", tasks).select("dataset", "own", "t.*"), ["paper", "dataset"], [rank, F.col("task_no")])
+    return best.select("paper", "dataset", "task", "published", R("own").alias("own"), R(F.col("own") - F.col("published")).alias("delta"))
+
+
 QUERIES, SQL = book.queries, book.sql
